@@ -163,17 +163,21 @@ def standardize_embedding(
 ) -> DataFrame:
     """Per-dimension mean and sd of the train pool; sd below eps counts as 1.
 
-    One aggregate row with a sum per dimension gives the statistics; they come
-    back to the rows as a scalar subquery of two arrays.
+    The statistics are one vector aggregate (partial sums per task, two arrays
+    in the end) and come back to the rows as a scalar subquery.
     """
-    x = [F.when(train, F.col(vector)[i].cast("double")) for i in range(dim)]
-    stats = df.agg(
-        F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.stddev_pop(c) for c in x]).alias("sd")
-    )
-    s = stats.select(F.struct("m", "sd")).scalar()
-    sd = F.transform(s["sd"], lambda v: F.when(v < eps, 1.0).otherwise(v))
-    centred = F.zip_with(F.col(vector), s["m"], lambda v, m: v.cast("double") - m)
-    return df.withColumn(out or vector, F.zip_with(centred, sd, lambda v, d: v / d))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    pool = df.where(train).select(array_to_vector(vector).alias("v"))
+    got = pool.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    shrink = (F.col("s.count") - 1) / F.col("s.count")
+    sd = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * shrink))
+    sd = F.transform(sd, lambda v: F.when(v < eps, 1.0).otherwise(v))
+    s = got.select(F.struct(vector_to_array("s.mean").alias("m"), sd.alias("sd"))).scalar()
+    rows = df.withColumns({"__m": s["m"], "__sd": s["sd"]})
+    centred = F.zip_with(F.col(vector), F.col("__m"), lambda v, m: v.cast("double") - m)
+    return rows.withColumn(out or vector, F.zip_with(centred, F.col("__sd"), lambda v, d: v / d)).drop("__m", "__sd")
 
 
 def pair_embedding(a: Column, b: Column, mode: str = "b_minus_a", absolute: bool = False) -> Column:

@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the registry."""
 
-from . import text_queries  # noqa: F401
+from . import project_queries, split_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

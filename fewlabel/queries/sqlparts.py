@@ -85,3 +85,54 @@ pop AS (
   SELECT id, y, toxic, lang, source, n_chars, text, ln(1 + len(w)) AS x1,
          {reading_ease('len(w)', sentence_runs('text'), syllable_total('w'))} / 100 AS x2
   FROM pop_words)"""
+
+PAIRS = """pairs AS (
+  SELECT a.doc_id // 2 AS pair_id, a.text AS headline_a, b.text AS headline_b, a.source AS lede_a, b.source AS lede_b,
+         b.text AS excerpt_a, a.text AS excerpt_b
+  FROM documents a JOIN documents b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1)"""
+
+PREF = """turns AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations),
+pref AS (
+  SELECT u.conv_id, u.text AS prompt, r1.text AS response_1, r2.text AS response_2,
+    greatest(-3.0, least(3.0, round_even((length(r2.text) - length(r1.text)) / 300.0, 0)))::DOUBLE AS preference_strength,
+    CASE WHEN ('0x' || substr(md5('7:split:' || u.conv_id), 1, 15))::BIGINT % 5 = 0 THEN 'validation' ELSE 'train' END AS split
+  FROM turns u JOIN turns r1 ON u.conv_id = r1.conv_id AND r1.role = 'assistant' AND r1.k = 1
+  JOIN turns r2 ON u.conv_id = r2.conv_id AND r2.role = 'assistant' AND r2.k = 2
+  WHERE u.role = 'user' AND u.k = 1)"""
+
+_FORMATS = (
+    r"(?m)^\s*[-*+]\s+\S", r"(?m)^\s*\d+[\.)]\s+\S", r"(?m)^#{1,6}\s+\S", r"\*\*[^*]+\*\*",
+    r"(?m)^\s*[A-Z][A-Za-z0-9 /-]{2,}:\s*$",
+)
+
+
+def structured(text: str) -> str:
+    return "(CASE WHEN " + " OR ".join(f"regexp_matches({text}, {lit(p)})" for p in _FORMATS) + " THEN 1.0 ELSE 0.0 END)"
+
+
+def coverage(a: str, b: str) -> str:
+    return div(f"len(list_intersect(list_distinct({a}), list_distinct({b})))", f"len(list_distinct({a}))")
+
+
+PREF_DELTA = PREF + f""",
+pref_delta AS (
+  SELECT *, preference_strength AS y,
+    ln(1 + w2) - ln(1 + w1) AS delta_log_length, c2 - c1 AS delta_prompt_coverage,
+    f2 - f1 AS delta_format, ln(1 + s2) - ln(1 + s1) AS delta_log_sentences
+  FROM (SELECT conv_id, split, preference_strength,
+    {n_found('response_1', T.ALNUM)} AS w1, {n_found('response_2', T.ALNUM)} AS w2,
+    {sentence_runs('response_1')} AS s1, {sentence_runs('response_2')} AS s2,
+    {coverage(tokens('prompt'), tokens('response_1'))} AS c1, {coverage(tokens('prompt'), tokens('response_2'))} AS c2,
+    {structured('response_1')} AS f1, {structured('response_2')} AS f2 FROM pref)),
+pref_frame AS (
+  SELECT conv_id, split, y, {', '.join(d + ', CASE WHEN stddev_pop(' + d + ') OVER () > 0 THEN ' + d + ' / stddev_pop(' + d + ') OVER () ELSE 0.0 END AS ' + d + '_scale' for d in ('delta_log_length', 'delta_prompt_coverage', 'delta_format', 'delta_log_sentences'))}
+  FROM pref_delta)"""
+
+ORD = """ord AS (
+  SELECT l_orderkey AS id, sum(l_extendedprice) / 1000 AS y, count(*)::DOUBLE AS x1, sum(l_quantity) / 10 AS x2
+  FROM lineitem GROUP BY l_orderkey),
+ord_n AS (SELECT count(*) AS n FROM ord),
+ord_split AS (
+  SELECT id, y, x1, x2, CASE WHEN r <= round_even(n * 0.32, 0) THEN 'h_scale' WHEN r <= round_even(n * 0.8, 0) THEN 'target' ELSE 'unused' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY md5('11:population:' || id), id) AS r FROM ord), ord_n)"""

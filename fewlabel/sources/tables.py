@@ -25,7 +25,8 @@ def read_table(
     elif lower.endswith((".jsonl", ".jsonl.gz")):
         df = reader.json(path)
     elif lower.endswith(".json"):
-        df = reader.option("multiLine", True).json(path)
+        # one file is a JSON document; a folder is what Spark writes, one row per line
+        df = reader.option("multiLine", not is_folder(spark, path)).json(path)
     elif lower.endswith(".parquet"):
         df = reader.parquet(path)
     else:
@@ -75,13 +76,21 @@ def read_embeddings(
     return df
 
 
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _file_system(spark, path)
     return fs.exists(hpath)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _file_system(spark, path)
+    return fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory()
+
+
 # Result layouts in the order they are looked for, and the
 # candidate value columns with the factor to the raw 80-100 scale (5 squared).
 RESULT_LAYOUTS = (
