@@ -111,7 +111,7 @@ def target_mean(population: DataFrame, ids: DataFrame, id_: str, y: str) -> Data
 def ppi_plus_plus(rows: DataFrame, by: Sequence[str], y: str, pred: str, labelled: Column, unlabelled: Column) -> DataFrame:
     """Power-tuned mean: the weight on the predictions minimises the variance.
 
-    lambda = cov(y, f) / ((1 + n/N) var(f)) with the moments of the labelled rows.
+    power = cov(y, f) / ((1 + n/N) var(f)) with the moments of the labelled rows.
     """
     fy, fl, fu = F.when(labelled, F.col(y)), F.when(labelled, F.col(pred)), F.when(unlabelled, F.col(pred))
     s = rows.groupBy(*by).agg(
@@ -126,13 +126,13 @@ def ppi_plus_plus(rows: DataFrame, by: Sequence[str], y: str, pred: str, labelle
         F.var_samp(fy).alias("vy"),
     )
     lam = F.when(F.col("vf") > 0, F.col("cov") / ((1 + F.col("n") / F.col("n_unlabeled")) * F.col("vf"))).otherwise(F.lit(0.0))
-    s = s.withColumn("lambda", lam)
-    lam = F.col("lambda")
+    s = s.withColumn("power", lam)
+    lam = F.col("power")
     return s.select(
         *by,
         "n",
         "n_unlabeled",
-        "lambda",
+        "power",
         (F.col("my") + lam * (F.col("mu") - F.col("mf"))).alias("mean"),
         ((F.col("vy") - 2 * lam * F.col("cov") + lam * lam * F.col("vf")) / F.col("n") + lam * lam * F.col("vu") / F.col("n_unlabeled")).alias("var_est"),
     )

@@ -1,9 +1,8 @@
 """Power laws v(s) = a s^-alpha + b: fitting, optimum, ramp-up replay.
 
 The fit is variable projection: for a fixed alpha the best (a, b) has a closed
-form, so an alpha grid with two refinements replaces an iterative solver and
-all curves are fitted in one query. A curve holds one point per grid size, so
-the point arrays are short.
+form in five centred moments, so an alpha grid and a few parabola steps replace
+an iterative solver, and all curves are fitted in one query.
 """
 
 from __future__ import annotations
@@ -18,11 +17,8 @@ from pyspark.sql import functions as F
 ALPHA_BOUNDS = (0.02, 1.5)
 WIDE_ALPHA_BOUNDS = (0.01, 3.0)
 A_MIN = 1e-12
-STEPS = (0.005, 1e-4, 2e-6)  # alpha grid, then two refinements around the best
-
-
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda x, v: x + v)
+STEP = 0.005  # alpha grid
+HALF_WIDTHS = (0.005, 1e-3, 1e-4)  # parabola steps around the best alpha
 
 
 def power_law_fit(
@@ -38,27 +34,22 @@ def power_law_fit(
 
     ``b_upper`` names a column with the upper bound of b (None: unbounded).
     """
-    x, y = F.col(s).cast("double"), F.col(v).cast("double")
-    ok = x.isNotNull() & y.isNotNull() & ~F.isnan(y) & (x > 0) & (y > 0)
-    bound = F.greatest(F.first(b_upper).cast("double"), F.lit(1e-9)) if b_upper else F.lit(float("inf"))
-    points = curve.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(ok, F.struct(x.alias("x"), y.alias("y"))))).alias("pts"), bound.alias("bu")
-    )
-    points = points.withColumns({"n": F.size("pts"), "ys": F.transform("pts", lambda p: p["y"])})
-    points = points.withColumn("ym", _sum(F.col("ys")) / F.col("n"))
-    points = points.withColumn("sst", _sum(F.transform("ys", lambda q: (q - F.col("ym")) * (q - F.col("ym")))))
-    fitted = points.where(F.col("n") >= min_points)
+    keys = list(keys)
     lo, hi = alpha_bounds
-    steps = int(round((hi - lo) / STEPS[0]))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.lit(lo) + i * F.lit(STEPS[0]))
-    best = _best(fitted, keys, grid)
-    for coarse, fine in zip(STEPS, STEPS[1:]):
-        half = int(round(coarse / fine))
-        around = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda i: F.col("alpha0") + i * F.lit(fine))
-        around = F.filter(around, lambda q: (q >= lo) & (q <= hi))
-        again = best.withColumnRenamed("alpha", "alpha0").select(*keys, "alpha0", "pts", "bu", "n", "ys", "ym", "sst")
-        best = _best(again, keys, around)
-    fit = best.select(
+    bound = F.greatest(F.col(b_upper).cast("double"), F.lit(1e-9)) if b_upper else F.lit(float("inf"))
+    points = curve.select(*keys, F.col(s).cast("double").alias("__x"), F.col(v).cast("double").alias("__y"), bound.alias("__bu"))
+    ok = F.col("__y").isNotNull() & ~F.isnan("__y") & (F.col("__x") > 0) & (F.col("__y") > 0)
+    counts = points.groupBy(*keys).agg(F.count(F.when(ok, 1)).alias("n_points"))
+    points = points.where(ok)
+    steps = int(round((hi - lo) / STEP))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.lit(lo) + i * F.lit(STEP))
+    tried = _evaluate(points.withColumn("alpha", F.explode(grid)), keys).where(F.col("n") >= min_points)
+    rank = F.when(F.col("sst") > 0, F.round(F.col("sse") / F.col("sst"), 12)).otherwise(F.lit(0.0))
+    best = tried.groupBy(*keys).agg(F.min(F.struct(rank.alias("r"), "alpha")).alias("o")).select(*keys, F.col("o.alpha").alias("alpha"))
+    for h in HALF_WIDTHS:
+        best = _parabola(points, best, keys, h, lo, hi)
+    fit = _evaluate(points.join(best, keys), keys)
+    out = fit.select(
         *keys,
         "a",
         "alpha",
@@ -67,46 +58,51 @@ def power_law_fit(
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
         F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).alias("r2"),
     )
-    return points.select(*keys, F.col("n").cast("long").alias("n_points")).join(fit, list(keys), "left")
+    return counts.join(out, keys, "left")
 
 
-def _best(points: DataFrame, keys: Sequence[str], alphas: Column) -> DataFrame:
-    rows = points.withColumn("alpha", F.explode(alphas))
-    rows = rows.withColumn("us", F.transform("pts", lambda p: F.pow(p["x"], -F.col("alpha"))))
-    rows = rows.withColumn("um", _sum(F.col("us")) / F.col("n"))
-    rows = rows.withColumns(
-        {
-            "suu": _sum(F.transform("us", lambda u: (u - F.col("um")) * (u - F.col("um")))),
-            "suy": _sum(F.zip_with("us", "ys", lambda u, y: (u - F.col("um")) * (y - F.col("ym")))),
-            "ruu": _sum(F.transform("us", lambda u: u * u)),
-            "ruy": _sum(F.zip_with("us", "ys", lambda u, y: u * y)),
-        }
+def _evaluate(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best bounded (a, b) and its error for each (curve, alpha).
+
+    Where the free optimum breaks a bound the best point lies on an edge of
+    the box (the problem is convex), so the three edges are compared.
+    """
+    m = rows.selectExpr(*keys, "alpha", "__y AS y", "power(__x, -alpha) AS u", "__bu").groupBy(*keys, "alpha").agg(
+        F.expr("count(*) AS n"),
+        F.expr("avg(u) AS um"),
+        F.expr("avg(y) AS ym"),
+        F.expr("var_pop(u) AS vu"),
+        F.expr("var_pop(y) AS vy"),
+        F.expr("covar_pop(u, y) AS cuy"),
+        F.expr("max(__bu) AS bu"),
+    )
+    free = m.selectExpr("*", "CASE WHEN vu > 0 THEN cuy / vu ELSE 0D END AS a0", "vu + um * um AS square")
+    edges = free.selectExpr(
+        *keys, "alpha", "n", "um", "ym", "vu", "vy", "cuy",
+        f"""CASE WHEN a0 >= {A_MIN} AND ym - a0 * um BETWEEN 0 AND bu
+              THEN array(struct(a0 AS a, ym - a0 * um AS b))
+              ELSE array(struct(greatest((cuy + um * ym) / square, {A_MIN}D) AS a, 0D AS b),
+                         struct({A_MIN}D AS a, least(greatest(ym - {A_MIN}D * um, 0D), bu) AS b),
+                         struct(greatest((cuy + um * ym - bu * um) / square, {A_MIN}D) AS a, bu AS b)) END AS points""",
     )
-    rows = rows.withColumn("a0", F.col("suy") / F.col("suu")).withColumn("b0", F.col("ym") - F.col("a0") * F.col("um"))
-    su = F.col("um") * F.col("n")
-    inside = (F.col("a0") >= A_MIN) & (F.col("b0") >= 0) & (F.col("b0") <= F.col("bu"))
-    flat = F.least(F.greatest(F.col("ym") - A_MIN * F.col("um"), F.lit(0.0)), F.col("bu"))
-    edges = [
-        (F.greatest(F.col("ruy") / F.col("ruu"), F.lit(A_MIN)), F.lit(0.0)),
-        (F.greatest((F.col("ruy") - F.col("bu") * su) / F.col("ruu"), F.lit(A_MIN)), F.col("bu")),
-        (F.lit(A_MIN), flat),
-    ]
-
-    def sse(a: Column, b: Column) -> Column:
-        return _sum(F.zip_with("us", "ys", lambda u, y: (y - a * u - b) * (y - a * u - b)))
-
-    tried = F.array(*[F.struct(sse(a, b).alias("sse"), a.alias("a"), b.alias("b")) for a, b in edges])
-    edge = F.array_min(F.filter(tried, lambda t: ~F.isnan(t["sse"])))
-    interior = F.struct(sse(F.col("a0"), F.col("b0")).alias("sse"), F.col("a0").alias("a"), F.col("b0").alias("b"))
-    rows = rows.withColumn("c", F.when(inside, interior).otherwise(edge))
-    # relative error rounded: a flat optimum then has one well-defined first alpha
-    rank = F.when(F.col("sst") > 0, F.round(F.col("c.sse") / F.col("sst"), 9)).otherwise(F.lit(0.0))
-    rows = rows.withColumn("o", F.struct(rank.alias("rank"), F.col("alpha"), F.col("c")))
-    carried = ["pts", "bu", "n", "ys", "ym", "sst"]
-    best = rows.groupBy(*keys).agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in carried])
-    return best.select(
-        *keys, *carried, F.col("o.alpha").alias("alpha"), F.col("o.c.a").alias("a"), F.col("o.c.b").alias("b"), F.col("o.c.sse").alias("sse")
+    error = "n * greatest(vy - 2 * p.a * cuy + p.a * p.a * vu + power(ym - p.a * um - p.b, 2), 0D)"
+    best = f"array_min(transform(filter(points, p -> p.b < double('infinity')), p -> struct({error} AS sse, p.a AS a, p.b AS b)))"
+    chosen = edges.selectExpr(*keys, "alpha", "n", "n * vy AS sst", f"{best} AS c")
+    return chosen.selectExpr(*keys, "alpha", "n", "c.a AS a", "c.b AS b", "c.sse AS sse", "sst")
+
+
+def _parabola(points: DataFrame, best: DataFrame, keys: Sequence[str], h: float, lo: float, hi: float) -> DataFrame:
+    """Move alpha to the vertex of the parabola through the errors at alpha - h, alpha, alpha + h."""
+    spots = best.selectExpr(*keys, "alpha AS centre", f"greatest(least({h}D, alpha - {lo}D, {hi}D - alpha), 0D) AS h")
+    spots = spots.selectExpr("*", "explode(array(-1, 0, 1)) AS k").selectExpr("*", "centre + k * h AS alpha")
+    tried = _evaluate(points.join(spots, list(keys)), [*keys, "centre", "h", "k"])
+    three = tried.groupBy(*keys, "centre", "h").agg(
+        F.expr("max(CASE WHEN k = -1 THEN sse END) AS l"),
+        F.expr("max(CASE WHEN k = 0 THEN sse END) AS m"),
+        F.expr("max(CASE WHEN k = 1 THEN sse END) AS r"),
     )
+    move = "greatest(-h, least(h, h * (l - r) / (2 * (l - 2 * m + r))))"
+    return three.selectExpr(*keys, f"centre + CASE WHEN h > 1e-9 AND l - 2 * m + r > 0 THEN {move} ELSE 0D END AS alpha")
 
 
 def fitted_optimum(fits: DataFrame, keys: Sequence[str], n_eff: str = "n_eff", refine: bool = False) -> DataFrame:

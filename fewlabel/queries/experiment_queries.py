@@ -72,28 +72,36 @@ def scaling_curve(spark, sf):
 def fit_sql(name: str, points: str, keys: str, lo: float = 0.02, hi: float = 1.5, min_points: int = 3) -> str:
     """Bounded power-law fit over a relation (keys, s, v, bu), as CTEs ending in {name}."""
     grid = round((hi - lo) / 0.005)
+    ok = "a0 >= 1e-12 AND b0 >= 0 AND b0 <= bu"
+
+    def tried(tag: str, source: str, cols: str) -> list[str]:
+        """Bounded least squares and error of every (curve, alpha) of a relation."""
+        return [
+            f"{name}_g{tag} AS (SELECT *, pow(s, -alpha) AS u FROM {source} WHERE n >= {min_points})",
+            f"""{name}_f{tag} AS (SELECT {cols}, alpha, any_value(bu) AS bu, regr_slope(v, u) AS a0, regr_intercept(v, u) AS b0, sum(u * v) / sum(u * u) AS al,
+              (sum(u * v) - any_value(bu) * sum(u)) / sum(u * u) AS au, avg(v) - 1e-12 * avg(u) AS bf FROM {name}_g{tag} GROUP BY {cols}, alpha)""",
+            f"""{name}_c{tag} AS (SELECT {cols}, alpha, a0 AS a, b0 AS b FROM {name}_f{tag} WHERE {ok}
+              UNION ALL SELECT {cols}, alpha, greatest(al, 1e-12), 0.0 FROM {name}_f{tag} WHERE NOT ({ok})
+              UNION ALL SELECT {cols}, alpha, greatest(au, 1e-12), bu FROM {name}_f{tag} WHERE NOT ({ok})
+              UNION ALL SELECT {cols}, alpha, 1e-12, least(greatest(bf, 0), bu) FROM {name}_f{tag} WHERE NOT ({ok}))""",
+            f"{name}_a{tag} AS (SELECT {cols}, alpha, a, b, sum(pow(v - a * u - b, 2)) AS sse, sum(pow(v - ym, 2)) AS sst, count(*) AS n FROM {name}_g{tag} JOIN {name}_c{tag} USING ({cols}, alpha) GROUP BY ALL)",
+            f"{name}_s{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {cols}, alpha ORDER BY sse, a, b) AS k1 FROM {name}_a{tag}) WHERE k1 = 1)",
+        ]
+
     out = [
-        f"{name}_p AS (SELECT {keys}, s::DOUBLE AS s, v, greatest(bu, 1e-9) AS bu, avg(v) OVER w AS ym, count(*) OVER w AS n FROM {points} WHERE s > 0 AND v > 0 WINDOW w AS (PARTITION BY {keys}))"
+        f"{name}_p AS (SELECT {keys}, s::DOUBLE AS s, v, greatest(bu, 1e-9) AS bu, avg(v) OVER w AS ym, count(*) OVER w AS n FROM {points} WHERE s > 0 AND v > 0 WINDOW w AS (PARTITION BY {keys}))",
+        *tried("1", f"{name}_p, (SELECT {lo}::DOUBLE + unnest(range(0, {grid + 1})) * 0.005::DOUBLE AS alpha)", keys),
+        f"{name}_b1 AS (SELECT {keys}, alpha FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(sse / sst, 12), alpha) AS r FROM {name}_s1) WHERE r = 1)",
     ]
-    for i in (1, 2, 3):
-        if i == 1:
-            source = f"{name}_p, (SELECT {lo}::DOUBLE + unnest(range(0, {grid + 1})) * 0.005::DOUBLE AS alpha)"
-        else:
-            step = {2: "0.0001", 3: "0.000002"}[i]
-            source = f"{name}_p JOIN (SELECT * FROM (SELECT {keys}, alpha + unnest(range(-50, 51)) * {step}::DOUBLE AS alpha FROM {name}_b{i - 1}) WHERE alpha >= {lo} AND alpha <= {hi}) USING ({keys})"
-        ok = "a0 >= 1e-12 AND b0 >= 0 AND b0 <= bu"
+    for i, h in ((2, "0.005"), (3, "0.001"), (4, "0.0001")):
+        spots = f"(SELECT {keys}, alpha AS centre, h, k, alpha + k * h AS alpha FROM (SELECT *, greatest(least({h}::DOUBLE, alpha - {lo}, {hi} - alpha), 0) AS h FROM {name}_b{i - 1}), (VALUES (-1), (0), (1)) AS w(k))"
+        out += tried(str(i), f"{name}_p JOIN {spots} USING ({keys})", f"{keys}, centre, h, k")
         out += [
-            f"{name}_g{i} AS (SELECT *, pow(s, -alpha) AS u FROM {source} WHERE n >= {min_points})",
-            f"""{name}_f{i} AS (SELECT {keys}, alpha, any_value(bu) AS bu, regr_slope(v, u) AS a0, regr_intercept(v, u) AS b0, sum(u * v) / sum(u * u) AS al,
-              (sum(u * v) - any_value(bu) * sum(u)) / sum(u * u) AS au, avg(v) - 1e-12 * avg(u) AS bf FROM {name}_g{i} GROUP BY {keys}, alpha)""",
-            f"""{name}_c{i} AS (SELECT {keys}, alpha, a0 AS a, b0 AS b FROM {name}_f{i} WHERE {ok}
-              UNION ALL SELECT {keys}, alpha, greatest(al, 1e-12), 0.0 FROM {name}_f{i} WHERE NOT ({ok})
-              UNION ALL SELECT {keys}, alpha, greatest(au, 1e-12), bu FROM {name}_f{i} WHERE NOT ({ok})
-              UNION ALL SELECT {keys}, alpha, 1e-12, least(greatest(bf, 0), bu) FROM {name}_f{i} WHERE NOT ({ok}))""",
-            f"{name}_s{i} AS (SELECT {keys}, alpha, a, b, sum(pow(v - a * u - b, 2)) AS sse, sum(pow(v - ym, 2)) AS sst, count(*) AS n FROM {name}_g{i} JOIN {name}_c{i} USING ({keys}, alpha) GROUP BY ALL)",
-            f"{name}_b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(sse / sst, 9), alpha, sse) AS r FROM {name}_s{i}) WHERE r = 1)",
+            f"{name}_t{i} AS (SELECT {keys}, centre, h, max(sse) FILTER (k = -1) AS l, max(sse) FILTER (k = 0) AS m, max(sse) FILTER (k = 1) AS r FROM {name}_s{i} GROUP BY ALL)",
+            f"{name}_b{i} AS (SELECT {keys}, centre + CASE WHEN h > 1e-9 AND l - 2 * m + r > 0 THEN greatest(-h, least(h, h * (l - r) / (2 * (l - 2 * m + r)))) ELSE 0 END AS alpha FROM {name}_t{i})",
         ]
-    out.append(f"{name} AS (SELECT {keys}, n::BIGINT AS n_points, a, alpha, b, sse, sqrt(sse / n) AS rmse, 1 - sse / sst AS r2 FROM {name}_b3)")
+    out += tried("5", f"{name}_p JOIN {name}_b4 USING ({keys})", keys)
+    out.append(f"{name} AS (SELECT {keys}, n::BIGINT AS n_points, a, alpha, b, sse, sqrt(sse / n) AS rmse, 1 - sse / sst AS r2 FROM {name}_s5)")
     return ",\n".join(out)
 
 
@@ -176,18 +184,18 @@ def trim_replications(spark, sf):
     return shaped(L.trim_replications(means, ["method"], "m"), ["method", "replication"], ["m"])
 
 
-_RK = "method, replication, at"
+_RK = "method, replication, upto"
 RAMP = f"""staged AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY s) AS stage, count(*) OVER (PARTITION BY {_K}) AS stages, v / (n_eff - s) AS objective FROM pts),
-prefix AS (SELECT a.method, a.replication, b.stage AS at, a.s, a.v, a.bu, a.stages, b.s AS largest FROM staged a JOIN staged b ON a.method = b.method AND a.replication = b.replication AND a.stage <= b.stage AND b.stage >= 4),
+prefix AS (SELECT a.method, a.replication, b.stage AS upto, a.s, a.v, a.bu, a.stages, b.s AS largest FROM staged a JOIN staged b ON a.method = b.method AND a.replication = b.replication AND a.stage <= b.stage AND b.stage >= 4),
 {fit_sql('rfit', 'prefix', _RK)},
 rfitn AS (SELECT r.*, 1000 AS n_eff, p.largest, p.stages FROM rfit r JOIN (SELECT DISTINCT {_RK}, largest, stages FROM prefix) p USING ({_RK})),
 {optimum_sql('ropt', 'rfitn', _RK)},
-halted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY at) AS r FROM rfitn JOIN ropt USING ({_RK}) WHERE at = stages OR fitted_s_star <= largest) WHERE r = 1),
+halted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY upto) AS r FROM rfitn JOIN ropt USING ({_RK}) WHERE upto = stages OR fitted_s_star <= largest) WHERE r = 1),
 chosen AS (SELECT * FROM (SELECT h.*, s.s AS ramp_s, s.objective AS ramp_objective, (a * pow(s.s, -alpha) + b) / (1000 - s.s) AS ramp_fitted_objective,
   row_number() OVER (PARTITION BY h.method, h.replication ORDER BY (a * pow(s.s, -alpha) + b) / (1000 - s.s), s.s) AS pick
   FROM halted h JOIN staged s ON h.method = s.method AND h.replication = s.replication AND s.s <= h.largest) WHERE pick = 1),
 {_EMP},
-replay AS (SELECT {_K}, at AS stopped_stage, largest AS stopped_largest_s, fitted_s_star AS ramp_fitted_s_star, ramp_s, ramp_fitted_objective, empirical_oracle_s AS oracle_s, ramp_objective,
+replay AS (SELECT {_K}, upto AS stopped_stage, largest AS stopped_largest_s, fitted_s_star AS ramp_fitted_s_star, ramp_s, ramp_fitted_objective, empirical_oracle_s AS oracle_s, ramp_objective,
   empirical_oracle_objective AS oracle_objective, (ramp_objective - empirical_oracle_objective) / empirical_oracle_objective AS regret, ramp_s = empirical_oracle_s AS exact_match, a AS fit_a, alpha AS fit_alpha, b AS fit_b, r2 AS fit_r2
   FROM chosen JOIN emp USING ({_K}))"""
 _RC = ["ramp_fitted_s_star", "ramp_fitted_objective", "ramp_objective", "oracle_objective", "regret", "fit_a", "fit_alpha", "fit_b", "fit_r2"]
@@ -408,17 +416,17 @@ def target_mean(spark, sf):
 @query(
     "ppi_plus_plus",
     sql_shaped(
-        """SELECT *, my + lambda * (mu - mf) AS mean, (vy - 2 * lambda * cov + lambda * lambda * vf) / n + lambda * lambda * vu / n_unlabeled AS var_est FROM (SELECT *, cov / ((1 + n / n_unlabeled) * vf) AS lambda FROM (
+        """SELECT *, my + power * (mu - mf) AS mean, (vy - 2 * power * cov + power * power * vf) / n + power * power * vu / n_unlabeled AS var_est FROM (SELECT *, cov / ((1 + n / n_unlabeled) * vf) AS power FROM (
         SELECT replication, count(*) FILTER (role IS NOT NULL)::BIGINT AS n, count(*) FILTER (role IS NULL)::BIGINT AS n_unlabeled, avg(y) FILTER (role IS NOT NULL) AS my, avg(pred) FILTER (role IS NOT NULL) AS mf, avg(pred) FILTER (role IS NULL) AS mu,
         covar_samp(y, pred) FILTER (role IS NOT NULL) AS cov, var_samp(pred) FILTER (role IS NOT NULL) AS vf, var_samp(pred) FILTER (role IS NULL) AS vu, var_samp(y) FILTER (role IS NOT NULL) AS vy FROM scored GROUP BY ALL))""",
         ["replication", "n", "n_unlabeled"],
-        ["lambda", "mean", "var_est"],
+        ["power", "mean", "var_est"],
         with_=f"WITH {SCORED}",
     ),
 )
 def ppi_plus_plus(spark, sf):
     out = P.ppi_plus_plus(scored_orders(spark, sf), ["replication"], "y", "pred", F.col("role").isNotNull(), F.col("role").isNull())
-    return shaped(out, ["replication", "n", "n_unlabeled"], ["lambda", "mean", "var_est"])
+    return shaped(out, ["replication", "n", "n_unlabeled"], ["power", "mean", "var_est"])
 
 
 # --- the allocation grid -------------------------------------------------------------
@@ -445,7 +453,7 @@ rhos AS (SELECT unnest({list(RHOS)})::DOUBLE AS rho),
 tin AS (SELECT budget, n_eff, a, alpha, b FROM budgets, mfit WHERE method = 'lines'),
 {optimum_sql('topt', 'tin', 'budget')},
 theory AS (SELECT budget, n_eff, a, alpha, b, fitted_s_star::BIGINT AS theory_s, fitted_s_star / n_eff AS theory_rho, fitted_objective AS theory_objective FROM topt JOIN tin USING (budget)),
-gridcells AS (SELECT budget, v, n_eff, NULL AS only, 'grid' AS allocation_source, rho, greatest(1, least(n_eff - 1, round_even(rho * n_eff, 0)::BIGINT)) AS s_train FROM budgets, rhos
+gridcells AS (SELECT budget, v, n_eff, NULL AS solo, 'grid' AS allocation_source, rho, greatest(1, least(n_eff - 1, round_even(rho * n_eff, 0)::BIGINT)) AS s_train FROM budgets, rhos
   UNION ALL SELECT budget, v, n_eff, 'lines', 'theory_exact', theory_rho, theory_s FROM theory JOIN budgets USING (budget, n_eff) WHERE NOT EXISTS (SELECT 1 FROM rhos WHERE abs(rhos.rho - theory_rho) <= 1e-10))"""
 CELLS = THEORY + f""",
 tg AS (SELECT id, y, x1, x2 FROM ord_split WHERE split = 'target'),
@@ -454,9 +462,9 @@ aranked AS (SELECT budget, v, n_eff, replication, id, row_number() OVER (PARTITI
 amem AS (SELECT *, CASE WHEN rank > v THEN rank - v END AS tr FROM aranked WHERE rank <= budget),
 alab AS (SELECT budget, replication, avg(y) AS ym, var_samp(y) / count(*) AS yv FROM amem JOIN tg USING (id) GROUP BY ALL),
 aunl AS (SELECT method, budget, replication, count(*) AS nu, avg(x) AS mx, var_samp(x) AS vx FROM aranked JOIN tl USING (id) WHERE rank > budget GROUP BY ALL),
-atr AS (SELECT method, budget, replication, allocation_source, rho, s_train, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM amem JOIN gridcells USING (budget) JOIN tl USING (id) WHERE tr <= s_train AND (only IS NULL OR only = method) GROUP BY ALL),
+atr AS (SELECT method, budget, replication, allocation_source, rho, s_train, CASE WHEN var_pop(x) = 0 THEN avg(y) * avg(x) / (1 + avg(x) * avg(x)) ELSE regr_slope(y, x) END AS b1, CASE WHEN var_pop(x) = 0 THEN avg(y) / (1 + avg(x) * avg(x)) ELSE regr_intercept(y, x) END AS b0 FROM amem JOIN gridcells USING (budget) JOIN tl USING (id) WHERE tr <= s_train AND (solo IS NULL OR solo = method) GROUP BY ALL),
 ares AS (SELECT method, budget, any_value(v) AS validation_size, any_value(n_eff) AS n_eff, replication, allocation_source, rho, s_train, b0, b1, count(*) FILTER (tr > s_train) AS nc, avg(y - b0 - b1 * x) FILTER (tr > s_train) AS mr, var_samp(y - b0 - b1 * x) FILTER (tr > s_train) AS vr,
-  var_samp(y - b0 - b1 * x) FILTER (tr IS NULL) AS validation_residual_var, sqrt(avg(pow(y - b0 - b1 * x, 2)) FILTER (tr IS NULL)) AS validation_rmse, abs(corr(y, x) FILTER (tr IS NULL)) * sign(b1) * sign(corr(y, x) FILTER (tr IS NULL)) AS validation_corr
+  var_samp(y - b0 - b1 * x) FILTER (tr IS NULL) AS validation_residual_var, sqrt(avg(pow(y - b0 - b1 * x, 2)) FILTER (tr IS NULL)) AS validation_rmse, corr(y, x) FILTER (tr IS NULL) * sign(any_value(b1)) AS validation_corr
   FROM atr JOIN amem USING (budget, replication) JOIN tl USING (id, method) GROUP BY ALL),
 cells AS (SELECT method, budget::BIGINT AS budget, replication, rho, allocation_source, validation_size, n_eff, s_train, nc::BIGINT AS correction_size, nu::BIGINT AS unlabeled_size, vr AS correction_residual_var, b1 * b1 * vx AS unlabeled_prediction_var,
   mr + b0 + b1 * mx AS mu_hat_ppi, vr / nc + b1 * b1 * vx / nu AS ppi_var_est, t AS target_mean, mr + b0 + b1 * mx - t AS ppi_error, abs(mr + b0 + b1 * mx - t) <= 1.96 * sqrt(vr / nc + b1 * b1 * vx / nu) AS ppi_covered,
