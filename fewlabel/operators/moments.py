@@ -37,6 +37,9 @@ def gram(df: DataFrame, xs: Sequence[str], y: str | None, by: Sequence[str] = ()
 def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
     """The same for a design held in an array column ``z`` with weights ``w``.
 
+    Instead of ``z`` the rows may carry a sparse design: columns idx, val and y,
+    standing for (1, x_0 .. x_{dim-3}, y).
+
     Each task adds up one matrix per group with a matrix product per Arrow
     batch and emits it row by row; the rows are then summed per (group, row),
     so neither a task nor a group ever holds more than matrices.
@@ -45,11 +48,22 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
         raise ValueError(f"{dim} columns exceed the {MAX_COLUMNS} a moment matrix may have")
     keys = list(by)
     key_fields = [df.schema[k] for k in keys]
+    sparse = "z" not in df.columns
     part_schema = ST.StructType(
         key_fields
         + [ST.StructField("i", ST.IntegerType()), ST.StructField("n", ST.LongType()), ST.StructField("v", ST.ArrayType(ST.DoubleType()))]
     )
 
+    def design(part: pd.DataFrame) -> np.ndarray:
+        if not sparse:
+            return np.stack(part["z"].to_numpy()).astype(float)
+        z = np.zeros((len(part), dim))
+        z[:, 0] = 1.0
+        z[:, -1] = part["y"].to_numpy(dtype=float)
+        for r, (i, v) in enumerate(zip(part["idx"], part["val"])):
+            z[r, np.asarray(i, dtype=int) + 1] = v
+        return z
+
     def partial(batches: Iterable[pd.DataFrame]):
         sums: dict[tuple, np.ndarray] = {}
         counts: dict[tuple, int] = {}
@@ -59,7 +73,7 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
             groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
             for key, part in groups:
                 key = key if isinstance(key, tuple) else (key,)
-                z = np.stack(part["z"].to_numpy()).astype(float)
+                z = design(part)
                 m = z.T @ (z * part["w"].to_numpy(dtype=float)[:, None])
                 sums[key] = sums[key] + m if key in sums else m
                 counts[key] = counts.get(key, 0) + len(part)
@@ -73,7 +87,7 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
         head["v"] = [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]
         return head
 
-    parts = df.select(*keys, "z", "w").mapInPandas(partial, part_schema)
+    parts = df.select(*keys, *(["idx", "val", "y"] if sparse else ["z"]), "w").mapInPandas(partial, part_schema)
     rows = parts.groupBy(*keys, "i").applyInPandas(add, part_schema)
     ordered = F.array_sort(F.collect_list(F.struct("i", "v")))  # dim rows, bounded by MAX_COLUMNS
     return rows.groupBy(*keys).agg(F.max("n").alias("n"), F.flatten(F.transform(ordered, lambda r: r["v"])).alias("zz"))
