@@ -118,25 +118,30 @@ def influence_table(df: DataFrame, fits: Mapping[str, Fit], y: str, ddof: int) -
     """
     n = next(iter(fits.values())).n
     one_task = n <= ONE_TASK_ROWS
+    # weights and residuals as columns first, so that each is computed once per row
+    cols = {}
+    for i, fit in enumerate(fits.values()):
+        cols[f"__a{i}"] = if_weight(fit)
+        cols[f"__r{i}"] = F.col(y) - predict(fit)
+    rows = df.select(F.col(y).alias("__y"), *[c.alias(k) for k, c in cols.items()])
     structs = []
-    for name, fit in fits.items():
-        a = if_weight(fit)
-        r = F.col(y) - predict(fit)
+    for i, (name, fit) in enumerate(fits.items()):
+        a, r, outcome = F.col(f"__a{i}"), F.col(f"__r{i}"), F.col("__y")
         fields = {
             "if_var": var(a * r, ddof),
             "if_mean": F.avg(a * r),
             "residual_var": var(r, ddof),
-            "zero_if_var": var(a * F.col(y), ddof),
-            "zero_mse": F.avg(F.col(y) * F.col(y)),
+            "zero_if_var": var(a * outcome, ddof),
+            "zero_mse": F.avg(outcome * outcome),
             "if_weight_max": F.max(F.abs(a)),
             "if_ess_share": ess_share(a),
         }
         if one_task:
             q = F.percentile(F.abs(a), F.array(*[F.lit(p) for p in QUANTILES]))
         else:
-            q = F.array(*[F.lit(v) for v in exact_quantiles(df, F.abs(a), QUANTILES)])
+            q = F.array(*[F.lit(v) for v in exact_quantiles(rows, F.abs(a), QUANTILES)])
         structs.append(F.struct(F.lit(name).alias("fit"), q.alias("q"), *[c.alias(k) for k, c in fields.items()]))
-    wide = df.agg(F.array(*structs).alias("rows"))
+    wide = rows.agg(F.array(*structs).alias("rows"))
     long = wide.select(F.explode("rows").alias("r")).select("r.*")
     names = {0.5: "p50", 0.9: "p90", 0.95: "p95", 0.99: "p99"}
     return long.select(

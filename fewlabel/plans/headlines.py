@@ -95,7 +95,7 @@ def pair_deltas(features: DataFrame, id_: str = "pair_id") -> tuple[DataFrame, D
     stored = materialise(raw, "deltas")
     kinds = {r["feature"]: r["kind"] for r in feature_kinds(stored, [f"delta_{c}_raw" for c in names]).collect()}
     flat = [c for c in names if kinds[f"delta_{c}_raw"] == "continuous"]
-    out = scale_no_center(stored, {f"delta_{c}": f"delta_{c}_raw" for c in flat})
+    out = scale_no_center(stored, {f"delta_{c}": f"delta_{c}_raw" for c in flat}) if flat else stored
     rest = {f"delta_{c}": F.coalesce(F.col(f"delta_{c}_raw"), F.lit(0.0)) for c in names if c not in flat}
     out = out.withColumns(rest) if rest else out
     rows = [(c, kinds[f"delta_{c}_raw"]) for c in names]

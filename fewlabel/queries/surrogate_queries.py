@@ -23,7 +23,7 @@ from .data import load
 from .experiment_queries import _NESTED, allocation_cells, CELLS, PILOT
 from .project_queries import orders_split, scratch
 from .registry import query, rounded, shaped, sql_shaped
-from .regression_queries import fit1, spec_frame
+from .regression_queries import fit1
 
 # --- corpus statistics -----------------------------------------------------------
 
@@ -217,7 +217,10 @@ def batch_score(spark, sf):
 
 
 def labelled_text_cells(spark, sf, features, replications=3):
-    """Labelled documents with TF-IDF columns, weights and replicated roles."""
+    """Labelled documents with TF-IDF columns, weights and replicated roles.
+
+    ``features`` maps a name to the regressors of its target, target first.
+    """
     texts = POP.labelled_texts(load(spark, sf, "documents"), load(spark, sf, "labels"))
     w = texts.withColumn("w", T.words(F.col("text")))
     base = materialise(
@@ -233,7 +236,7 @@ def labelled_text_cells(spark, sf, features, replications=3):
     vocab = materialise(TM.vocabulary(base, "terms", 300, 3), "vocabulary")
     n_columns = vocab.count()
     m = moments_of(base, ["log_word_count", "reading_ease"], "y")[()]
-    fits = [I.fit_ols(m, f, cols, "y") for f, cols in features.items()]
+    fits = [I.fit_ols(m, cols[0], cols, "y") for cols in features.values()]
     rows = base.select("id", "y", F.array(*[I.if_weight(f) for f in fits]).alias("a"))
     mean = base.agg(F.avg("y").alias("m")).scalar()
     sparse = TM.tfidf(base, "id", "terms", vocab)
@@ -261,10 +264,10 @@ def surrogate_scaling(spark, sf):
 @query("spec_scaling")
 def spec_scaling(spark, sf):
     """The same surrogate judged for several regressions at once: one fit per (replication, s)."""
-    specs = {"log_word_count": ["log_word_count"], "reading_ease": ["reading_ease"], "log_word_count__reading_ease": ["log_word_count", "reading_ease"]}
-    fits = {k: v for k, v in specs.items() if "__" not in k}
-    rows, p, grid = labelled_text_cells(spark, sf, fits)
-    return SU.surrogate_scaling(rows, list(fits), p, grid, [0.1, 1.0, 10.0, 100.0], objectives=("mse",)).withColumnRenamed("feature", "spec_id")
+    specs = {**_TARGETS, "log_word_count__reading_ease": ["log_word_count", "reading_ease"]}
+    rows, p, grid = labelled_text_cells(spark, sf, specs)
+    out = SU.surrogate_scaling(rows, list(specs), p, grid, [0.1, 1.0, 10.0, 100.0], objectives=("mse",))
+    return out.withColumnRenamed("feature", "spec_id")
 
 
 @query("embedding_screen")
