@@ -127,16 +127,14 @@ def syllables(word: Column) -> Column:
 def syllable_total(words_: Column) -> Column:
     """Sum of :func:`syllables` over a word array without a per-word lambda.
 
-    The words are joined with blanks and mapped to the letters v (vowel), e and
-    c (consonant); three counts then give the sum: vowel groups, words whose
-    final e is silent, and words without any vowel (which count as one).
+    Over the blank-joined words three counts give the sum: vowel groups, words
+    whose final e is silent, and words without any vowel (which count as one).
+    The possessive quantifiers keep each count linear in the text.
     """
-    joined = F.lower(F.array_join(words_, " "))
-    shape = F.translate(joined, "aiouy" + _CONSONANTS + "'", "v" * 5 + "c" * len(_CONSONANTS))
-    shape = F.regexp_replace(shape, "[^vec ]", "")
-    groups = _count(shape, "[ve]+")
-    silent = _count(shape, "[ve]c++[ve]++(?<=e)(?![vec])")
-    voiceless = _count(shape, "(?<![vec])c++(?![vec])")
+    joined = F.replace(F.lower(F.array_join(words_, " ")), _n("'"), _n(""))
+    groups = _count(joined, "[aeiouy]+")
+    silent = _count(joined, f"[aeiouy][{_CONSONANTS}]++[aeiouy]++(?<=e)(?![a-z])")
+    voiceless = _count(joined, f"(?<![a-z])[{_CONSONANTS}]++(?![a-z])")
     return groups - silent + voiceless
 
 

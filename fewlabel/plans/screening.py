@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import influence as I
 from ..operators.moments import moments_of
+from ..session import materialise
 
 
 def coef_summary(
@@ -19,7 +20,7 @@ def coef_summary(
     """Marginal and controlled row per target of the preference family (ddof 0)."""
     rule = replace(I.RIDGE_RULES["preference"], ridge=ridge)
     names = list(dict.fromkeys([*targets, *controlled]))
-    rows = df.na.drop(subset=[y, *names])
+    rows = materialise(df.select(y, *names).na.drop(subset=[y, *names]), "regression")
     m = moments_of(rows, names, y)[()]
     fits = {}
     for t in targets:
@@ -67,6 +68,7 @@ def candidate_summary(
     ``features`` maps each scaled feature to its raw column.
     """
     rule = replace(I.RIDGE_RULES["single_text"], ridge=ridge)
+    df = materialise(df.select("split", y, *features, *dict.fromkeys(features.values())), "candidates")
     target = df.where(F.col("split") == "target")
     m = moments_of(target, list(features), y)[()]
     fits = {f: I.fit_ols(m, f, [f, *[c for c in controls if c != f]], y, rule) for f in features}
@@ -166,6 +168,7 @@ def spec_summary(df: DataFrame, specs: DataFrame, y: str, budgets: Sequence[int]
     """Statistics of every spec from one superset moment matrix (ddof 1)."""
     listed = [(r["spec_id"], r["family"], r["target"], list(r["controls"])) for r in specs.collect()]  # a fixed, short list
     names = sorted({t for _, _, t, _ in listed} | {c for *_, cs in listed for c in cs})
+    df = materialise(df.select("split", y, *names), "specs")
     target = df.where(F.col("split") == "target")
     m = moments_of(target, names, y)[()]
     fits = {f"{s}|{f}": I.fit_ols(m, t, [t, *cs], y, I.RIDGE_RULES["single_text"]) for s, f, t, cs in listed}

@@ -440,8 +440,9 @@ def theory_table(spark, sf):
     return A.theoretical_allocation(rows, RHOS)
 
 
-def allocation_cells(spark, sf, exact: bool = True):
-    theory = {("lines", int(r["budget"])): float(r["theory_rho"]) for r in theory_table(spark, sf).collect()} if exact else {}
+def allocation_cells(spark, sf, theory_rows=None):
+    rows = theory_table(spark, sf) if theory_rows is None else theory_rows
+    theory = {("lines", int(r["budget"])): float(r["theory_rho"]) for r in rows.collect()}
     target = materialise(orders_split(spark, sf).where(F.col("split") == "target"), "target")
     members = X.allocation_split(target, "id", REPS, BUDGETS, seed=83)
     return G.ppi_cells(target, members, METHODS, "y", "id", RHOS, theory)
@@ -525,8 +526,9 @@ _OV = ["theory_rho", "grid_best_rho", "eval_rho", "var_ratio", "regret", "covera
     ),
 )
 def oracle_allocation(spark, sf):
-    summary = A.by_rho_summary(allocation_cells(spark, sf))
-    return shaped(A.oracle_allocation(summary, theory_table(spark, sf), "lines"), _OK, _OV)
+    theory = materialise(theory_table(spark, sf), "theory")
+    summary = A.by_rho_summary(allocation_cells(spark, sf, theory))
+    return shaped(A.oracle_allocation(summary, theory, "lines"), _OK, _OV)
 
 
 @query(

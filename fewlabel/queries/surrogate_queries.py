@@ -80,7 +80,9 @@ def lexicon_sentiment(spark, sf):
 
 
 def term_rows(spark, sf):
-    return materialise(load(spark, sf, "documents").select("doc_id", TM.with_bigrams(TM.terms(F.col("text"))).alias("terms")), "terms")
+    """Stored words; the pairs are formed while reading, which halves the stored table."""
+    words = materialise(load(spark, sf, "documents").select("doc_id", TM.terms(F.col("text")).alias("w")), "terms")
+    return words.select("doc_id", TM.with_bigrams(F.col("w")).alias("terms"))
 
 
 _TERMS = f"""one AS (SELECT doc_id, regexp_extract_all(translate(lower(text), {S.lit(T.ACCENTED)}, {S.lit(T.UNACCENTED)}), {S.lit(TM.TERM)}) AS t FROM documents),
