@@ -33,18 +33,17 @@ def clean_population(
     )
 
 
-def dense_id(df: DataFrame, id_: str, out: str = "sample_id") -> DataFrame:
-    """Dense 0..n-1 id in the order of an existing integer id, without a global sort.
+def dense_id(df: DataFrame, id_: str, out: str = "sample_id", seed: int = 0) -> DataFrame:
+    """Dense 0..n-1 id in hash order, without a global sort.
 
-    Rows fall into at most 4096 id ranges; a window ranks inside each range and
-    the range offsets (a table of at most 4096 rows) are added.
+    Hash buckets are even whatever the ids look like, so no task gets more than
+    its share even when the existing ids are clustered.
     """
-    bounds = df.agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).select(F.struct("lo", "hi")).scalar()
-    width = F.greatest(F.ceil((bounds["hi"] - bounds["lo"] + 1) / 4096.0), F.lit(1))
-    from .ranking import bucketed_rank
+    from ..functions.hashing import hash_key
+    from .ranking import hash_rank
 
-    part = F.floor((F.col(id_) - bounds["lo"]) / width)
-    return bucketed_rank(df, [], part, [id_], out="__r").withColumn(out, F.col("__r") - 1).drop("__r")
+    ranked = hash_rank(df, hash_key(seed, "dense", F.col(id_)), id_, out="__r")
+    return ranked.withColumn(out, F.col("__r") - 1).drop("__r")
 
 
 def filter_positive(df: DataFrame, column: str) -> DataFrame:

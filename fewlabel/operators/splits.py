@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint, hash_key
-from ..sources.tables import python_round
+from ..sources.tables import broadcast_if_small, python_round
 from .ranking import hash_bands, hash_rank
 
 
@@ -226,7 +226,7 @@ def group_split(df: DataFrame, group: str, cuts: Sequence[float], labels: Sequen
     label = F.lit(labels[-1])
     for cut, name in reversed(list(zip(cuts, labels))):
         label = F.when(F.col("__before") < F.lit(cut) * F.col("__all"), F.lit(name)).otherwise(label)
-    return df.join(placed.select(group, label.alias("split")), group)
+    return df.join(broadcast_if_small(placed.select(group, label.alias("split"))), group)
 
 
 def balanced_sample(

@@ -133,18 +133,19 @@ def spec_enumerate(
 ) -> DataFrame:
     """Target alone, target with every k controls, and with the final controls.
 
-    The names are a fixed list; growing a spec by one later control is a join on
-    position, so no combination is built twice.
+    The names are a fixed list. A spec grows by exploding the controls that come
+    later in the pool, so no combination is built twice.
     """
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(targets)], "t int, target string")
-    c = spark.createDataFrame([(i, x) for i, x in enumerate(pool)], "pos int, control string")
-    grown = t.select("t", "target", F.lit(-1).alias("last"), F.array().cast("array<string>").alias("controls"))
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    places = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("control")) for i, x in enumerate(pool)])
+    grown = t.select("target", F.lit(-1).alias("last"), F.array().cast("array<string>").alias("controls"))
     parts = []
     for dim in range(1, max(dimensions) + 1):
         if dim > 1:
-            grown = grown.join(
-                F.broadcast(c), (F.col("pos") > F.col("last")) & (F.col("control") != F.col("target"))
-            ).select("t", "target", F.col("pos").alias("last"), F.concat("controls", F.array("control")).alias("controls"))
+            later = F.filter(places, lambda p: (p["pos"] > F.col("last")) & (p["control"] != F.col("target")))
+            grown = grown.withColumn("p", F.explode(later)).select(
+                "target", F.col("p.pos").alias("last"), F.concat("controls", F.array("p.control")).alias("controls")
+            )
         if dim in dimensions:
             family = "target_only" if dim == 1 else f"target_plus_{dim - 1}"
             parts.append(grown.select("target", "controls", F.lit(family).alias("family")))

@@ -318,9 +318,15 @@ _PPI = ["mu_hat_ppi", "ppi_var_est", "ppi_ci_low", "ppi_ci_high", "sample_mean",
 _PKEYS = ["budget", "replication", "n_eff", "s_train", "correction_size", "unlabeled_size"]
 
 
+def document_table(spark, sf):
+    """One narrow row per distinct text: features, and y where there is a label."""
+    pop = POP.document_population(load(spark, sf, "documents"), load(spark, sf, "labels"))
+    return materialise(pop.select("id", "y", "x1", "x2"), "documents")
+
+
 def document_members(spark, sf):
     """All distinct texts with features, and labelled draws of several budgets."""
-    pop = materialise(POP.document_population(load(spark, sf, "documents"), load(spark, sf, "labels")), "documents")
+    pop = document_table(spark, sf)
     return pop, X.allocation_split(pop.where(F.col("y").isNotNull()).select("id"), "id", REPS, _DOC_BUDGETS, seed=73)
 
 
@@ -635,5 +641,5 @@ def select_checkpoint(spark, sf):
 def crossppi_mean(spark, sf):
     from ..plans.crossfit import crossppi_mean as cross
 
-    pop = materialise(POP.document_population(load(spark, sf, "documents"), load(spark, sf, "labels")), "documents")
+    pop = document_table(spark, sf)
     return shaped(cross(pop, ["x1"], "y", "id", folds=5, seed=97), ["n_labelled", "n_unlabeled"], ["mu_hat", "var_est"])

@@ -152,7 +152,7 @@ def clean_population(spark, sf):
 
 @query(
     "dense_id",
-    f"WITH {S.CLEAN} SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS sample_id FROM clean",
+    f"WITH {S.CLEAN} SELECT doc_id, (row_number() OVER (ORDER BY md5('0:dense:' || doc_id), doc_id) - 1)::BIGINT AS sample_id FROM clean",
 )
 def dense_id(spark, sf):
     clean = P.clean_population(load(spark, sf, "documents"), "text", None, "doc_id").select("doc_id")

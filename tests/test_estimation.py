@@ -150,3 +150,18 @@ def test_checkpoint_rule(spark):
     assert strict["best_epoch"] == 4
     full = select_checkpoint(df, ["cell"], "epoch", "metric", patience=9).first()
     assert (full["early_stopped"], full["best_epoch"]) == (False, 8)
+
+
+def test_wide_bounds_without_a_cap_on_b(spark):
+    s = np.arange(100, 1001, 100)
+    fit = L.power_law_fit(curve(spark, s, 40000 * s**-2.2 + 7.5), ["method", "replication"], b_upper=None, alpha_bounds=L.WIDE_ALPHA_BOUNDS).first()
+    assert fit["alpha"] == pytest.approx(2.2, abs=1e-4) and fit["b"] == pytest.approx(7.5, abs=1e-5)
+
+
+def test_bootstrap_draws_are_whole_and_repeatable(spark):
+    df = spark.createDataFrame([("m", r, float(r)) for r in range(4)], "method string, replication long, v double")
+    a = A.bootstrap(df, ["method"], "replication", range(4), 30, seed=5)
+    sizes = {r["count"] for r in a.groupBy("draw").count().collect()}
+    assert sizes == {4}
+    again = A.bootstrap(df, ["method"], "replication", range(4), 30, seed=5)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, again.collect()))

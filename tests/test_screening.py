@@ -38,3 +38,45 @@ def test_spec_ids(spark):
 def test_first_rows_of_a_group(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "g string, v int")
     assert sorted((r["g"], r["v"]) for r in R.top_per_group(df, ["g"], [F.col("v")]).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_text_surrogate_beats_the_constant(spark):
+    from fewlabel.operators import splits as X
+    from fewlabel.operators import terms as TM
+    from fewlabel.plans.surrogates import parse_method, surrogate_scaling
+
+    rows = [
+        (i, ("bright plum finish long " if i % 2 else "thin sour short dull ") + ("oak" if i % 3 else "citrus"), 1.0 if i % 2 else -1.0)
+        for i in range(120)
+    ]
+    docs = spark.createDataFrame(rows, "id long, text string, y double").withColumn("terms", TM.with_bigrams(TM.terms(F.col("text"))))
+    vocab = TM.vocabulary(docs, "terms", 50, 3)
+    assert vocab.orderBy("idx").first()["idx"] == 0
+    sparse = TM.tfidf(docs, "id", "terms", vocab)
+    norms = sparse.select(F.aggregate("val", F.lit(0.0), lambda s, v: s + v * v).alias("n")).collect()
+    assert all(abs(r["n"] - 1) < 1e-9 for r in norms)
+    base = docs.select("id", "y", F.lit(0.0).alias("base"), F.array(F.lit(1.0) + F.col("id") % 3).alias("a")).join(sparse, "id")
+    members = X.pool_stop_scale_split(docs.select("id"), "id", [0], 60, 30, 30, seed=2).join(base, "id")
+    out = surrogate_scaling(members, ["f"], vocab.count(), [0, 20, 60], [0.1, 1.0])
+    got = {(r["s"], r["training_objective"]): r for r in out.collect()}
+    assert len(got) == 1 + 2 * 4
+    for (s, objective), r in got.items():
+        if s > 0:
+            assert r["ifvar"] < 0.5 * got[(0, "constant")]["ifvar"] and r["ifvar_ratio_to_s0"] < 0.5
+    assert parse_method("mine:if_mse:ifvar").weighted
+    with pytest.raises(ValueError):
+        parse_method("mine")
+
+
+def test_frequent_and_rare_words_are_averaged_alike(spark):
+    import math
+
+    from fewlabel.operators.terms import corpus_zipf
+
+    rows = [(i, ["the"] * 30 + [f"w{i}", "plum"]) for i in range(400)] + [(999, [])]
+    got = {r["id"]: r for r in corpus_zipf(spark.createDataFrame(rows, "id long, w array<string>"), "id", "w").collect()}
+    total = 400 * 32
+    z = {"the": math.log10(1e9 * 12000 / total), "plum": math.log10(1e9 * 400 / total), "w": math.log10(1e9 / total)}
+    assert got[5]["common_zipf"] == pytest.approx((30 * z["the"] + z["plum"] + z["w"]) / 32)
+    assert got[5]["content_common_zipf"] == pytest.approx((z["plum"] + z["w"]) / 2)
+    assert got[999]["common_zipf"] == 0.0 and got[999]["rare_word_share"] == 0.0
