@@ -81,37 +81,27 @@ def arm_delta(
 
 
 def feature_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """ternary, binary or continuous per column, in one aggregate pass.
+    """ternary, binary or continuous per column, in at most two aggregate passes.
 
-    Two aggregate passes decide it without collecting distinct values: a column
-    within {-1, 0, 1} is ternary, and one without values strictly between its
-    minimum and maximum has at most two.
+    No distinct values are collected: a column within {-1, 0, 1} is ternary, and
+    one without values strictly between its minimum and maximum has at most two.
+    A pass brings three numbers per column to the driver, so the second one
+    works with literals and skips the ternary columns.
     """
     aggs = []
     for c in columns:
-        x = F.round(F.col(c), 8)
-        aggs += [
-            F.count(F.when(~x.isin(-1.0, 0.0, 1.0), 1)).alias(f"{c}__other"),
-            F.min(c).alias(f"{c}__min"),
-            F.max(c).alias(f"{c}__max"),
-            F.count(c).alias(f"{c}__n"),
+        outside = ~F.round(F.col(c), 8).isin(-1.0, 0.0, 1.0)
+        aggs += [F.count(F.when(outside, 1)).alias(f"{c}__other"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+    first = df.agg(*aggs).first()
+    kinds = {c: "ternary" for c in columns if first[f"{c}__other"] == 0}
+    rest = [c for c in columns if c not in kinds]
+    if rest:
+        between = [
+            F.count(F.when((F.col(c) > F.lit(first[f"{c}__min"])) & (F.col(c) < F.lit(first[f"{c}__max"])), 1)).alias(c) for c in rest
         ]
-    first = df.agg(*aggs).select(F.struct("*")).scalar()
-    inner = df.agg(
-        *[
-            F.count(F.when((F.col(c) > first[f"{c}__min"]) & (F.col(c) < first[f"{c}__max"]), 1)).alias(c)
-            for c in columns
-        ]
-    )
-    structs = []
-    for c in columns:
-        kind = (
-            F.when((first[f"{c}__other"] == 0) & (first[f"{c}__n"] > 0), "ternary")
-            .when(F.col(c) == 0, "binary")
-            .otherwise("continuous")
-        )
-        structs.append(F.struct(F.lit(c).alias("feature"), kind.alias("kind")))
-    return inner.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+        inner = df.agg(*between).first()
+        kinds |= {c: "binary" if inner[c] == 0 else "continuous" for c in rest}
+    return df.sparkSession.createDataFrame([(c, kinds[c]) for c in columns], "feature string, kind string")
 
 
 def usable_features(df: DataFrame, columns: Sequence[str], max_features: int | None = None) -> DataFrame:
