@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +55,38 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]
     kind = rows.schema["row"].dataType.simpleString()
     mapped = arrow_map(rows, run, ", ".join([f"row {kind}", *[f"{c} {k}" for c, k in new.items()]]))
     return mapped.select(*[F.col(f"row.`{c}`") for c in kept], *new)
+
+
+class RowCache:
+    """A row of numbers per distinct word; ``ids`` maps words to rows of ``rows`` until the next ``start``.
+
+    ``start`` forgets everything once ``limit`` words are held, so memory is
+    bounded by the limit and the words of one turn.
+    """
+
+    def __init__(self, compute: Callable, width: int, limit: int = CACHED_WORDS):
+        self.compute, self.limit = compute, limit
+        self.rows = np.zeros((1024, width), np.float32)
+        self.used, self.known = 0, {}
+
+    def start(self) -> None:
+        if self.used >= self.limit:
+            self.used, self.known = 0, {}
+            self.rows = np.zeros((1024, self.rows.shape[1]), np.float32)
+
+    def _id(self, word) -> int:
+        at = self.known.get(word)
+        if at is None:
+            at = self.used
+            if at == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at] = self.compute(word)
+            self.used += 1
+            self.known[word] = at
+        return at
+
+    def ids(self, words: list) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            return np.fromiter(map(self._id, words), np.int64, len(words))
