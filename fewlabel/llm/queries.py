@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from . import decontamination, language_id, line_dedup, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,11 @@ def op6_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_lm_score(spark, sf_dir):
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))

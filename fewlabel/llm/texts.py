@@ -40,7 +40,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]
     """
     kept = [c for c in docs.columns if c not in new]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
     place = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
