@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from . import decontamination, html_extract, language_id, line_dedup, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op2_decontamination(spark, sf_dir):
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op3_html_extraction(spark, sf_dir):
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op4_language_id(spark, sf_dir):
     return language_id.predict(_table(spark, sf_dir, "documents"))
