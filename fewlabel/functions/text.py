@@ -6,6 +6,8 @@ letters, blank lines or vowels, so one odd page cannot stall a task.
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -29,8 +31,22 @@ LABEL_LINE = r"(?md)^[^\S\n]*[A-Z][A-Za-z0-9 /-]{2,}:[^\S\n]*$"
 # White space as Unicode sees it, spelled out so that every engine agrees.
 SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accent_table() -> tuple[str, str]:
+    """Letters of the basic plane whose compatibility decomposition is one letter and marks, that letter; then all marks, for deletion."""
+    pairs, marks = [], []
+    for c in map(chr, range(0x300, 0x10000)):
+        if unicodedata.combining(c):
+            marks.append(c)
+    for c in map(chr, range(0xC0, 0x10000)):
+        plain = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if len(plain) == 1 and plain[0] != c and not 0xAC00 <= ord(c) <= 0xD7AF:
+            pairs.append((c, plain[0]))
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
+ACCENTED, UNACCENTED = _accent_table()
 
 
 def _n(x) -> Column:

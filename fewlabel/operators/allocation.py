@@ -33,7 +33,7 @@ def by_rho_summary(cells: DataFrame) -> DataFrame:
         {
             "ci95_low_mu_hat_ppi": F.col("mean_mu_hat_ppi") - half,
             "ci95_high_mu_hat_ppi": F.col("mean_mu_hat_ppi") + half,
-            "var_ratio_to_sample_mean": F.col("mean_ppi_var_est") / F.col("mean_sample_var_est"),
+            "var_ratio_to_sample_mean": F.try_divide(F.col("mean_ppi_var_est"), F.col("mean_sample_var_est")),
         }
     )
 
@@ -121,7 +121,7 @@ def oracle_allocation(summary: DataFrame, theory: DataFrame, theory_method: str,
     # a theory size that falls on the grid has no cell of its own: the grid row stands for it
     joined = wanted.join(rows, (F.col("budget") == F.col("__b")) & (F.col("method") == F.col("__m")) & near, "left")
     guard = F.when(F.col("__b").isNull(), F.raise_error(F.lit("no evaluation row for a budget and method")).cast("double"))
-    regret = (F.col("mean_ppi_var_est") - F.col("__best")) / F.col("__best")
+    regret = F.try_divide(F.col("mean_ppi_var_est") - F.col("__best"), F.col("__best"))
     return joined.select(
         "budget",
         "method",
@@ -145,22 +145,38 @@ def oracle_allocation(summary: DataFrame, theory: DataFrame, theory_method: str,
 
 
 def sample_savings(cells: DataFrame, by: Sequence[str] = ("budget", "method", "rho")) -> DataFrame:
-    """1 - Var(method) / Var(sample mean), averaged over replications, paired SE."""
-    ratio = 1 - F.col("ppi_var_est") / F.col("sample_mean_var_est")
+    """1 - Var(method) / Var(sample mean), averaged over replications, paired SE.
+
+    A replication whose sample mean has no variance (all labels equal) has no ratio.
+    """
+    ratio = 1 - F.try_divide(F.col("ppi_var_est"), F.col("sample_mean_var_est"))
     n = F.count(F.lit(1))
     return cells.groupBy(*by).agg(
         n.alias("n_replications"),
-        (1 - F.avg("ppi_var_est") / F.avg("sample_mean_var_est")).alias("var_reduction"),
+        (1 - F.try_divide(F.avg("ppi_var_est"), F.avg("sample_mean_var_est"))).alias("var_reduction"),
         F.avg(ratio).alias("mean_paired_reduction"),
         F.when(n > 1, F.stddev_samp(ratio) / F.sqrt(n)).alias("paired_se"),
     )
 
 
-def estimator_accuracy(cells: DataFrame, by: Sequence[str], error: str = "ppi_error", covered: str = "ppi_covered") -> DataFrame:
-    """RMSE, MAE and coverage over replications, MAE and coverage with standard errors."""
+def estimator_accuracy(
+    cells: DataFrame,
+    by: Sequence[str],
+    error: str = "ppi_error",
+    covered: str = "ppi_covered",
+    replications: Sequence[int] = (),
+    draws: int = 200,
+    seed: int = 0,
+) -> DataFrame:
+    """RMSE, MAE and coverage over replications with standard errors.
+
+    That of the RMSE is its spread over bootstrap draws of the ``replications``;
+    without them it is left out.
+    """
     n = F.count(F.lit(1))
     hit = F.col(covered).cast("double")
-    return cells.groupBy(*by).agg(
+    rmse = F.sqrt(F.avg(F.col(error) * F.col(error)))
+    accuracy = cells.groupBy(*by).agg(
         n.alias("n_replications"),
         F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"),
         F.avg(F.abs(F.col(error))).alias("mae"),
@@ -168,6 +184,10 @@ def estimator_accuracy(cells: DataFrame, by: Sequence[str], error: str = "ppi_er
         F.avg(hit).alias("coverage"),
         F.when(n > 1, F.stddev_samp(hit) / F.sqrt(n)).alias("coverage_se"),
     )
+    if not replications:
+        return accuracy
+    drawn = bootstrap(cells, by, "replication", replications, draws, seed).groupBy("draw", *by).agg(rmse.alias("rmse"))
+    return accuracy.join(drawn.groupBy(*by).agg(F.stddev_samp("rmse").alias("rmse_se")), list(by))
 
 
 def discrete_objective(v: Column, s: Column, n_eff: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .moments import Moments, moments_of
-from .quantiles import ONE_TASK_ROWS, exact_quantiles
+from .quantiles import exact_quantiles, exact_quantiles_of
 
 
 @dataclass(frozen=True)
@@ -113,17 +113,16 @@ QUANTILES = (0.5, 0.9, 0.95, 0.99)
 
 
 def influence_table(df: DataFrame, fits: Mapping[str, Fit], y: str, ddof: int) -> DataFrame:
-    """One row per fit, all fits in one pass: IF variance and mean, residual variance,
+    """One row per fit, all fits together: IF variance and mean, residual variance,
     absolute-weight quantiles and maximum, effective-sample share.
     """
-    n = next(iter(fits.values())).n
-    one_task = n <= ONE_TASK_ROWS
     # weights and residuals as columns first, so that each is computed once per row
     cols = {}
     for i, fit in enumerate(fits.values()):
         cols[f"__a{i}"] = if_weight(fit)
         cols[f"__r{i}"] = F.col(y) - predict(fit)
     rows = df.select(F.col(y).alias("__y"), *[c.alias(k) for k, c in cols.items()])
+    quantiles = exact_quantiles_of(rows, {name: F.abs(F.col(f"__a{i}")) for i, name in enumerate(fits)}, QUANTILES)
     structs = []
     for i, (name, fit) in enumerate(fits.items()):
         a, r, outcome = F.col(f"__a{i}"), F.col(f"__r{i}"), F.col("__y")
@@ -136,10 +135,7 @@ def influence_table(df: DataFrame, fits: Mapping[str, Fit], y: str, ddof: int) -
             "if_weight_max": F.max(F.abs(a)),
             "if_ess_share": ess_share(a),
         }
-        if one_task:
-            q = F.percentile(F.abs(a), F.array(*[F.lit(p) for p in QUANTILES]))
-        else:
-            q = F.array(*[F.lit(v) for v in exact_quantiles(rows, F.abs(a), QUANTILES)])
+        q = F.array(*[F.lit(v).cast("double") for v in quantiles[name]])
         structs.append(F.struct(F.lit(name).alias("fit"), q.alias("q"), *[c.alias(k) for k, c in fields.items()]))
     wide = rows.agg(F.array(*structs).alias("rows"))
     long = wide.select(F.explode("rows").alias("r")).select("r.*")

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 NATIVE_COLUMNS = 12  # wider designs use partial matrices per task
-MAX_COLUMNS = 2048  # a d x d matrix must stay small on the driver
+MAX_COLUMNS = 4096  # a d x d matrix must stay small on the driver
+HELD_NUMBERS = 8_000_000  # of the partial matrices in one task
 
 
 def gram(df: DataFrame, xs: Sequence[str], y: str | None, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -41,8 +42,9 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
     standing for (1, x_0 .. x_{dim-3}, y).
 
     Each task adds up one matrix per group with a matrix product per Arrow
-    batch and emits it row by row; the rows are then summed per (group, row),
-    so neither a task nor a group ever holds more than matrices.
+    batch, hands matrices on when it holds ``HELD_NUMBERS`` numbers, and emits
+    them row by row; the numbers are then added natively per (group, row,
+    column).
     """
     if dim > MAX_COLUMNS:
         raise ValueError(f"{dim} columns exceed the {MAX_COLUMNS} a moment matrix may have")
@@ -77,20 +79,24 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
                 m = z.T @ (z * part["w"].to_numpy(dtype=float)[:, None])
                 sums[key] = sums[key] + m if key in sums else m
                 counts[key] = counts.get(key, 0) + len(part)
+            if len(sums) * dim * dim > HELD_NUMBERS:
+                yield from emit(sums, counts)
+        yield from emit(sums, counts)
+
+    def emit(sums: dict, counts: dict):
         for key, m in sums.items():
             out = {k: [v] * dim for k, v in zip(keys, key)}
             yield pd.DataFrame({**out, "i": range(dim), "n": counts[key], "v": [m[i, i:] for i in range(dim)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[:1].copy()
-        head["n"] = pdf["n"].sum()
-        head["v"] = [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]
-        return head
+        sums.clear()
+        counts.clear()
 
     parts = df.select(*keys, *(["idx", "val", "y"] if sparse else ["z"]), "w").mapInPandas(partial, part_schema)
-    rows = parts.groupBy(*keys, "i").applyInPandas(add, part_schema)
-    ordered = F.array_sort(F.collect_list(F.struct("i", "v")))  # dim rows, bounded by MAX_COLUMNS
-    return rows.groupBy(*keys).agg(F.max("n").alias("n"), F.flatten(F.transform(ordered, lambda r: r["v"])).alias("zz"))
+    # one number per (group, row, column) and task, added natively: partial sums before
+    # and after the shuffle, so no task ever stacks the parts of all others
+    cells = parts.select(*keys, "i", F.when(F.col("i") == 0, F.col("n")).alias("n"), F.posexplode("v").alias("j", "x"))
+    sums = cells.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "j", "x")))  # dim (dim + 1) / 2 numbers, bounded by MAX_COLUMNS
+    return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(ordered, lambda r: r["x"]).alias("zz"))
 
 
 @dataclass(frozen=True)

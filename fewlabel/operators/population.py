@@ -16,21 +16,24 @@ def clean_population(
 ) -> DataFrame:
     """Drop null texts and outcomes and keep, per text, the row of the lowest id.
 
-    Copies are merged by a grouped ``min_by`` on the SHA-256 of the text, so a
-    text that fills a third of the table is reduced before the shuffle. Columns
-    the caller does not use later are pruned from the aggregate.
+    The lowest id of each text is found on narrow (hash, id) rows, reduced
+    before their shuffle even if one text fills a third of the table; the rows
+    are then kept by that id, which must be unique. Columns the caller does not
+    use later never leave the scan.
     """
     needed = [text, id_, *([y] if y else []), *keep]
     require_columns(df, needed)
     rows = df.select(*dict.fromkeys(needed)).where(F.col(text).isNotNull())
     if y:
         rows = rows.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("double"))
-    others = [c for c in rows.columns if c != id_]
-    return (
-        rows.groupBy(F.sha2(F.col(text), 256).alias("__h"))
-        .agg(F.min(id_).alias(id_), *[F.min_by(c, id_).alias(c) for c in others])
-        .drop("__h")
-    )
+    return rows.join(first_ids(rows, text, id_), id_, "left_semi")
+
+
+def first_ids(rows: DataFrame, text: str, id_: str) -> DataFrame:
+    """The lowest id of each distinct text, as one narrow column."""
+    h = F.sha2(F.col(text), 256)
+    digest = [F.conv(F.substring(h, i, 15), 16, 10).cast("long").alias(f"__h{i}") for i in (1, 16, 31)]
+    return rows.groupBy(*digest).agg(F.min(id_).alias(id_)).select(id_)
 
 
 def dense_id(df: DataFrame, id_: str, out: str = "sample_id", seed: int = 0) -> DataFrame:

@@ -125,7 +125,7 @@ def ppi_plus_plus(rows: DataFrame, by: Sequence[str], y: str, pred: str, labelle
         F.var_samp(fu).alias("vu"),
         F.var_samp(fy).alias("vy"),
     )
-    lam = F.when(F.col("vf") > 0, F.col("cov") / ((1 + F.col("n") / F.col("n_unlabeled")) * F.col("vf"))).otherwise(F.lit(0.0))
+    lam = F.when(F.col("vf") > 0, F.try_divide(F.col("cov"), (1 + F.try_divide(F.col("n"), F.col("n_unlabeled"))) * F.col("vf"))).otherwise(F.lit(0.0))
     s = s.withColumn("power", lam)
     lam = F.col("power")
     return s.select(
@@ -134,7 +134,7 @@ def ppi_plus_plus(rows: DataFrame, by: Sequence[str], y: str, pred: str, labelle
         "n_unlabeled",
         "power",
         (F.col("my") + lam * (F.col("mu") - F.col("mf"))).alias("mean"),
-        ((F.col("vy") - 2 * lam * F.col("cov") + lam * lam * F.col("vf")) / F.col("n") + lam * lam * F.col("vu") / F.col("n_unlabeled")).alias("var_est"),
+        (F.try_divide(F.col("vy") - 2 * lam * F.col("cov") + lam * lam * F.col("vf"), F.col("n")) + F.try_divide(lam * lam * F.col("vu"), F.col("n_unlabeled"))).alias("var_est"),
     )
 
 

@@ -1,81 +1,65 @@
-"""Exact percentiles that stay distributed when the column is long."""
+"""Exact percentiles of many columns together, by a fixed number of passes at every size."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ONE_TASK_ROWS = 1_000_000  # below this the built-in aggregate is safe
-EDGES = 255
+ACCURACY = 10_000
+MARGIN = 3 / ACCURACY  # a sketch errs by at most 1 / ACCURACY of the rows
 
 
-def exact_quantiles(
-    df: DataFrame, value: Column, probs: Sequence[float], limit: int = ONE_TASK_ROWS
-) -> list[float | None]:
-    """Linear-interpolated percentiles of one column.
+def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float]) -> list[float | None]:
+    """Linear-interpolated percentiles of one column; see :func:`exact_quantiles_of`."""
+    return exact_quantiles_of(df, {"x": value}, probs)["x"]
 
-    Small columns use the built-in ``percentile``. A long column is narrowed
-    first: quantile-sketch edges cut it into 256 ranges, the ranges are counted,
-    and only those holding the wanted ranks are kept, until the kept distinct
-    values are few. Equal values are merged by a grouped count, so ties cost
-    nothing. The result equals a full sort.
-    """
-    x = df.select(value.cast("double").alias("x")).where(F.col("x").isNotNull())
-    total = x.count()
-    if total == 0:
-        return [None for _ in probs]
-    if total <= limit:
-        row = x.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in probs]))).first()
-        return list(row[0])
-    ranks: set[int] = set()
-    for p in probs:
-        low = int((total - 1) * p)
-        ranks |= {low, min(low + 1, total - 1)}
-    found = {r: _value_at(x, r, limit) for r in sorted(ranks)}
-    out = []
-    for p in probs:
-        pos = (total - 1) * p
-        low = int(pos)
-        high = min(low + 1, total - 1)
-        out.append(found[low] + (found[high] - found[low]) * (pos - low))
-    return out
 
+def exact_quantiles_of(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], margin: float = MARGIN) -> dict[str, list[float | None]]:
+    """Linear-interpolated percentiles of several columns; a column without values has none.
 
-def _value_at(x: DataFrame, rank: int, limit: int) -> float:
-    """Value of 0-based rank: narrow the range that holds it, then finish."""
-    low: float | None = None
-    high: float | None = None
-    before = 0
-    while True:
-        part = x
-        if low is not None:
-            part = part.where(F.col("x") > low)
-        if high is not None:
-            part = part.where(F.col("x") <= high)
-        grid = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
-        stats = part.agg(
-            F.percentile_approx("x", grid, 10_000).alias("edges"),
-            F.min("x").alias("lo"),
-            F.max("x").alias("hi"),
-            F.approx_count_distinct("x").alias("d"),
-        ).first()
-        if stats["lo"] == stats["hi"]:
-            return stats["lo"]
-        if stats["d"] <= limit // 10:
-            values = part.groupBy("x").count().orderBy("x").toLocalIterator()
-            for row in values:
-                before += row["count"]
-                if before > rank:
-                    return row["x"]
-            raise AssertionError("rank beyond the column")
-        edges = sorted(set(stats["edges"]))
-        code = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("x")))
-        counts = {r["b"]: r["count"] for r in part.groupBy(code.alias("b")).count().collect()}
-        for b in range(len(edges) + 1):
-            if before + counts.get(b, 0) > rank:
-                low = edges[b - 1] if b > 0 else low
-                high = edges[b] if b < len(edges) else high
-                break
-            before += counts.get(b, 0)
+    Three passes whatever the number of columns and rows: quantile sketches give
+    a narrow range around each wanted place, the rows below each range are
+    counted, and only the rows inside the ranges (a few ten-thousandths of the
+    table each, equal values merged) are ranked. A range that misses its place,
+    which the sketch's bound rules out, is widened until it is the whole column.
+    """
+    wide = df.select(*[c.cast("double").alias(f"__{i}") for i, c in enumerate(values.values())])
+    pending, found = [(i, j) for i in range(len(values)) for j in range(len(probs))], {}
+    counts = wide.agg(*[F.count(f"__{i}") for i in range(len(values))]).first() if values else []
+    pending = [(i, j) for i, j in pending if counts[i]]
+    while pending:
+        grid = [min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)]
+        edges = wide.agg(*[F.percentile_approx(f"__{i}", grid, ACCURACY) if margin < 1 else F.array(F.min(f"__{i}"), F.max(f"__{i}")) for i in range(len(values))]).first()
+        ranges = {(i, j): (edges[i][2 * j], edges[i][2 * j + 1]) if margin < 1 else tuple(edges[i]) for i, j in pending}
+        below = wide.agg(*[F.count(F.when(F.col(f"__{i}") < F.lit(ranges[i, j][0]), 1)) for i, j in pending]).first()
+        marks = [
+            F.when(F.col(f"__{i}").between(*map(F.lit, ranges[i, j])), F.struct(F.lit(k).alias("k"), F.col(f"__{i}").alias("x")))
+            for k, (i, j) in enumerate(pending)
+        ]
+        inside = wide.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.k", "m.x").agg(F.count("*").alias("n"))
+        running = W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+        first = {k: int((counts[i] - 1) * probs[j]) - below[k] for k, (i, j) in enumerate(pending)}
+        wanted = F.element_at(F.create_map(*[F.lit(v) for pair in first.items() for v in pair]), F.col("k"))
+        ranked = inside.withColumn("until", F.sum("n").over(running)).withColumn("at", wanted)
+        # the values of the wanted place and of the one after it
+        picked = ranked.where("until > at and until - n <= at + 1").groupBy("k").agg(
+            F.min(F.when(F.expr("until > at and until - n <= at"), F.col("x"))).alias("low"),
+            F.min(F.when(F.expr("until > at + 1 and until - n <= at + 1"), F.col("x"))).alias("high"),
+        )
+        got = {r["k"]: (r["low"], r["high"]) for r in picked.collect()}
+        missed = []
+        for k, (i, j) in enumerate(pending):
+            low, high = got.get(k, (None, None))
+            place = (counts[i] - 1) * probs[j]
+            last = int(place) + 1 >= counts[i]
+            if low is None or (high is None and not last) or first[k] < 0:
+                missed.append((i, j))
+            else:
+                found[i, j] = low if last or high == low else low + (high - low) * (place - int(place))
+        if missed and margin >= 1:
+            raise AssertionError("a percentile lies outside its column")
+        pending, margin = missed, margin * 30
+    return {name: [found.get((i, j)) for j in range(len(probs))] for i, name in enumerate(values)}

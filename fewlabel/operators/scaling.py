@@ -81,19 +81,23 @@ def arm_delta(
 
 
 def feature_kinds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """ternary, binary or continuous per column, in at most two aggregate passes.
+    """ternary, binary or continuous per column, in at most three aggregate passes.
 
-    No distinct values are collected: a column within {-1, 0, 1} is ternary, and
-    one without values strictly between its minimum and maximum has at most two.
-    A pass brings three numbers per column to the driver, so the second one
-    works with literals and skips the ternary columns.
+    A column of at most five distinct values that round to -1, 0 and 1 is
+    ternary; one without values strictly between its minimum and maximum has at
+    most two and is binary. No distinct values are collected: a pass brings few
+    numbers per column to the driver, so later ones work with literals.
     """
     aggs = []
     for c in columns:
         outside = ~F.round(F.col(c), 8).isin(-1.0, 0.0, 1.0)
         aggs += [F.count(F.when(outside, 1)).alias(f"{c}__other"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
     first = df.agg(*aggs).first()
-    kinds = {c: "ternary" for c in columns if first[f"{c}__other"] == 0}
+    near = [c for c in columns if first[f"{c}__other"] == 0]
+    if near:
+        values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in near])).alias("v"))
+        many = {r["c"] for r in values.where("v.x is not null").select("v.c", "v.x").distinct().groupBy("c").count().where("count > 5").collect()}
+    kinds = {c: "ternary" for c in near if c not in many}
     rest = [c for c in columns if c not in kinds]
     if rest:
         between = [

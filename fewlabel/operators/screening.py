@@ -36,7 +36,8 @@ def budget_best(scaling: DataFrame, direct: DataFrame, budgets: Sequence[int]) -
     """Best feasible size per (feature, objective, budget) against direct labelling.
 
     ratio = (ifvar / (B - s)) / (direct / B) on the mean curve; the constant
-    surrogate is not a candidate; the smaller size keeps a tie.
+    surrogate is not a candidate; the smaller size keeps a tie. A direct variance
+    of zero gives no ratio and no win.
     """
     curve = (
         scaling.where(F.col("training_objective") != "constant")
@@ -45,9 +46,10 @@ def budget_best(scaling: DataFrame, direct: DataFrame, budgets: Sequence[int]) -
         .join(direct.select("feature", "direct_ifvar"), "feature")
     )
     rows = _with_budgets(curve, budgets)
-    ratio = (F.col("ifvar") / (F.col("budget") - F.col("s"))) / (F.col("direct_ifvar") / F.col("budget"))
+    direct_share = F.try_divide(F.col("direct_ifvar"), F.col("budget"))
+    ratio = F.try_divide(F.try_divide(F.col("ifvar"), F.col("budget") - F.col("s")), direct_share)
     rows = rows.withColumn("variance_ratio_vs_direct", ratio)
-    best = top_per_group(rows, ["feature", "training_objective", "budget"], [F.col("variance_ratio_vs_direct"), F.col("s")])
+    best = top_per_group(rows, ["feature", "training_objective", "budget"], [F.col("variance_ratio_vs_direct").asc_nulls_last(), F.col("s")])
     return best.select(
         "feature",
         "training_objective",
@@ -136,6 +138,7 @@ def _clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+# Fixed values in screen_score: the thresholds of the flags, their points and the weights of the score.
 def screen_score(d: DataFrame) -> DataFrame:
     """Pass flags of the headline screen, the weighted score and the sorted rank."""
     flags = d.withColumns(
@@ -181,7 +184,7 @@ def rank_targets(summary: DataFrame) -> DataFrame:
 
 
 def ranked_shortlist(candidates: DataFrame, budget: DataFrame, objectives: Sequence[str]) -> DataFrame:
-    """Candidates with their best ratio per objective, any win, and the rank key."""
+    """Candidates with their best ratio per objective, any win, the rank key and the rank by four keys."""
     best = budget.groupBy("feature", "training_objective").agg(
         F.min("variance_ratio_vs_direct").alias("best_ratio"), F.max("wins").alias("wins_any")
     )
@@ -199,7 +202,11 @@ def ranked_shortlist(candidates: DataFrame, budget: DataFrame, objectives: Seque
         + F.col("priority")
         - size / 100.0
     )
-    return out.withColumns({"ifvar_beats_mse": beats, "rank_key": key})
+    keyed = out.withColumns({"ifvar_beats_mse": beats, "rank_key": key})
+    present = [F.col(o).asc_nulls_last() for o in ("ifvar_weighted", "mse") if o in objectives]
+    order = W.orderBy(F.col("rank_key").asc_nulls_last(), *present, "feature")
+    # one row per candidate feature, so a single ordering is small
+    return keyed.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def rank_specs(summary: DataFrame, scaling: DataFrame, budget_table: DataFrame) -> DataFrame:

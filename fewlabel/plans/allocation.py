@@ -38,9 +38,13 @@ def _sum(parts: Sequence[Moments]) -> Moments | None:
     return out
 
 
-def _banded(members: DataFrame, population: DataFrame, id_: str, cuts: Mapping[int, Sequence[int]], key: str | None):
-    """Members with their features and the number of training cuts below their rank."""
-    rows = members.join(population, id_)
+def _banded(members: DataFrame, population: DataFrame, id_: str, cuts: Mapping[int, Sequence[int]], key: str | None, keys: Sequence[str]):
+    """Members with their features and the number of training cuts below their rank.
+
+    Members drawn from rows that carry the features need no join.
+    """
+    carried = set(population.columns) <= set(members.columns)
+    rows = members if carried else members.select(id_, "train_rank", *keys).join(population, id_)
     band = F.lit(None).cast("int")
     for value, grid in cuts.items():
         code = F.size(F.filter(F.array(*[F.lit(int(s)) for s in grid]), lambda s: s < F.col("train_rank")))
@@ -57,18 +61,20 @@ def ppi_cells(
     rhos: Sequence[float],
     exact: Mapping[tuple[str, int], float] | None = None,
     target_known: bool = True,
+    sizes: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """One row per (method, budget, replication, rho), grid and theory-exact cells.
 
     ``members`` is an allocation split of ``population``; ``exact`` adds, per
-    (method, budget), a rho outside the grid.
+    (method, budget), a rho outside the grid; ``sizes`` says the validation size
+    of each budget where it is known, so that the draw is made only once.
     """
     xs = sorted({x for cols in methods.values() for x in cols})
     narrow = population.select(id_, y, *xs)
-    budgets = {
-        int(r["budget"]): (int(r["validation_size"]), int(r["n_eff"]))
-        for r in members.select("budget", "validation_size", "n_eff").distinct().collect()
-    }
+    if sizes is None:
+        found = members.select("budget", "validation_size").distinct().collect()
+        sizes = {int(r["budget"]): int(r["validation_size"]) for r in found}
+    budgets = {b: (v, b - v) for b, v in sizes.items()}
     plans: dict[int, list[tuple[str | None, str, float, int]]] = {}
     for b, (_, n_eff) in budgets.items():
         cells = [(None, "grid", rho, s_for_rho(rho, n_eff)) for rho in rhos]
@@ -77,7 +83,7 @@ def ppi_cells(
                 cells.append((method, "theory_exact", rho, s_for_rho(rho, n_eff)))
         plans[b] = cells
     cuts = {b: sorted({s for *_, s in cells}) for b, cells in plans.items()}
-    rows = _banded(members.select("budget", "replication", id_, "train_rank"), narrow, id_, cuts, "budget")
+    rows = _banded(members, narrow, id_, cuts, "budget", ["budget", "replication"])
     bands = moments_of(rows, xs, y, ["budget", "replication", "band"])
     totals = moments_of(narrow, xs, y if target_known else None)[()]
     target = totals.mean(y) if target_known else None
@@ -138,7 +144,7 @@ def scaling_curve(
     """Residual variance of every nested training size, per method and replication."""
     xs = sorted({x for cols in methods.values() for x in cols})
     grid = sorted(s_grid)
-    rows = _banded(members.select("replication", id_, "role", "train_rank"), population.select(id_, y, *xs), id_, {0: grid}, None)
+    rows = _banded(members, population.select(id_, y, *xs), id_, {0: grid}, None, ["replication", "role"])
     parts = moments_of(rows, xs, y, ["replication", "role", "band"])
     popvar = float(population.agg(F.var_samp(y)).first()[0])
     out = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import hash_key
-from ..operators.population import clean_population
+from ..operators.population import clean_population, first_ids
 
 
 def document_features(documents: DataFrame) -> DataFrame:
@@ -54,9 +54,11 @@ def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, text, y) of labelled distinct texts, for the text surrogates."""
-    clean = clean_population(documents, "text", None, "doc_id").withColumnRenamed("doc_id", "id")
-    y = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
-    return clean.join(y.where(F.col("y").isNotNull()), "id")
+    texts = documents.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull())
+    y = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")).where(F.col("y").isNotNull())
+    # narrow rows decide which documents are wanted before any text moves
+    wanted = y.join(first_ids(texts, "text", "id"), "id", "left_semi")
+    return texts.join(wanted, "id")
 
 
 def order_population(lineitem: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     """First user turn as prompt, first two assistant turns as responses.
 
     The turns are found on narrow (conversation, turn) rows with grouped
-    minima; texts are then fetched by the unique key (conversation, turn).
+    minima; one join and one aggregate per conversation then fetch the texts.
     """
     turns = conversations.select("conv_id", "turn", "role")
     first = turns.groupBy("conv_id").agg(
@@ -94,15 +96,13 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     )
     later = turns.where(F.col("role") == "assistant").join(first, "conv_id").where(F.col("turn") > F.col("t1"))
     second = later.groupBy("conv_id").agg(F.min("turn").alias("t2"), F.min("t0").alias("t0"), F.min("t1").alias("t1"))
-    texts = conversations.select("conv_id", "turn", "text")
-    out = second.where(F.col("t0").isNotNull())
-    for key, name in (("t0", "prompt"), ("t1", "response_1"), ("t2", "response_2")):
-        out = out.join(
-            texts.withColumnRenamed("turn", key).withColumnRenamed("text", name), ["conv_id", key]
-        )
+    named = {"t0": "prompt", "t1": "response_1", "t2": "response_2"}
+    texts = conversations.select("conv_id", "turn", "text").join(second.where(F.col("t0").isNotNull()), "conv_id")
+    texts = texts.where(F.col("turn").isin(*[F.col(k) for k in named]))
+    out = texts.groupBy("conv_id").agg(*[F.max(F.when(F.col("turn") == F.col(k), F.col("text"))).alias(n) for k, n in named.items()])
     gap = (F.length("response_2") - F.length("response_1")) / F.lit(300.0)
     fold = F.conv(F.substring(hash_key(7, "split", F.col("conv_id")), 1, 15), 16, 10).cast("long")
-    return out.drop("t0", "t1", "t2").withColumns(
+    return out.withColumns(
         {
             "preference_strength": F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.bround(gap, 0))),
             "split": F.when(F.pmod(fold, F.lit(5)) == 0, "validation").otherwise("train"),

@@ -73,14 +73,10 @@ def candidate_summary(
     m = moments_of(target, list(features), y)[()]
     fits = {f: I.fit_ols(m, f, [f, *[c for c in controls if c != f]], y, rule) for f in features}
     stats = I.influence_table(target, fits, y, ddof=1)
-    n_rows = df.count()
+    quantiles = I.exact_quantiles_of(df, {raw: F.col(raw) for raw in features.values()}, [0.05, 0.5, 0.95])
     structs = []
     for f, raw in features.items():
-        probs = [0.05, 0.5, 0.95]
-        if n_rows <= I.ONE_TASK_ROWS:
-            q = F.percentile(raw, F.array(*[F.lit(p) for p in probs]))
-        else:
-            q = F.array(*[F.lit(v) for v in I.exact_quantiles(df, F.col(raw), probs)])
+        q = F.array(*[F.lit(v).cast("double") for v in quantiles[raw]])
         structs.append(
             F.struct(
                 F.lit(f).alias("fit"),

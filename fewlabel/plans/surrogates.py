@@ -8,7 +8,7 @@ so they are fitted and judged from moment matrices.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import influence as I
-from ..operators.moments import Moments, collect_moments, gram_vectors, moments_of
+from ..operators.moments import Moments, collect_moments, gram_vectors, moments_of, unpack
 from ..operators.surrogate import ifvar_of, mse_of, ridge_path
 
 SCALING_SCHEMA = (
@@ -145,6 +145,19 @@ def parse_method(text: str) -> ScreenMethod:
     return ScreenMethod(parts[0], parts[1] != "mse", parts[2])
 
 
+def _cells(sums: DataFrame, names: Sequence[str]) -> Iterator[tuple[int, int, dict[tuple, Moments]]]:
+    """(s, replication, moments by target and kind), one cell after the other: the driver holds the matrices of one."""
+    place, held = None, {}
+    for r in sums.orderBy("s", "replication").toLocalIterator():
+        if place not in (None, (r["s"], r["replication"])):
+            yield (*place, held)
+            held = {}
+        place = (r["s"], r["replication"])
+        held[r["target"], r["kind"]] = Moments(tuple(names), int(r["n"]), unpack(r["zz"], len(names)))
+    if place:
+        yield (*place, held)
+
+
 def embedding_screen(
     rows: DataFrame,
     id_: str,
@@ -199,11 +212,14 @@ def embedding_screen(
     base = rows.select(id_, "screen_split", z.alias("z"), weights.alias("weights"))
     pool = base.where(F.col("screen_split") == "train_pool")
     roles = train_val_select(pool.select(id_), id_, s_grid, replications, seed, min_validation)
-    placed = with_kinds(pool.join(roles, id_))
-    by = ["s", "replication", "role", "target", "kind"]
-    parts = collect_moments(gram_vectors(placed.select(*by, "z", "w"), dim + 2, by), names, by)
-    judged = with_kinds(base.where(F.col("screen_split") == "evaluation"))
-    held = collect_moments(gram_vectors(judged.select("target", "kind", "z", "w"), dim + 2, ["target", "kind"]), names, ["target", "kind"])
+    # a validation set is the pool less its train rows, so only these (at most the
+    # sizes added up, whatever the pool) are copied per cell; both splits in one pass
+    by = ["s", "replication", "target", "kind"]
+    chosen = with_kinds(pool.join(roles.where("role = 'train'"), id_))
+    train_sums = gram_vectors(chosen.select(*by, "z", "w"), dim + 2, by)
+    over = ["screen_split", "target", "kind"]
+    totals = collect_moments(gram_vectors(with_kinds(base).select(*over, "z", "w"), dim + 2, over), names, over)
+    held, whole = ({k[1:]: v for k, v in totals.items() if k[0] == split} for split in ("evaluation", "train_pool"))
     xs = names[1:-1]
     out = []
     zero = {}
@@ -211,14 +227,14 @@ def embedding_screen(
         nothing = np.zeros(dim + 1)
         zero[t] = ifvar_of(nothing, held[(t, "squared")], held[(t, "first")], xs, "y", 0)
         out.append((t, "zero_surrogate", -1, 0, None, mse_of(nothing, held[("", "plain")], xs, "y"), zero[t], 1.0))
-    for s, rep in sorted({k[:2] for k in parts}):
-        train = parts[(s, rep, "train", "", "plain")]
-        valid = parts[(s, rep, "validation", "", "plain")]
+    for s, rep, part in _cells(train_sums, names):
+        train = part["", "plain"]
+        valid = whole["", "plain"] - train
         for t in targets:
-            weighted = parts[(s, rep, "train", t, "squared")]
+            weighted = part[t, "squared"]
             share = max(weighted.weight / weighted.n, 1e-12)
             scaled = Moments(weighted.names, weighted.n, weighted.m / share)
-            sq, fi = parts[(s, rep, "validation", t, "squared")], parts[(s, rep, "validation", t, "first")]
+            sq, fi = (whole[t, kind] - part[t, kind] for kind in ("squared", "first"))
             for method in methods:
                 fit_on = scaled if method.weighted else train
                 extra = (sq, fi) if method.stop == "ifvar" else (None, None)

@@ -327,7 +327,7 @@ def document_table(spark, sf):
 def document_members(spark, sf):
     """All distinct texts with features, and labelled draws of several budgets."""
     pop = document_table(spark, sf)
-    return pop, X.allocation_split(pop.where(F.col("y").isNotNull()).select("id"), "id", REPS, _DOC_BUDGETS, seed=73)
+    return pop, X.allocation_split(pop.where(F.col("y").isNotNull()).select("id", "y", "x1", "x2"), "id", REPS, _DOC_BUDGETS, seed=73)
 
 
 DOCS = S.CLEAN + f""",
@@ -356,7 +356,7 @@ dcor AS (SELECT budget, replication, any_value(n_eff) AS n_eff, any_value(s)::BI
 def ppi_mean(spark, sf):
     """Mean quality of all documents from few labels and a two-feature surrogate."""
     pop, members = document_members(spark, sf)
-    cells = G.ppi_cells(pop, members, {"linear": ["x1", "x2"]}, "y", "id", [0.3], target_known=False)
+    cells = G.ppi_cells(pop, members, {"linear": ["x1", "x2"]}, "y", "id", [0.3], target_known=False, sizes={b: X.validation_size(b) for b in _DOC_BUDGETS})
     return shaped(cells, _PKEYS, _PPI)
 
 
@@ -451,7 +451,7 @@ def allocation_cells(spark, sf, theory_rows=None):
     theory = {("lines", int(r["budget"])): float(r["theory_rho"]) for r in rows.collect()}
     target = materialise(orders_split(spark, sf).where(F.col("split") == "target"), "target")
     members = X.allocation_split(target, "id", REPS, BUDGETS, seed=83)
-    return G.ppi_cells(target, members, METHODS, "y", "id", RHOS, theory)
+    return G.ppi_cells(target, members, METHODS, "y", "id", RHOS, theory, sizes={b: X.validation_size(b) for b in BUDGETS})
 
 
 THEORY = f"""{MEAN_FIT},
@@ -545,24 +545,25 @@ def sample_savings(spark, sf):
     return shaped(A.sample_savings(allocation_cells(spark, sf)), ["budget", "method", "n_replications"], ["rho", "var_reduction", "mean_paired_reduction", "paired_se"])
 
 
-_AV = ["rmse", "mae", "mae_se", "coverage", "coverage_se"]
+_AV = ["rmse", "rmse_se", "mae", "mae_se", "coverage", "coverage_se"]
+_BOOT = """SELECT draw, budget, method, s_train, sqrt(avg(ppi_error * ppi_error)) AS rmse FROM cells JOIN (
+          SELECT draw, ('0x' || substr(md5(concat_ws(':', 89, draw, slot)), 1, 15))::BIGINT % 5 AS replication FROM (SELECT unnest(range(200)) AS draw), (SELECT unnest(range(1, 6)) AS slot)) USING (replication)
+        GROUP BY ALL"""
 
 
 @query(
     "estimator_accuracy",
-    sql_shaped("SELECT budget, method, s_train, count(*)::BIGINT AS n_replications, sqrt(avg(ppi_error * ppi_error)) AS rmse, avg(abs(ppi_error)) AS mae, stddev_samp(abs(ppi_error)) / sqrt(count(*)) AS mae_se, avg(ppi_covered::INT) AS coverage, stddev_samp(ppi_covered::INT) / sqrt(count(*)) AS coverage_se FROM cells GROUP BY ALL", ["budget", "method", "s_train", "n_replications"], _AV, with_=_WC),
+    sql_shaped("SELECT budget, method, s_train, count(*)::BIGINT AS n_replications, sqrt(avg(ppi_error * ppi_error)) AS rmse, avg(abs(ppi_error)) AS mae, stddev_samp(abs(ppi_error)) / sqrt(count(*)) AS mae_se, avg(ppi_covered::INT) AS coverage, stddev_samp(ppi_covered::INT) / sqrt(count(*)) AS coverage_se, any_value(b.rmse_se) AS rmse_se FROM cells JOIN (SELECT budget, method, s_train, stddev_samp(rmse) AS rmse_se FROM (" + _BOOT + ") GROUP BY ALL) AS b USING (budget, method, s_train) GROUP BY ALL", ["budget", "method", "s_train", "n_replications"], _AV, with_=_WC),
 )
 def estimator_accuracy(spark, sf):
-    return shaped(A.estimator_accuracy(allocation_cells(spark, sf), ["budget", "method", "s_train"]), ["budget", "method", "s_train", "n_replications"], _AV)
+    return shaped(A.estimator_accuracy(allocation_cells(spark, sf), ["budget", "method", "s_train"], replications=REPS, draws=200, seed=89), ["budget", "method", "s_train", "n_replications"], _AV)
 
 
 @query(
     "bootstrap_ci",
     sql_shaped(
         """SELECT budget, method, s_train, quantile_cont(rmse, 0.025) AS ci_low, quantile_cont(rmse, 0.975) AS ci_high, stddev_samp(rmse) AS se, count(*)::BIGINT AS draws FROM (
-        SELECT draw, budget, method, s_train, sqrt(avg(ppi_error * ppi_error)) AS rmse FROM cells JOIN (
-          SELECT draw, ('0x' || substr(md5(concat_ws(':', 89, draw, slot)), 1, 15))::BIGINT % 5 AS replication FROM (SELECT unnest(range(200)) AS draw), (SELECT unnest(range(1, 6)) AS slot)) USING (replication)
-        GROUP BY ALL) GROUP BY ALL""",
+        """ + _BOOT + ") GROUP BY ALL",
         ["budget", "method", "s_train", "draws"],
         ["ci_low", "ci_high", "se"],
         with_=_WC,

@@ -152,10 +152,10 @@ def rank_specs(spark, sf):
 @query(
     "ranked_shortlist",
     sql_shaped(
-        """SELECT c.feature, mse, ifvar_weighted, wins_any_budget, coalesce(ifvar_weighted < mse, false) AS ifvar_beats_mse,
+        """SELECT *, row_number() OVER (ORDER BY rank_key, ifvar_weighted NULLS LAST, mse NULLS LAST, feature) AS rank FROM (SELECT c.feature, mse, ifvar_weighted, wins_any_budget, coalesce(ifvar_weighted < mse, false) AS ifvar_beats_mse,
           (NOT passes_stability)::INT * 100 + (NOT coalesce(wins_any_budget, false))::INT * 20 + priority - dense_rank() OVER (ORDER BY abs_beta_raw_points DESC) / 100.0 AS rank_key
-        FROM cand c LEFT JOIN (SELECT feature, min(variance_ratio_vs_direct) FILTER (training_objective = 'mse') AS mse, min(variance_ratio_vs_direct) FILTER (training_objective = 'ifvar_weighted') AS ifvar_weighted, bool_or(wins) AS wins_any_budget FROM best GROUP BY feature) USING (feature)""",
-        ["feature", "wins_any_budget", "ifvar_beats_mse"],
+        FROM cand c LEFT JOIN (SELECT feature, min(variance_ratio_vs_direct) FILTER (training_objective = 'mse') AS mse, min(variance_ratio_vs_direct) FILTER (training_objective = 'ifvar_weighted') AS ifvar_weighted, bool_or(wins) AS wins_any_budget FROM best GROUP BY feature) USING (feature))""",
+        ["feature", "wins_any_budget", "ifvar_beats_mse", "rank"],
         ["mse", "ifvar_weighted", "rank_key"],
         with_=f"WITH {SCAL},\n{_BEST}",
     ),
@@ -163,7 +163,7 @@ def rank_specs(spark, sf):
 def ranked_shortlist(spark, sf):
     c = candidates(spark, sf)
     out = R.ranked_shortlist(c, R.budget_best(scaling(spark, sf), c, BUDGETS), ["mse", "ifvar_weighted"])
-    return shaped(out, ["feature", "wins_any_budget", "ifvar_beats_mse"], ["mse", "ifvar_weighted", "rank_key"])
+    return shaped(out, ["feature", "wins_any_budget", "ifvar_beats_mse", "rank"], ["mse", "ifvar_weighted", "rank_key"])
 
 
 _DIAG = """diag AS (SELECT p_brand AS feature, avg((p_size > 20)::INT) AS nonzero_share, max(p_size) / 5.0 AS if_weight_p99_abs, avg(p_size) / 50 AS if_ess_share, stddev_pop(p_size) / 4 AS target_vif, max(p_retailprice) / 50 AS hessian_condition,

@@ -309,7 +309,7 @@ def limit_sample(spark, sf):
 )
 def train_val_select(spark, sf):
     pool = load(spark, sf, "embeddings").select("vec_id")
-    out = X.train_val_select(pool, "vec_id", [50, 200, 10**9], range(3), 41, min_validation=100)
+    out = X.train_val_select(pool, "vec_id", [50, 200], range(3), 41, min_validation=100)
     return out.select("s", "replication", "vec_id", "role")
 
 
@@ -374,24 +374,38 @@ def kfold_assign(spark, sf):
 
 @query(
     "leakage_audit",
-    f"""WITH {REPL}, p AS (SELECT replication, id, count(*) AS c, max(train_rank) AS tr, max((role = 'V_stop')::INT) AS a, max((role = 'V_scale')::INT) AS b, max((role = 'L_prime')::INT) AS l FROM repl GROUP BY ALL)
-    SELECT replication, count(*)::BIGINT AS n_ids, sum(c - 1)::BIGINT AS surplus_rows, 0::BIGINT AS unknown_ids, sum(a)::BIGINT AS n_V_stop, sum(b)::BIGINT AS n_V_scale, sum(l)::BIGINT AS n_L_prime,
-      (max(tr) - count(tr))::BIGINT AS order_gaps, sum(a) = 150 AND sum(b) = 250 AND sum(l) = 600 AND sum(c - 1) = 0 AS passed FROM p GROUP BY 1""",
+    f"""WITH {REPL}, m AS (SELECT *, CASE WHEN replication = 3 AND rank = 2 THEN -id ELSE id END AS own FROM repl),
+    f AS (SELECT replication, own AS id, role, train_rank FROM m WHERE replication <> 4 OR coalesce(train_rank, 0) <> 5 UNION ALL SELECT replication, own, 'L', NULL FROM m
+      UNION ALL SELECT replication, id, role, train_rank FROM m WHERE replication = 1 AND rank = 1 UNION ALL SELECT replication, id, 'L_prime', NULL FROM m WHERE replication = 2 AND rank = 1),
+    p AS (SELECT replication, id, count(*) FILTER (role = 'L') AS w, count(*) FILTER (role = 'V_stop') AS a, count(*) FILTER (role = 'V_scale') AS b, count(*) FILTER (role = 'L_prime') AS l, max(train_rank) AS tr FROM f GROUP BY ALL),
+    r AS (SELECT replication, count(*)::BIGINT AS n_ids, sum(greatest(w - 1, 0) + greatest(a - 1, 0) + greatest(b - 1, 0) + greatest(l - 1, 0))::BIGINT AS repeated,
+      count(*) FILTER ((a > 0)::INT + (b > 0)::INT + (l > 0)::INT > 1)::BIGINT AS overlapping, count(*) FILTER ((a + b + l > 0) <> (w > 0))::BIGINT AS not_dealt,
+      count(*) FILTER (id NOT IN (SELECT o_orderkey FROM orders))::BIGINT AS unknown_ids, 0::BIGINT AS stray_roles, count(*) FILTER (w > 0)::BIGINT AS n_L, count(*) FILTER (a > 0)::BIGINT AS n_V_stop,
+      count(*) FILTER (b > 0)::BIGINT AS n_V_scale, count(*) FILTER (l > 0)::BIGINT AS n_L_prime, (max(tr) - count(DISTINCT tr))::BIGINT AS order_gaps, (count(tr) - count(DISTINCT tr))::BIGINT AS order_ties FROM p GROUP BY 1)
+    SELECT *, replication = 0 AS passed FROM r""",
 )
 def leakage_audit(spark, sf):
-    sizes = {"V_stop": 150, "V_scale": 250, "L_prime": 600}
-    return X.leakage_audit(replicated(spark, sf), "id", ["replication"], sizes, orders(spark, sf))
+    """Replication 0 is clean; the others hold a repeated row, two roles of one id, an unknown id, a hole in the order."""
+    own = F.when((F.col("replication") == 3) & (F.col("rank") == 2), -F.col("id")).otherwise(F.col("id"))
+    rows = replicated(spark, sf).withColumn("own", own)
+    none = F.lit(None).cast("long").alias("train_rank")
+    members = rows.where("replication <> 4 or coalesce(train_rank, 0) <> 5").select("replication", F.col("own").alias("id"), "role", "train_rank")
+    members = members.unionByName(rows.select("replication", F.col("own").alias("id"), F.lit("L").alias("role"), none))
+    members = members.unionByName(rows.where("replication = 1 and rank = 1").select("replication", "id", "role", "train_rank"))
+    members = members.unionByName(rows.where("replication = 2 and rank = 1").select("replication", "id", F.lit("L_prime").alias("role"), none))
+    sizes = {"L": 1000, "V_stop": 150, "V_scale": 250, "L_prime": 600}
+    return X.leakage_audit(members, "id", ["replication"], sizes, orders(spark, sf), whole="L")
 
 
 @query(
     "split_manifest",
-    f"WITH {ALLOC} SELECT budget::BIGINT AS budget, replication, role, count(*)::BIGINT AS n, bit_xor({FP.format(x='id')}) AS ids_xor, min(id) AS min_id, max(id) AS max_id FROM alloc GROUP BY ALL",
+    f"WITH {ALLOC} SELECT budget::BIGINT AS budget, replication, role, count(*)::BIGINT AS n, bit_xor({FP.format(x='id')}) AS ids_xor, (sum({FP.format(x='id')}) % 1152921504606846976)::BIGINT AS ids_sum, min(id) AS min_id, max(id) AS max_id FROM alloc GROUP BY ALL",
 )
 def split_manifest(spark, sf):
     return X.split_manifest(allocated(spark, sf), "id", ["budget", "replication"])
 
 
-@query("ids_hash", f"SELECT lang, count(*)::BIGINT AS n, bit_xor({FP.format(x='doc_id')}) AS ids_xor FROM documents GROUP BY lang")
+@query("ids_hash", f"SELECT lang, count(*)::BIGINT AS n, bit_xor({FP.format(x='doc_id')}) AS ids_xor, (sum({FP.format(x='doc_id')}) % 1152921504606846976)::BIGINT AS ids_sum FROM documents GROUP BY lang")
 def ids_hash(spark, sf):
     return X.ids_hash(load(spark, sf, "documents"), "doc_id", ["lang"])
 

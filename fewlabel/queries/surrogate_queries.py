@@ -85,7 +85,7 @@ def term_rows(spark, sf):
     return words.select("doc_id", TM.with_bigrams(F.col("w")).alias("terms"))
 
 
-_TERMS = f"""one AS (SELECT doc_id, regexp_extract_all(translate(lower(text), {S.lit(T.ACCENTED)}, {S.lit(T.UNACCENTED)}), {S.lit(TM.TERM)}) AS t FROM documents),
+_TERMS = f"""one AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), {S.lit(TM.TERM)}) AS t FROM documents),
 term AS (SELECT doc_id, unnest(t) AS term FROM one UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM one WHERE len(t) > 1),
 tc AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY ALL),
 voc AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY term HAVING count(*) >= 3 ORDER BY sum(tf) DESC, term LIMIT 500),
@@ -218,6 +218,11 @@ def batch_score(spark, sf):
     return shaped(out, ["doc_id"], ["score"])
 
 
+# Labelled texts of each replication, and the sizes fitted on the pool.
+POOL, STOP, SCALE = 80, 40, 60
+S_GRID = (0, 20, 40, 80)
+
+
 def labelled_text_cells(spark, sf, features, replications=3):
     """Labelled documents with TF-IDF columns, weights and replicated roles.
 
@@ -246,11 +251,11 @@ def labelled_text_cells(spark, sf, features, replications=3):
     joined = rows.join(sparse, "id", "left").withColumns(
         {"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1]), "base": mean}
     )
-    n = base.count()
-    pool, stop = int(0.5 * n), int(0.2 * n)
-    members = X.pool_stop_scale_split(base.select("id"), "id", range(replications), pool, stop, n - pool - stop, seed=101)
-    grid = [0, *[s for s in (20, 40, 80, 150) if s <= pool]]
-    return members.join(joined, "id"), n_columns, grid
+    # a budget of labels bounds every (replication, s) group, whatever the table's size
+    if base.limit(POOL + STOP + SCALE).count() < POOL + STOP + SCALE:
+        raise ValueError(f"fewer than {POOL + STOP + SCALE} labelled texts for the pool, stop and scale sets")
+    members = X.pool_stop_scale_split(base.select("id"), "id", range(replications), POOL, STOP, SCALE, seed=101)
+    return members.join(joined, "id"), n_columns, list(S_GRID)
 
 
 _TARGETS = {"log_word_count": ["log_word_count"], "reading_ease": ["reading_ease"]}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fewlabel.operators import influence as I
 from fewlabel.operators import moments as G
 from fewlabel.operators import surrogate as U
-from fewlabel.operators.quantiles import exact_quantiles
+from fewlabel.operators.quantiles import exact_quantiles_of
 from fewlabel.operators.scaling import scale_no_center, zscore
 
 RNG = np.random.default_rng(4)
@@ -92,12 +92,20 @@ def test_ridge_rules(table, family):
     assert np.allclose(fit.beta, beta) and np.allclose(fit.weight_row, inverse[1])
 
 
-def test_long_column_quantiles_are_exact(spark):
-    values = np.concatenate([np.full(4000, 2.0), RNG.exponential(size=8000), RNG.normal(size=500) * 1e6])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.99, 1.0]
-    got = exact_quantiles(df, F.col("v"), probs, limit=1000)
-    assert np.allclose(got, np.quantile(values, probs), rtol=1e-12)
+@pytest.mark.parametrize("margin", [3e-4, 1e-9, 1.0])
+def test_quantiles_are_exact(spark, margin):
+    columns = {
+        "mixed": np.concatenate([np.full(4000, 2.0), RNG.exponential(size=8000), RNG.normal(size=500) * 1e6]),
+        "capped": np.concatenate([np.linspace(0, 1, 30), np.full(12_470, 1.0)]),
+        "few": RNG.integers(0, 3, 12_500).astype(float),
+    }
+    rows = [tuple(map(float, r)) + (None,) for r in zip(*columns.values())]
+    df = spark.createDataFrame(rows, "mixed double, capped double, few double, none double").repartition(3)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.77, 0.99, 1.0]
+    got = exact_quantiles_of(df, {c: F.col(c) for c in df.columns}, probs, margin=margin)
+    for name, values in columns.items():
+        assert np.allclose(got[name], np.quantile(values, probs), rtol=1e-12)
+    assert got["none"] == [None] * len(probs)
 
 
 def test_square_weights(spark):

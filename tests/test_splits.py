@@ -67,9 +67,40 @@ def test_audit_sees_a_leak(spark):
         X.require_passed(report).collect()
 
 
-def test_small_bundle_audit():
-    failures = X.audit_roles({1, 2, 3, 4}, {1}, {2}, [2, 3, 4], [3, 4], [1, 2])
-    assert "L_prime is not exactly L minus V_stop and V_scale" in failures
+def test_audit_counts_each_fault(spark):
+    clean = [(i, "stop" if i < 2 else "train", i - 1 if i >= 2 else None) for i in range(6)]
+    whole = [(i, "all", None) for i in range(6)]
+    sizes = {"all": 6, "stop": 2, "train": 4}
+    known = ids(spark, 6).withColumnRenamed("sample_id", "id")
+
+    def report(rows):
+        df = spark.createDataFrame([(1, *r) for r in rows], "k long, id long, role string, train_rank long")
+        return X.leakage_audit(df, "id", ["k"], sizes, known, whole="all").first().asDict()
+
+    assert report(clean + whole)["passed"]
+    for rows, fault in (
+        (clean + whole + clean[:1], "repeated"),
+        (clean + whole + [(0, "train", None)], "overlapping"),
+        (clean + whole[1:], "not_dealt"),
+        (clean + whole + [(99, "all", None), (99, "stop", None)], "unknown_ids"),
+        (clean + whole + [(3, "other", None)], "stray_roles"),
+        (clean[:4] + [(4, "train", 9)] + clean[5:] + whole, "order_gaps"),
+        (clean[:4] + [(4, "train", 4)] + clean[5:] + whole, "order_ties"),
+    ):
+        got = report(rows)
+        assert got[fault] > 0 and not got["passed"]
+
+
+def test_a_digest_sees_repeated_ids(spark):
+    rows = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    one = spark.createDataFrame([(1,)], "id long")
+    assert X.ids_hash(rows, "id").first()["ids_xor"] == X.ids_hash(one, "id").first()["ids_xor"]
+    assert X.ids_hash(rows, "id").first()["ids_sum"] != X.ids_hash(one, "id").first()["ids_sum"]
+
+
+def test_unfit_train_sizes_stop_the_job(spark):
+    with pytest.raises(ValueError, match=r"\[90\]"):
+        X.train_val_select(ids(spark, 100), "sample_id", [50, 90], [0], 1, min_validation=20)
 
 
 def test_allocation_sizes(spark):
