@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import broadcast_if_small
 from .population import affine_scale
 
 
@@ -43,9 +42,9 @@ def budget_feasible(curve: DataFrame, budgets: Sequence[int], s: str = "s", out:
     return rows.withColumn(out, F.explode(above))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, bound: int = 200_000) -> DataFrame:
-    """Left lookup of a table with unique keys; broadcast only when its size allows."""
-    return rows.join(broadcast_if_small(table, bound), key, "left")
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left lookup of a table with unique keys; the planner broadcasts it if its bytes allow."""
+    return rows.join(table, key, "left")
 
 
 def embedding_lookup(rows: DataFrame, text: str, vectors: DataFrame, dim: int, out: str = "embedding") -> DataFrame:

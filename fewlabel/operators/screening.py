@@ -236,9 +236,9 @@ def rank_specs(summary: DataFrame, scaling: DataFrame, budget_table: DataFrame)
     return out.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def partial_metrics(cells: DataFrame) -> DataFrame:
-    """By method and size: finished cells, mean ratios, and the baseline of the first replication."""
-    return cells.groupBy("method", "s").agg(
+def partial_metrics(cells: DataFrame, by: Sequence[str] = ("method", "s")) -> DataFrame:
+    """By method and size (and more keys): finished cells, mean ratios, and the baseline of the first replication."""
+    return cells.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("ifvar").alias("mean_ifvar"),
         F.avg(F.when(F.col("const_ifvar") != 0, F.col("ifvar") / F.col("const_ifvar"))).alias("mean_ratio_const"),

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as V
-from ..sources.tables import broadcast_if_small
 
 HEAVY_SHARE = 10_000
 
@@ -72,7 +71,9 @@ def lexicon_sentiment(rows: DataFrame, id_: str, words: str, lexicon: DataFrame
     if lexicon is None:
         lexicon = rows.sparkSession.createDataFrame(list(V.DEFAULT_LEXICON), "word string, valence double")
     tokens = rows.select(id_, F.explode_outer(words).alias("word"))
-    hit = tokens.join(broadcast_if_small(lexicon), "word", "left")
+    # a lexicon of small estimated bytes is broadcast by the planner; beyond it frequent
+    # words are split by the adaptive skew join, as the sums below shuffle anew
+    hit = tokens.join(lexicon, "word", "left")
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     sums = hit.groupBy(id_).agg(
         F.sum(v).alias("x"),

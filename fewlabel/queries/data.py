@@ -6,16 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 
-# key to hash rows by when a table comes in fewer files than there are cores
-SPREAD = {
-    "documents": "doc_id",
-    "conversations": "conv_id",
-    "embeddings": "vec_id",
-    "events": "event_id",
-    "lineitem": "l_orderkey",
-    "orders": "o_orderkey",
-}
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread_by=SPREAD.get(name))
+    return read_table(spark, f"{sf_dir}/{name}.parquet")

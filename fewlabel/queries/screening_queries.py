@@ -228,14 +228,14 @@ _PM = ["mean_ifvar", "mean_ratio_const", "mean_ratio_direct", "direct"]
 @query(
     "partial_metrics",
     sql_shaped(
-        "SELECT training_objective AS method, s, count(*)::BIGINT AS n, avg(ifvar) AS mean_ifvar, avg(ifvar / (direct_ifvar * 1.25)) AS mean_ratio_const, avg(ifvar / direct_ifvar) AS mean_ratio_direct, arg_min(direct_ifvar, replication) AS direct FROM ratio WHERE feature = 'A' GROUP BY ALL",
-        ["method", "s", "n"],
+        "SELECT feature, training_objective AS method, s, count(*)::BIGINT AS n, avg(ifvar) AS mean_ifvar, avg(ifvar / (direct_ifvar * 1.25)) AS mean_ratio_const, avg(ifvar / direct_ifvar) AS mean_ratio_direct, arg_min(direct_ifvar, replication) AS direct FROM ratio GROUP BY ALL",
+        ["feature", "method", "s", "n"],
         _PM,
         with_=f"WITH {SCAL}",
     ),
 )
 def partial_metrics(spark, sf):
-    rows = ratios(spark, sf).where(F.col("feature") == "A").select(
-        F.col("training_objective").alias("method"), "replication", "s", "ifvar", (F.col("direct_ifvar") * 1.25).alias("const_ifvar"), "direct_ifvar"
+    rows = ratios(spark, sf).select(
+        "feature", F.col("training_objective").alias("method"), "replication", "s", "ifvar", (F.col("direct_ifvar") * 1.25).alias("const_ifvar"), "direct_ifvar"
     )
-    return shaped(R.partial_metrics(rows), ["method", "s", "n"], _PM)
+    return shaped(R.partial_metrics(rows, ["feature", "method", "s"]), ["feature", "method", "s", "n"], _PM)

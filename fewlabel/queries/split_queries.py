@@ -80,7 +80,9 @@ def cell_plan(spark, sf):
 
 def finished_cells(spark, sf):
     o = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.where(F.col("o_totalprice") > 495000).select(F.col("c_nationkey").cast("long").alias("nation"), F.col("o_orderstatus").alias("status")).distinct()
+    cells = o.groupBy(F.col("c_nationkey").cast("long").alias("nation"), F.col("o_orderstatus").alias("status"))
+    # a cell counts as finished if it has an even number of orders: all of them are read
+    return cells.agg(F.count("*").alias("n"), F.avg(F.col("o_totalprice") / 1000).alias("runtime_seconds")).where(F.col("n") % 2 == 0)
 
 
 @query("cell_grid", f"WITH {_PLAN} SELECT nation::BIGINT AS nation, status, rho::DOUBLE AS rho, task_index FROM plan")
@@ -91,7 +93,7 @@ def cell_grid(spark, sf):
 @query(
     "pending_cells",
     f"""WITH {_PLAN} SELECT nation::BIGINT AS nation, status, rho::DOUBLE AS rho, task_index FROM plan WHERE (nation, status) NOT IN
-    (SELECT (c_nationkey, o_orderstatus) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 495000)""",
+    (SELECT (c_nationkey, o_orderstatus) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderstatus HAVING count(*) % 2 = 0)""",
 )
 def pending_cells(spark, sf):
     return X.pending_cells(cell_plan(spark, sf), finished_cells(spark, sf), ["nation", "status"])
@@ -99,20 +101,14 @@ def pending_cells(spark, sf):
 
 @query(
     "progress_eta",
-    f"""WITH {_PLAN}, done AS (SELECT c_nationkey AS nation, o_orderstatus AS status, avg(o_totalprice / 1000) AS runtime FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 495000 GROUP BY ALL)
+    f"""WITH {_PLAN}, done AS (SELECT c_nationkey AS nation, o_orderstatus AS status, avg(o_totalprice / 1000) AS runtime FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING count(*) % 2 = 0)
     SELECT status AS method, count(runtime)::BIGINT AS completed, count(*)::BIGINT AS total, round(avg(runtime), 6) AS mean_runtime,
       round((count(*) - count(runtime)) * avg(runtime) / 3600, 6) AS remaining_hours FROM plan LEFT JOIN done USING (nation, status) GROUP BY status""",
 )
 def progress_eta(spark, sf):
     from ..operators.screening import progress_eta as eta
 
-    o = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    done = (
-        o.where(F.col("o_totalprice") > 495000)
-        .groupBy(F.col("c_nationkey").cast("long").alias("nation"), F.col("o_orderstatus").alias("status"))
-        .agg(F.avg(F.col("o_totalprice") / 1000).alias("runtime_seconds"))
-    )
-    out = eta(cell_plan(spark, sf).withColumn("method", F.col("status")), done, ["nation", "status"], "method")
+    out = eta(cell_plan(spark, sf).withColumn("method", F.col("status")), finished_cells(spark, sf).drop("n"), ["nation", "status"], "method")
     return shaped(out, ["method", "completed", "total"], ["mean_runtime", "remaining_hours"])
 
 

@@ -9,15 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(
-    spark: SparkSession, path: str, schema=None, spread_by: str | None = None
-) -> DataFrame:
-    """Read csv, json, jsonl, jsonl.gz or parquet by suffix.
-
-    ``spread_by`` names a column to hash the rows over the cores when the table
-    comes in fewer files than there are cores; a table in many files (the
-    normal case on a cluster) is left as it is scanned.
-    """
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read csv, json, jsonl, jsonl.gz or parquet by suffix; the scan's own splits deal out the rows."""
     lower = path.lower().rstrip("/")
     reader = spark.read if schema is None else spark.read.schema(schema)
     if lower.endswith(".csv"):
@@ -31,12 +24,7 @@ def read_table(
         df = reader.parquet(path)
     else:
         raise ValueError(f"unsupported source format: {path}")
-    return spread(df, spread_by) if spread_by else df
-
-
-def spread(df: DataFrame, column: str) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, column)
+    return df
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -91,6 +79,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory()
 
 
+def child_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies directly in a folder, by Spark's own file system."""
+    fs, hpath = _file_system(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(hpath)] if fs.exists(hpath) else []
+
+
 # Result layouts in the order they are looked for, and the
 # candidate value columns with the factor to the raw 80-100 scale (5 squared).
 RESULT_LAYOUTS = (
@@ -150,16 +144,6 @@ def read_first_available(
     raise FileNotFoundError(f"no result layout found in {folder}")
 
 
-def rows_at_most(df: DataFrame, bound: int) -> bool:
-    """Whether the table has at most ``bound`` rows, reading no more than needed."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def broadcast_if_small(df: DataFrame, bound: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a check of the size; else the join shuffles."""
-    return F.broadcast(df) if rows_at_most(df, bound) else df
-
-
 def python_round(x: float) -> int:
     """Rounding of halves to even, as the budget arithmetic needs it."""
     floor = math.floor(x)

@@ -1,8 +1,9 @@
 """Running results over arriving files, equal to their batch counterparts.
 
-State is one row of sums per group, so it does not grow with the stream. Each
-batch rewrites a small result table below the shared folder; the query's own
-checkpoint makes a restart continue where it stopped.
+State is one row of sums per group (and one key per cell where copies are
+dropped), so it does not grow with the stream. Each batch writes a small result
+table into a folder that also holds the query's checkpoint: called again with
+the same folder, a job reads only what has arrived since.
 """
 
 from __future__ import annotations
@@ -17,22 +18,23 @@ from pyspark.sql import functions as F
 from ..operators.ppi import finish_ppi, ppi_sums
 from ..session import shared_dir
 from ..sources.metrics import CELL_JSON, flatten_cells
+from ..sources.tables import child_names
 
 
-def run_available(stream: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame] | None = None, folder: str | None = None
+) -> DataFrame:
     """Process everything that has arrived, in complete mode, and return the result table.
 
-    Each batch writes its own folder, so a batch that is run again after a
-    failure replaces its own output only.
+    ``folder`` keeps results and checkpoint for the next call; without it a new
+    one below the shared folder is used once. Each batch writes its own table,
+    so a batch that is run again after a failure replaces its own output only.
     """
     spark = stream.sparkSession
-    folder = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    seen: list[str] = []
+    folder = folder or os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
     def save(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/batch-{number}"
-        (finish(batch) if finish else batch).write.mode("overwrite").parquet(path)
-        seen.append(path)
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{folder}/batch-{number}")
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -42,19 +44,20 @@ def run_available(stream: DataFrame, name: str, finish: Callable[[DataFrame], Da
         .start()
     )
     query.awaitTermination()
-    if not seen:
+    done = [int(n.removeprefix("batch-")) for n in child_names(spark, folder) if n.startswith("batch-")]
+    if not done:
         raise RuntimeError(f"no input has arrived for {name}")
-    return spark.read.parquet(seen[-1])
+    return spark.read.parquet(f"{folder}/batch-{max(done)}")
 
 
 def stream_ppi_mean(
-    rows: DataFrame, by: Sequence[str], y: str, pred: str, correction: Column, unlabelled: Column, labelled: Column, unit: float = 1.0
+    rows: DataFrame, by: Sequence[str], y: str, pred: str, correction: Column, unlabelled: Column, labelled: Column, unit: float = 1.0, folder: str | None = None
 ) -> DataFrame:
     """Corrected mean per group over a stream of labels and predictions."""
-    return run_available(rows.groupBy(*by).agg(*ppi_sums(y, pred, correction, unlabelled, labelled, None)), "ppi", lambda s: finish_ppi(s, unit))
+    return run_available(rows.groupBy(*by).agg(*ppi_sums(y, pred, correction, unlabelled, labelled, None)), "ppi", lambda s: finish_ppi(s, unit), folder)
 
 
-def stream_cell_metrics(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
+def stream_cell_metrics(spark: SparkSession, path: str, files_per_batch: int = 4, folder: str | None = None) -> DataFrame:
     """Finished cells per method and size with running means; a cell counts once.
 
     The state of the duplicate check is one key per cell of the plan.
@@ -64,7 +67,7 @@ def stream_cell_metrics(spark: SparkSession, path: str, files_per_batch: int = 4
     running = cells.groupBy("method", "budget", "s_train").agg(
         F.count(F.lit(1)).alias("completed"),
         F.avg("ppi_var_est").alias("mean_var"),
-        F.avg(F.col("ppi_var_est") / F.col("sample_mean_var_est")).alias("mean_ratio"),
+        F.avg(F.try_divide(F.col("ppi_var_est"), F.col("sample_mean_var_est"))).alias("mean_ratio"),
         F.avg("validation_rmse").alias("mean_rmse"),
     )
-    return run_available(running, "cells")
+    return run_available(running, "cells", folder=folder)

@@ -44,6 +44,34 @@ def test_subset_guards(spark):
         J.subset_by_ids(spark.createDataFrame([(1, 1), (1, 2)], "id long, rank long"), pop, "id", "L", "y").collect()
 
 
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    def arrive(part, values):
+        rows = [("a", float(v), float(v) / 2, i % 2 == 0) for i, v in enumerate(values)]
+        spark.createDataFrame(rows, "g string, y double, f double, k boolean").coalesce(1).write.parquet(f"{tmp_path}/part-{part}")
+
+    def run():
+        stream = spark.readStream.schema("g string, y double, f double, k boolean").parquet(f"{tmp_path}/in/*")
+        return jobs.stream_ppi_mean(stream, ["g"], "y", "f", F.col("k"), ~F.col("k"), F.col("k"), folder=f"{tmp_path}/kept").first()
+
+    (tmp_path / "in").mkdir()
+    arrive(1, range(10))
+    (tmp_path / "part-1").rename(tmp_path / "in" / "one")
+    first = run()
+    again = run()
+    assert first == again
+    # what was read must not be read again: it is gone when the next part arrives
+    (tmp_path / "in" / "one").rename(tmp_path / "gone")
+    arrive(2, range(10, 40))
+    (tmp_path / "part-2").rename(tmp_path / "in" / "two")
+    resumed = run()
+    arrive(3, [*range(10), *range(10, 40)])
+    (tmp_path / "in" / "two").rename(tmp_path / "gone2")
+    (tmp_path / "part-3").rename(tmp_path / "in" / "three")
+    stream = spark.readStream.schema("g string, y double, f double, k boolean").parquet(f"{tmp_path}/in/*")
+    whole = jobs.stream_ppi_mean(stream, ["g"], "y", "f", F.col("k"), ~F.col("k"), F.col("k")).first()
+    assert resumed != first and resumed.asDict() == pytest.approx(whole.asDict())
+
+
 def test_stream_equals_batch_over_many_files(spark, tmp_path):
     from fewlabel.operators.ppi import ppi_mean
 
