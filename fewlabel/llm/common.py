@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -93,21 +93,28 @@ def _digest(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def keep_by_id(docs: DataFrame, verdict: DataFrame, keep: Column) -> DataFrame:
-    """Documents whose ``verdict`` row (one per doc_id) says ``keep``; rows without an id always stay.
+def packed(df: DataFrame, *beside: Column) -> DataFrame:
+    """All columns in one struct ``row``, so that none can clash with what is joined, and further columns beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *beside)
 
-    The columns are those of ``docs``. A left join, so that null ids, which
-    never match, pass through.
+
+def unpacked(df: DataFrame, columns: Sequence[str], *beside: Column | str) -> DataFrame:
+    return df.select(*[F.col(f"row.`{c}`") for c in columns], *beside)
+
+
+def keep_by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Documents whose id is in ``kept(doc_id)``, one row per id; rows without an id always stay.
+
+    A left join, so that null ids, which never match, pass through.
     """
-    marked = verdict.select(F.col("doc_id").alias("__id"), keep.alias("__keep"))
-    joined = docs.join(marked, docs["doc_id"] == F.col("__id"), "left")
-    return joined.where(F.col("doc_id").isNull() | F.coalesce("__keep", F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = kept.select(F.col("doc_id").alias("id"), F.lit(True).alias("keep"))
+    rows = packed(docs, F.col("doc_id").alias("own"))
+    joined = rows.join(marked, F.col("own") == F.col("id"), "left")
+    return unpacked(joined.where("own is null or keep"), docs.columns)
 
 
-def first_rows(docs: DataFrame, order: Sequence[str] = ("text",)) -> DataFrame:
+def first_rows(docs: DataFrame, order: str = "text") -> DataFrame:
     """One row for each doc_id (repeated rows of an id: the least by hash); rows without an id all stay."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in order])
-    ranked = docs.withColumn("__row", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(w)))
-    return ranked.where("__row = 1").drop("__row")
+    rows = packed(docs, F.col("doc_id").alias("own"), F.xxhash64(order).alias("place"))
+    number = F.row_number().over(Window.partitionBy("own").orderBy("place"))
+    return unpacked(rows.withColumn("number", number).where("own is null or number = 1"), docs.columns)

@@ -81,8 +81,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     """(doc_id, dropped): the numbers of the lines each document loses; documents that lose none are absent."""
     spark = docs.sparkSession
     keys = line_keys(docs, min_chars)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
-    batch = reduce(lambda a, b: a + b, [(F.col("doc_id") > int(c)).cast("int") for c in cuts], F.lit(0))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set((docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] if shares else None) or []))
+    batch = reduce(lambda a, b: a + b, [(F.col("doc_id") > c).cast("int") for c in cuts], F.lit(0))
     keys = materialise(keys.withColumn("batch", batch), "line-keys")
     runs = LineRuns(spark)
     for b in range(len(cuts) + 1):
@@ -100,11 +101,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     are one document and lose the same lines. Rows with a null doc_id own and
     lose nothing. An empty table gives an empty result.
     """
-    drops = dropped_lines(pick(docs, "doc_id", "text"), min_chars, batches).select(F.col("doc_id").alias("__id"), "dropped")
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.join(drops, docs["doc_id"] == F.col("__id"), "left").select(
-        F.struct(*others).alias("others"), F.coalesce("text", F.lit("")).alias("text"), "dropped"
+    drops = dropped_lines(pick(docs, "doc_id", "text"), min_chars, batches).select(F.col("doc_id").alias("id"), "dropped")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("others"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("own")
     )
+    joined = rows.join(drops, F.col("own") == F.col("id"), "left").select("others", "text", "dropped")
 
     def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces:
@@ -121,5 +123,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
 
     others_type = joined.schema["others"].dataType.simpleString()
     kept = arrow_map(joined, run, f"others {others_type}, text string, n_lines long, n_dropped long")
-    columns = [F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return kept.select(*columns, "n_lines", "n_dropped")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in columns], "n_lines", "n_dropped")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WORD
+from .common import WORD, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -61,32 +61,25 @@ def mix(
     Columns of these four names in ``sized`` are replaced.
     """
     sized = sized.drop("source_size", "target", "copies", "taken")
-    narrow = materialise(sized.select("doc_id", "source", "size", *_order(seed)), "mix-sizes")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    bucket = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+    place = [F.col("doc_id"), F.col("source"), F.col("size"), key.alias("key"), bucket.alias("bucket")]
+    narrow = materialise(sized.select(*place[1:3], place[4]), "mix-sizes")
     targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    by_bucket = narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("n"))
-    running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_bucket = by_bucket.withColumn("until", F.sum("n").over(running)).withColumnRenamed("source", "s")
-    cut = targets.join(by_bucket, F.col("source").eqNullSafe(F.col("s")))
-    cut = cut.where("until - n <= rest").groupBy("source", "source_size", "target", "whole", "rest").agg(
-        F.max(F.struct("__bucket", F.expr("until - n").alias("before"))).alias("at")
-    )
-    cut = materialise(
-        cut.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", F.col("at.__bucket").alias("cut"), "at.before"), "mix-cuts"
-    )
-    rows = sized.select(*[F.col(f"`{c}`") for c in sized.columns], *_order(seed)).join(cut, F.col("source").eqNullSafe(F.col("s")))
-    ranked = Window.partitionBy("s").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.where("__bucket = cut").withColumn("__until", F.sum("size").over(ranked))
-    edge = edge.withColumn("__more", F.expr("before + __until - size / 2.0D <= rest").cast("int")).drop("__until")
-    clear = rows.where("__bucket <> cut").withColumn("__more", F.expr("__bucket < cut").cast("int"))
-    mixed = clear.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("__more")).cast("long"))
-    return mixed.select(*[F.col(f"`{c}`") for c in sized.columns], "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def _order(seed: int):
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    return key.alias("__key"), F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("__bucket")
+    running = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_bucket = narrow.groupBy(F.col("source").alias("s"), "bucket").agg(F.sum("size").alias("n")).withColumn("until", F.sum("n").over(running))
+    cut = targets.join(by_bucket, F.col("source").eqNullSafe(F.col("s"))).where("until - n <= rest")
+    cut = cut.groupBy("s", "source_size", "target", "whole", "rest").agg(F.max(F.struct("bucket", F.expr("until - n").alias("before"))).alias("at"))
+    cut = materialise(cut.select("s", "source_size", "target", "whole", "rest", F.col("at.bucket").alias("cut"), "at.before"), "mix-cuts")
+    rows = packed(sized, *place).join(cut, F.col("source").eqNullSafe(F.col("s")))
+    ranked = Window.partitionBy("s").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = rows.where("bucket = cut").withColumn("until", F.sum("size").over(ranked))
+    edge = edge.withColumn("more", F.expr("before + until - size / 2.0D <= rest").cast("int")).drop("until")
+    clear = rows.where("bucket <> cut").withColumn("more", F.expr("bucket < cut").cast("int"))
+    mixed = clear.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("more")).cast("long"))
+    return unpacked(mixed, sized.columns, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -184,4 +184,4 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     groups = near_duplicates(docs, radius)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return first_rows(keep_by_id(docs, kept, F.lit(True)))
+    return first_rows(keep_by_id(docs, kept))
