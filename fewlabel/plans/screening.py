@@ -222,6 +222,10 @@ def candidate_diagnostics(
         for f in meta
     ]
     extra = target.agg(F.array(*structs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    # one row per (feature, value), merged before the shuffle: no set of values is ever collected
+    named = F.array(*[F.struct(F.lit(f).alias("fit"), F.col(f"{f}_raw").cast("double").alias("x")) for f in meta])
+    values = target.select(F.explode(named).alias("v")).select("v.*").where(F.col("x").isNotNull()).distinct()
+    unique = values.groupBy("fit").agg(F.count("*").alias("unique_values"))
     rows = [(f, ",".join(controls[f]), _finite(float(I.vif(m, f, controls[f]))), float(I.max_abs_corr(m, f, controls[f]))) for f in meta]
     side = df.sparkSession.createDataFrame(
         rows, "fit string, controls string, target_vif double, max_abs_corr_with_controls double"
@@ -229,19 +233,21 @@ def candidate_diagnostics(
     out = I.fit_table(target, fits)
     for t in (stats, extra, side):
         out = out.join(F.broadcast(t), "fit")
-    out = out.join(
-        F.broadcast(metadata.select(F.col("feature").alias("fit"), "family", "kind", "priority")), "fit"
-    )
+    out = out.join(unique, "fit", "left").withColumn("unique_values", F.coalesce("unique_values", F.lit(0)))
+    note = F.col("note") if "note" in metadata.columns else F.lit(None).cast("string")
+    out = out.join(F.broadcast(metadata.select(F.col("feature").alias("fit"), "family", "kind", "priority", note.alias("note"))), "fit")
     zero, ols = F.col("zero_if_var"), F.col("if_var")
     out = out.select(
         F.col("fit").alias("feature"),
         "family",
         "kind",
         "priority",
+        "note",
         "controls",
         F.col("beta").alias("beta_controlled"),
         F.abs("beta").alias("abs_beta_controlled"),
         "nonzero_share",
+        "unique_values",
         "sd_raw",
         "target_vif",
         "max_abs_corr_with_controls",

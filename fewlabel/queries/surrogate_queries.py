@@ -11,6 +11,7 @@ from ..operators import splits as X
 from ..operators import surrogate as U
 from ..operators import terms as TM
 from ..operators.moments import moments_of
+from ..operators.screening import budget_rows, screen_score
 from ..plans import headlines as H
 from ..plans import populations as POP
 from ..plans import screening as PL
@@ -277,9 +278,8 @@ def spec_scaling(spark, sf):
     return out.withColumnRenamed("feature", "spec_id")
 
 
-@query("embedding_screen")
-def embedding_screen(spark, sf):
-    """Embedding-difference ridge surrogates against two coefficient targets (rows only)."""
+def screened_embeddings(spark, sf):
+    """Embedding-difference ridge surrogates against two coefficient targets: results and target diagnostics."""
     from ..operators.scaling import pair_embedding, standardize_embedding
     from .project_queries import vector_pairs
 
@@ -294,15 +294,34 @@ def embedding_screen(spark, sf):
     split = X.frac_split(rows, "pair_id", seed=103)
     split = split.withColumn("screen_split", F.when(F.col("split") == "evaluation", "evaluation").otherwise("train_pool"))
     ready = materialise(standardize_embedding(split, "d", F.col("screen_split") == "train_pool", 64), "vectors")
-    results, _ = SU.embedding_screen(
+    return SU.embedding_screen(
         ready, "pair_id", "d", 64, "y", {"x1": ["x2"], "x2": []}, [50, 100], [0, 1], [1.0, 10.0, 100.0, 1000.0], 107, 40
     )
-    return results
+
+
+@query("embedding_screen")
+def embedding_screen(spark, sf):
+    """Result rows of the embedding surrogates (rows only)."""
+    return screened_embeddings(spark, sf)[0]
+
+
+@query("embedding_screen_diagnostics")
+def embedding_screen_diagnostics(spark, sf):
+    """Coefficient, IF variance and weight quantiles of each target (rows only)."""
+    return screened_embeddings(spark, sf)[1]
+
+
+@query("embedding_screen_budgets")
+def embedding_screen_budgets(spark, sf):
+    """Ratios of the result rows to direct labelling under each budget (rows only)."""
+    results = screened_embeddings(spark, sf)[0]
+    zero = results.where("method = 'zero_surrogate'").select("target", F.col("ifvar").alias("zero_ifvar"))
+    return budget_rows(results.where("s > 0").join(zero, "target"), (300, 500, 1000))
 
 
 @query("candidate_diagnostics")
 def candidate_diagnostics(spark, sf):
-    """Every headline feature of the labelled document pairs, with its controls (rows only)."""
+    """Every headline feature of the labelled document pairs, with its controls, flags, score and rank (rows only)."""
     pairs = POP.document_pairs(load(spark, sf, "documents"))
     q = load(spark, sf, "labels").select("doc_id", "quality")
     both = q.where(F.col("doc_id") % 2 == 0).select(F.floor(F.col("doc_id") / 2).alias("pair_id"), F.col("quality").alias("qa")).join(
@@ -315,7 +334,7 @@ def candidate_diagnostics(spark, sf):
     texts = H.pair_surrogate_text(wide).select("pair_id", "__text").join(split, "pair_id")
     pred, _ = H.tfidf_surrogate(texts, "pair_id", "__text", "y", max_features=200)
     ready = materialise(features.join(split, "pair_id").join(pred, "pair_id"), "screen")
-    return PL.candidate_diagnostics(ready, meta, H.CORE_CONTROLS, "y", "pred", [500, 1000])
+    return screen_score(PL.candidate_diagnostics(ready, meta, H.CORE_CONTROLS, "y", "pred", [500, 1000]))
 
 
 # --- streams -------------------------------------------------------------------------

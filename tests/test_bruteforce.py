@@ -67,7 +67,7 @@ def test_candidate_diagnostics(spark):
     meta = spark.createDataFrame([("delta_q", "one", "continuous", 0), ("delta_r", "two", "continuous", 1), ("delta_copy", "three", "continuous", 2)], "feature string, family string, kind string, priority int")
     got = {x["feature"]: x for x in PL.candidate_diagnostics(df, meta, list(cols), "y", "pred", [500]).collect()}
     row = got["delta_q"]
-    assert row["controls"] == "delta_r"
+    assert row["controls"] == "delta_r" and row["unique_values"] == target.sum() and row["note"] is None
     z = np.column_stack([np.ones(n), q, r])[target]
     yt = y[target]
     h = z.T @ z / target.sum()
