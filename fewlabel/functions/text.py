@@ -7,7 +7,6 @@ letters, blank lines or vowels, so one odd page cannot stall a task.
 from __future__ import annotations
 
 import unicodedata
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column

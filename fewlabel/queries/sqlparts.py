@@ -1,10 +1,15 @@
-"""SQL fragments for the checks, written independently of the Spark code."""
+"""SQL fragments for the checks, written independently of the Spark code; only the word lists are shared."""
 
 from __future__ import annotations
 
-from ..functions import text as T
 from ..functions import words as W
 
+# Token patterns and Unicode white space, written out here so that a wrong one elsewhere shows.
+WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
+ALNUM = r"[A-Za-z0-9]+(?:'[A-Za-z]+)?"
+HEADLINE_WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?|\d+(?:[,.]\d+)*(?:st|ST|nd|ND|rd|RD|th|TH|sT|St|nD|Nd|rD|Rd|tH|Th)?"
+SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -23,16 +28,16 @@ def n_found(text: str, pattern: str) -> str:
 
 
 def words(text: str) -> str:
-    return found(text, T.WORD)
+    return found(text, WORD)
 
 
 def tokens(text: str, keep_stop: bool = False) -> str:
-    got = found(f"lower({text})", T.ALNUM)
+    got = found(f"lower({text})", ALNUM)
     return got if keep_stop else f"list_filter({got}, lambda t: t NOT IN {in_list(W.STOP_WORDS)})"
 
 
 def headline_words(text: str) -> str:
-    return f"list_filter({found(f'lower({text})', T.HEADLINE_WORD)}, lambda t: regexp_matches(t, '[a-z]'))"
+    return f"list_filter({found(f'lower({text})', HEADLINE_WORD)}, lambda t: regexp_matches(t, '[a-z]'))"
 
 
 def syllables(word: str) -> str:
@@ -53,7 +58,7 @@ def sentence_runs(text: str) -> str:
 def sentence_parts(text: str) -> str:
     return (
         f"greatest(1, len(list_filter(string_split_regex({text}, '[.!?]+'), "
-        f"lambda p: regexp_matches(p, {lit('[^' + T.SPACE + ']')}))))"
+        f"lambda p: regexp_matches(p, {lit('[^' + SPACE + ']')}))))"
     )
 
 
@@ -101,6 +106,7 @@ pref AS (
   JOIN turns r2 ON u.conv_id = r2.conv_id AND r2.role = 'assistant' AND r2.k = 2
   WHERE u.role = 'user' AND u.k = 1)"""
 
+# Layout patterns.
 _FORMATS = (
     r"(?m)^\s*[-*+]\s+\S", r"(?m)^\s*\d+[\.)]\s+\S", r"(?m)^#{1,6}\s+\S", r"\*\*[^*]+\*\*",
     r"(?m)^\s*[A-Z][A-Za-z0-9 /-]{2,}:\s*$",
@@ -121,7 +127,7 @@ pref_delta AS (
     ln(1 + w2) - ln(1 + w1) AS delta_log_length, c2 - c1 AS delta_prompt_coverage,
     f2 - f1 AS delta_format, ln(1 + s2) - ln(1 + s1) AS delta_log_sentences
   FROM (SELECT conv_id, split, preference_strength,
-    {n_found('response_1', T.ALNUM)} AS w1, {n_found('response_2', T.ALNUM)} AS w2,
+    {n_found('response_1', ALNUM)} AS w1, {n_found('response_2', ALNUM)} AS w2,
     {sentence_runs('response_1')} AS s1, {sentence_runs('response_2')} AS s2,
     {coverage(tokens('prompt'), tokens('response_1'))} AS c1, {coverage(tokens('prompt'), tokens('response_2'))} AS c2,
     {structured('response_1')} AS f1, {structured('response_2')} AS f2 FROM pref)),
