@@ -26,20 +26,15 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def _repeated_words(hashes: Column) -> Column:
-    """Number of words in the 3-word windows that occur twice or more, from the words' hashes.
-
-    Windows are sorted with their places, so equal ones are neighbours; all
-    steps are linear or n log n in the length of the document.
-    """
-    windows = F.when(
+def _windows(hashes: Column) -> Column:
+    """Hashes of all windows of three words, from the words' hashes."""
+    return F.when(
         F.size(hashes) >= 3,
         F.transform(
             F.slice(hashes, F.lit(1), F.size(hashes) - 2),
             lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)),
         ),
     ).otherwise(F.array().cast("array<bigint>"))
-    return windows
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -55,7 +50,9 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
-    step = step.withColumn("g", _repeated_words(F.col("h"))).drop("h")
+    # windows are sorted with their places, so equal ones are neighbours: every step is
+    # linear or n log n in the length of the document, and texts without any stop here
+    step = step.withColumn("g", _windows(F.col("h"))).drop("h")
     placed = F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
     step = step.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), placed)).drop("g")
     twice = F.filter("s", lambda x, i: (x["g"] == F.get("s", i + 1)["g"]) | (x["g"] == F.get("s", i - 1)["g"]))
