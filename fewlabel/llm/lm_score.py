@@ -143,28 +143,36 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.tile(START, (GATES, 1)))
     refined: np.ndarray | None = None
 
+    def __post_init__(self):
+        self.logit, self.level = _evidence(self.zeros, self.ones)
+
     def run(self, slots: np.ndarray, bits: np.ndarray, weights: np.ndarray, rate: float, own: np.ndarray | None = None, seen: np.ndarray | None = None) -> np.ndarray:
-        """Bits of information in each bit. ``weights`` learn after every block; ``seen`` gathers the map's counts.
+        """Bits of information in each bit. ``weights`` learn after every block; ``seen`` gathers the map's counts instead.
 
         ``own`` is how often each bit was itself counted: learning leaves that
         out, or the longest contexts would seem to know everything.
         """
         out = np.empty(len(bits), np.float32)
+        scale = np.float32((STEPS_OF_MAP - 1) / (2 * REACH))
         for a in range(0, len(bits), BLOCK):
             at, bit = slots[:, a : a + BLOCK], bits[a : a + BLOCK]
-            zeros, ones = self.zeros[at], self.ones[at]
-            if own is not None:
-                zeros = zeros - own[a : a + BLOCK] * (1 - bit)
-                ones = ones - own[a : a + BLOCK] * bit
-            logit = np.log((ones + 0.4) / (zeros + 0.4))
-            known = zeros[1:] + ones[1:]
-            level = (known > 0).astype(np.int64) + (known >= 4) + (known >= 32)
-            gate = level[0] * 4 + level[1]
-            mixed = np.clip(np.einsum("kn,nk->n", logit, weights[gate]), -REACH, REACH)
+            if own is None:
+                logit, level = self.logit[at], self.level[at[1:]]
+            else:
+                mine = own[a : a + BLOCK]
+                ones_of = mine * bit
+                logit, level = _evidence(self.zeros[at] - (mine - ones_of), self.ones[at] - ones_of)
+            gate = level[-2].astype(np.int64) * 4 + level[-1]
+            mixed = logit[0] * weights[:, 0].astype(np.float32)[gate]
+            for k in range(1, len(logit)):
+                mixed += logit[k] * weights[:, k].astype(np.float32)[gate]
+            np.clip(mixed, -REACH, REACH, out=mixed)
             p = 1 / (1 + np.exp(-mixed))
-            step = gate * STEPS_OF_MAP + np.rint((mixed + REACH) * ((STEPS_OF_MAP - 1) / (2 * REACH))).astype(np.int64)
-            final = p if self.refined is None else 0.5 * p + 0.5 * self.refined[step]
-            out[a : a + BLOCK] = -np.log2(np.where(bit, final, 1 - final))
+            if seen is not None or self.refined is not None:
+                step = gate * STEPS_OF_MAP + ((mixed + np.float32(REACH)) * scale + np.float32(0.5)).astype(np.int64)
+            if seen is None:
+                final = p if self.refined is None else np.float32(0.5) * (p + self.refined[step])
+                out[a : a + BLOCK] = -np.log2(np.where(bit, final, 1 - final))
             if rate:
                 error, count = bit - p, np.bincount(gate, minlength=GATES)
                 for k in range(len(logit)):
@@ -174,6 +182,13 @@ class Mixer:
         return out
 
 
+def _evidence(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logit of a one and level of confidence (0 to 3) from counts."""
+    known = zeros + ones
+    level = (known > 0).astype(np.uint8) + (known >= 4) + (known >= 32)
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))), level
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, n) over all ``docs(text)``, words lower-cased."""
 
@@ -219,13 +234,14 @@ def _sum_slots(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return zeros, ones
 
 
-def _counting(batches: Iterator[pa.RecordBatch], pieces: Callable) -> Iterator[pa.RecordBatch]:
-    """Sums over a task of what ``pieces(batch)`` yields as slots, bits and weights."""
-    total = np.zeros(6 << SLOT_BITS, np.int64)
+def _counting(batches: Iterator[pa.RecordBatch], pieces: Callable, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Sums over a task of what ``pieces(batch)`` yields as slots, bits and weights, for predictors from ``first`` on."""
+    total = np.zeros((3, 2 << SLOT_BITS), np.int64)
     for batch in batches:
         for slots, bits, weight in pieces(batch):
-            for row in slots:
-                total += np.bincount(row * 2 + bits, weight, minlength=len(total)).astype(np.int64)
+            for k, row in enumerate(slots[first:], first):
+                place = (row - (k << SLOT_BITS)) * 2 + bits
+                total[k] += np.bincount(place, weight, minlength=2 << SLOT_BITS).astype(np.int64, copy=False)
     total = total.reshape(-1, 2)
     at = np.flatnonzero(total.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], ["slot", "zeros", "ones"])
@@ -253,7 +269,7 @@ def _learned(mixer: Mixer, rows: DataFrame) -> Mixer:
         mixer.weights = (values[:size] / total).reshape(mixer.weights.shape)
         seen = values[size + 1 :].reshape(-1, 2)
         own = 1 / (1 + np.exp(-np.tile(np.linspace(-REACH, REACH, STEPS_OF_MAP), GATES)))
-        mixer.refined = (seen[:, 1] + 16 * own) / (seen.sum(axis=1) + 16)
+        mixer.refined = ((seen[:, 1] + 16 * own) / (seen.sum(axis=1) + 16)).astype(np.float32)
     return mixer
 
 
@@ -272,7 +288,7 @@ def _text_pieces(code: Code, most: int = 60_000) -> Callable:
     return pieces
 
 
-def _grouped(pieces: Callable, most: int = 500_000) -> Callable:
+def _grouped(pieces: Callable, most: int = 1_000_000) -> Callable:
     """The same with several texts put together, for counting only."""
 
     def grouped(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -323,9 +339,14 @@ def train(docs: DataFrame, vocab: DataFrame, head: int = HEAD) -> tuple[Model, i
     shared = spark.sparkContext.broadcast(code)
 
     def count_words(batches):
-        return _counting(batches, _grouped(_text_pieces(shared.value)))
-
-    word_mixer = Mixer(*_sum_slots(arrow_map(docs, count_words, "slot long, zeros long, ones long")))
+        return _counting(batches, _grouped(_text_pieces(shared.value)), first=1)
+
+    zeros, ones = _sum_slots(arrow_map(docs, count_words, "slot long, zeros long, ones long"))
+    # without context a node is passed as often as the symbols below it are counted
+    passed = np.repeat([*counts.tolist(), int(words - counts.sum()), texts], code.length)
+    for side, total in enumerate((zeros, ones)):
+        total[: 1 << SLOT_BITS] = np.bincount(code.nodes, passed * (code.bits == side), 1 << SLOT_BITS)
+    word_mixer = Mixer(zeros, ones)
     letter_mixer = Mixer(*_sum_slots(arrow_map(tail, lambda b: _counting(b, _spelled_pieces), "slot long, zeros long, ones long")))
     mixers = spark.sparkContext.broadcast((word_mixer, letter_mixer))
 
