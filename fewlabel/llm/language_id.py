@@ -14,7 +14,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,15 @@ from .common import arrow_map, pick
 from .texts import RowCache, add_columns
 
 # Parameters: hashed n-grams, cost of a change, least share of a script in a
-# language, evidence a word can give at most, words counted before a flush,
-# words decoded at once.
+# language, evidence a word can give at most, words counted before a flush, words
+# hashed at once, an odd factor of the hash, words decoded at once.
 BITS = 16
 SWITCH = 8.0
 SCRIPT_SHARE = 0.001
 WORD_LIMIT = 6.0
 FLUSH = 200_000
+CHUNK = 20_000
+MIX = np.uint32(0x9E3779B1)
 DECODED_WORDS = 1_000_000
 
 # First and last code point of the letters of each script, after the Unicode blocks.
@@ -70,13 +71,28 @@ def _script_of_letter(letter: str) -> int:
 
 
 def letters_of(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalpha())
+    word = word.lower()
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def grams(letters: str, bits: int = BITS) -> list[int]:
-    """Hashed n-grams of a word's letters, its edges marked by blanks."""
-    edged, mask = f" {letters} ".encode("utf-16-le"), (1 << bits) - 1
-    return [crc32(edged[i : i + n]) & mask for n in (4, 6, 8) for i in range(0, len(edged) - n + 1, 2)]
+def grams(letters: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed n-grams of many words' letters, their edges marked by blanks.
+
+    For each n the places of all n-grams, word by word, and where each word's begin (and the last one's end).
+    """
+    code = np.frombuffer("".join([f" {w} " for w in letters]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, letters), np.int64, len(letters)) + 2
+    starts = np.cumsum(sizes) - sizes
+    hashed, out = np.zeros(len(code), np.uint32), []
+    for n in range(1, 5):
+        hashed = hashed[: len(code) - n + 1] * MIX + code[n - 1 :]
+        if n == 1:
+            continue
+        counts = np.maximum(sizes - n + 1, 0)
+        begin = np.concatenate(([0], np.cumsum(counts)))
+        at = np.arange(begin[-1]) + np.repeat(starts - begin[:-1], counts)
+        out.append((((hashed[at] ^ np.uint32(n)) * MIX >> np.uint32(32 - bits)).astype(np.int64), begin))
+    return out
 
 
 def held_out(doc_id: Column, of: int = 4, remainder: int = 2) -> Column:
@@ -93,16 +109,28 @@ class Languages:
     candidates: np.ndarray
     bits: int
 
-    def word(self, word: str) -> np.ndarray:
-        """Score for each language (differences to the best, limited), then the number of letters; no letters, no evidence."""
-        letters = letters_of(word)
-        if not letters:
-            return np.zeros(len(self.names) + 1, np.float32)
-        score = self.table[grams(letters, self.bits)].sum(axis=0)
-        allowed = self.candidates[script_of(letters)]
-        if allowed.any():
-            score = np.where(allowed, score, -np.inf)
-        return np.append(np.maximum(score - score.max(), -WORD_LIMIT), len(letters))
+    def __post_init__(self):
+        # of a script: the mask of its languages, None where it rules none or all of them out
+        self.narrowed = [row if row.any() and not row.all() else None for row in self.candidates]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row per word: score for each language (differences to the best, limited), then the number of letters.
+
+        Words without letters give no evidence.
+        """
+        letters = [letters_of(w) for w in words]
+        score = np.zeros((len(words), len(self.names)))
+        for place, begin in grams(letters, self.bits):
+            sums = np.concatenate([np.zeros((1, score.shape[1])), np.cumsum(self.table[place], axis=0, dtype=np.float64)])
+            score += sums[begin[1:]] - sums[begin[:-1]]
+        for i, w in enumerate(letters):
+            if (allowed := self.narrowed[script_of(w)] if w else None) is not None:
+                score[i, ~allowed] = -np.inf
+        if len(words):
+            score = np.maximum(score - score.max(axis=1, keepdims=True), -WORD_LIMIT)
+        sizes = np.fromiter(map(len, letters), np.float64, len(letters))
+        score[sizes == 0] = 0
+        return np.column_stack([score, sizes])
 
 
 def counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -114,17 +142,13 @@ def counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, counted in words.items():
                 table, scripts = np.zeros(1 << bits, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
-                places, times = [], []
-                for word, n in counted.items():
-                    if letters := letters_of(word):
-                        found = grams(letters, bits)
-                        places += found
-                        times += [n] * len(found)
-                        scripts[script_of(letters)] += n * len(letters)
-                    if len(places) > FLUSH:
-                        np.add.at(table, places, times)
-                        places, times = [], []
-                np.add.at(table, np.array(places, np.int64), np.array(times, np.int64))
+                pairs = [(w, n) for w, n in ((letters_of(w), n) for w, n in counted.items()) if w]
+                for a in range(0, len(pairs), CHUNK):
+                    letters, times = zip(*pairs[a : a + CHUNK])
+                    for place, begin in grams(list(letters), bits):
+                        table += np.bincount(place, np.repeat(times, np.diff(begin)), 1 << bits).astype(np.int64)
+                for letters, n in pairs:
+                    scripts[script_of(letters)] += n * len(letters)
                 for kind, array in enumerate((table, scripts)):
                     place = np.flatnonzero(array)
                     yield pa.RecordBatch.from_arrays(
@@ -168,31 +192,33 @@ def decode(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> n
     stay in the language they are in and start in the first one.
     """
     order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    alive_at = np.sort(lengths)  # texts longer than t: those from here on
     size, longest = scores.shape[1], int(lengths.max(initial=0))
-    back = np.zeros(scores.shape, np.int8 if size < 128 else np.int32)
-    value = np.zeros((len(lengths), size), np.float32)
-    own = np.arange(size)
+    # words in the order they are stepped over: all first words, all second words and so on
+    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
+    begin = np.concatenate(([0], np.cumsum(alive)))
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(lengths))
+    number = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = begin[number] + np.repeat(rank, lengths)
+    stepped = np.empty_like(scores)
+    stepped[place] = scores
+    back = np.empty(scores.shape, np.int8 if size < 128 else np.int32)
+    value, own, rows = np.zeros((len(lengths), size), np.float32), np.arange(size), np.arange(len(lengths))
     for t in range(longest):
-        alive = len(lengths) - int(np.searchsorted(alive_at, t, side="right"))
-        at = starts[:alive] + t
-        now = value[:alive]
+        now = value[: alive[t]]
         if t:
-            best = now.argmax(axis=1)
-            top = np.take_along_axis(now, best[:, None], 1) - switch
+            top = (now.max(axis=1) - switch)[:, None]
             change = top > now
-            back[at] = np.where(change, best[:, None], own)
-            now = np.maximum(now, top)
-        value[:alive] = now + scores[at]
-    path = np.zeros(len(scores), np.int64)
-    state = value.argmax(axis=1)
+            back[begin[t] : begin[t + 1]] = np.where(change, now.argmax(axis=1)[:, None], own)
+            np.maximum(now, top, out=now)
+        now += stepped[begin[t] : begin[t + 1]]
+    path, state = np.empty(len(scores), np.int64), value.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
-        alive = len(lengths) - int(np.searchsorted(alive_at, t, side="right"))
-        at = starts[:alive] + t
-        path[at] = state[:alive]
-        state[:alive] = back[at, state[:alive]]
-    return path
+        here = state[: alive[t]]
+        path[begin[t] : begin[t + 1]] = here
+        if t:
+            state[: alive[t]] = back[begin[t] : begin[t + 1]][rows[: alive[t]], here]
+    return path[place]
 
 
 def label(docs: DataFrame, model: Languages, switch: float = SWITCH, spans: bool = False) -> DataFrame:
@@ -208,12 +234,12 @@ def label(docs: DataFrame, model: Languages, switch: float = SWITCH, spans: bool
     def make() -> Callable:
         names, table, candidates, bits = shared.value
         own = Languages(names, table, candidates, bits)
-        cache = RowCache(own.word, len(names) + 1)
+        cache = RowCache(own.words, len(names) + 1)
 
         def part(texts: list[list[str]]) -> Iterator[tuple[str, float, str]]:
             lengths = np.array([len(w) for w in texts], np.int64)
             cache.start()
-            ids = np.concatenate([cache.ids(words) for words in texts])
+            ids = cache.ids([w for words in texts for w in words])
             scores, weight = cache.rows[ids, :-1], cache.rows[ids, -1]
             path, end = decode(scores, lengths, switch), 0
             for n in lengths.tolist():

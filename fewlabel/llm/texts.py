@@ -58,7 +58,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]
 
 
 class RowCache:
-    """A row of numbers per distinct word; ``ids`` maps words to rows of ``rows`` until the next ``start``.
+    """A row of numbers per distinct word, ``compute``d for all new ones together; ``ids`` maps words to rows of ``rows`` until the next ``start``.
 
     ``start`` forgets everything once ``limit`` words are held, so memory is
     bounded by the limit and the words of one turn.
@@ -74,19 +74,11 @@ class RowCache:
             self.used, self.known = 0, {}
             self.rows = np.zeros((1024, self.rows.shape[1]), np.float32)
 
-    def _id(self, word) -> int:
-        at = self.known.get(word)
-        if at is None:
-            at = self.used
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.compute(word)
-            self.used += 1
-            self.known[word] = at
-        return at
-
     def ids(self, words: list) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            return np.fromiter(map(self._id, words), np.int64, len(words))
+        if new := list(set(words).difference(self.known)):
+            if self.used + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(self.rows), len(new)), self.rows.shape[1]), np.float32)])
+            self.rows[self.used : self.used + len(new)] = self.compute(new)
+            self.known.update(zip(new, range(self.used, self.used + len(new))))
+            self.used += len(new)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))

@@ -37,8 +37,8 @@ def test_scripts_narrow_the_candidates():
     candidates = np.zeros((len(language_id.SCRIPT_NAMES), 2), bool)
     candidates[0, 0] = candidates[2, 1] = True
     model = language_id.Languages(names, np.zeros((1 << 4, 2), np.float32), candidates, 4)
-    assert model.word("word")[:2].argmax() == 0 and model.word("слово")[:2].argmax() == 1
-    assert model.word("123").tolist() == [0, 0, 0]
+    latin, cyrillic, digits = model.words(["word", "слово", "123"])
+    assert latin[:2].argmax() == 0 and cyrillic[:2].argmax() == 1 and digits.tolist() == [0, 0, 0]
 
 
 def test_language_of_held_out_texts_and_spans(spark, docs):
