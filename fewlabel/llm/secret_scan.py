@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import arrow_map, pick
 from .texts import RowCache, add_columns
 
@@ -33,8 +34,8 @@ KEYWORDS = ("passw", "secret", "token", "api")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
 
-# Parameters: hashed features, windows of either sort, words on either side of a match, steps and rates of the fit.
-BITS = 14
+# Parameters: hashed features, windows of either sort, words on either side of a match, steps and rates of the fit, forms kept in memory.
+BITS = 18
 WINDOWS = 1500
 SIDE = 8
 STEPS = 60
@@ -42,6 +43,7 @@ RATE = 0.3
 RIDGE = 1e-3
 MOST_TRANSITION = 2.0
 TAGS = 3
+FORMS = 100_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -65,18 +67,37 @@ def _hash(*keys: str) -> list[int]:
     return [crc32(k.encode()) & mask for k in keys]
 
 
-def word_keys(word: str) -> tuple[list[int], list[int], list[int]]:
-    """Hashed features of a word for its own tag, for the next word's and for the previous word's."""
+def describe(word: str) -> tuple[tuple, list[str]]:
+    """The form of a word (shape, length, runs, digits, variety, ends) and its alphabetic parts."""
     runs = RUNS.findall(word[:512])
-    shape = "".join("A" if r[0].isupper() else "a" if r[0].islower() else "0" if r[0].isdigit() else r[0] for r in runs[:6])
-    size = min(len(word).bit_length(), 8)
-    digits = sum(len(r) for r in runs if r[0].isdigit())
-    varied = 8 * len(set(word[:512])) // max(min(len(word), 512), 1)
-    parts = [r.lower()[:16] for r in runs if r[0].isalpha()][:4]
-    own = ["bias", f"s{shape}", f"l{size}", f"r{min(len(runs), 12)}", f"d{8 * digits // max(min(len(word), 512), 1)}:{size}", f"v{varied}:{size}"]
-    own += [f"p{p}" for p in parts] + [f"e{word[0]}{word[-1]}" if not word[0].isalnum() or not word[-1].isalnum() else "e"]
-    around = [f"s{shape}", f"l{size}"] + [f"p{p}" for p in parts]
-    return _hash(*own), _hash(*[f"<{k}" for k in around]), _hash(*[f">{k}" for k in around])
+    shape = "".join(["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in [r[0] for r in runs[:6]]])
+    n = min(len(word), 512)
+    digits = 8 * sum([len(r) for r in runs if r[0].isdigit()]) // n
+    ends = "" if word[0].isalnum() and word[-1].isalnum() else word[0] + word[-1]
+    form = shape, min(len(word).bit_length(), 8), min(len(runs), 12), digits, 8 * len(set(word[:512])) // n, ends
+    return form, [r.lower()[:16] for r in runs if r[0].isalpha()][:4]
+
+
+def form_keys(form: tuple) -> tuple[list[int], list[int], list[int]]:
+    """Hashed features of a form for the word's own tag, for the next word's and for the previous word's."""
+    shape, size, runs, digits, varied, ends = form
+    own = _hash("bias", f"s{shape}", f"l{size}", f"r{runs}", f"d{digits}:{size}", f"v{varied}:{size}", f"e{ends}")
+    return own, _hash(f"<s{shape}", f"<l{size}"), _hash(f">s{shape}", f">l{size}")
+
+
+def part_keys(part: str) -> list[int]:
+    """Hashed features of an alphabetic part for the same three tags."""
+    return _hash(f"p{part}", f"<p{part}", f">p{part}")
+
+
+def word_keys(word: str) -> tuple[list[int], list[int], list[int]]:
+    """All hashed features of a word, for the same three tags."""
+    form, parts = describe(word)
+    keys = form_keys(form)
+    for part in parts:
+        for own, key in zip(keys, part_keys(part)):
+            own.append(key)
+    return keys
 
 
 def file_keys(text: str) -> list[int]:
@@ -109,11 +130,24 @@ class Field:
     weights: np.ndarray
     transition: np.ndarray
 
+    def __post_init__(self):
+        self.live = self.weights.any(axis=1)
+        self.forms: dict[tuple, np.ndarray] = {}
+
     def word(self, word: str) -> np.ndarray:
         """Scores of the tags of the word itself, of the next word and of the previous one."""
-        own, after, before = word_keys(word)
-        rows = self.weights[own + after + before]
-        return np.concatenate([rows[: len(own)].sum(axis=0), rows[len(own) : -len(before)].sum(axis=0), rows[-len(before) :].sum(axis=0)])
+        form, parts = describe(word)
+        row = self.forms.get(form)
+        if row is None:
+            if len(self.forms) >= FORMS:
+                self.forms.clear()
+            row = self.forms[form] = np.concatenate([self.weights[keys].sum(axis=0) for keys in form_keys(form)])
+        known = [(k, key) for part in parts for k, key in enumerate(part_keys(part)) if self.live[key]]
+        if known:
+            row = row.copy()
+            for k, key in known:
+                row[k * TAGS : (k + 1) * TAGS] += self.weights[key]
+        return row
 
     def slack(self) -> float:
         """By how much transitions can favour another tag over outside at one word, at most."""
@@ -166,7 +200,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, most: int = WINDOWS) -> Field:
     """Fit on at most ``most`` windows with a match and ``most`` without, first by a hash of id and words."""
-    found = windows(docs)
+    found = materialise(windows(docs), "secret-windows")  # read twice below
     order = F.xxhash64(F.lit("windows"), "doc_id", "words")
     parts = [found.where(w).orderBy(order, "doc_id").limit(most) for w in ("match", "not match")]
     rows = parts[0].unionByName(parts[1]).collect()  # at most 2 * most windows of 2 * SIDE + 1 words
@@ -229,7 +263,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
 
     def make() -> Callable:
         own = Field(*shared.value)
-        cache, slack = RowCache(own.word, 3 * TAGS), own.slack()
+        cache, slack = RowCache(lambda words: [own.word(w) for w in words], 3 * TAGS), own.slack()
 
         def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
             words = WORDS.findall(text)
