@@ -5,15 +5,18 @@ word by its Huffman code, any other by an escape code and then its letters,
 byte by byte, or by its share of the other words' counts, whose chances are mixed in
 proportion to how many of these counts are repetitions. Three bit predictors with ever longer contexts (no context, the
 word before, the two words before; for spelling the one, two and three bytes
-before) hold counts in hashed tables of fixed size. Their predictions, as
+before) hold counts for each context of its own, without hashing. Their predictions, as
 logits, are added with weights; a gate, how much the longer contexts have seen,
 chooses the weights. The weights are learned over all training texts, go on
 learning inside each scored text, block by block, and the mix is refined by an
 adaptive map from (gate, prediction) to observed frequency.
 
-All counts are taken over all training texts. What tasks share is bounded:
-``HEAD`` words, tables of 3 * 2**SLOT_BITS slots, the weights and the map.
-Words beyond the head meet their counts by a join.
+All counts are taken over all training texts. What tasks share is the code of
+``HEAD`` words, the counts of its nodes, the letter contexts seen, the weights
+and the map. The counts of word contexts are a table that grows with the input:
+texts in chunks ask for the (context, symbol) pairs they hold, packed in blocks
+by bucket of contexts; a bucket adds the counts up along the code and answers
+each block in its order. Words beyond the head meet their counts by a join.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +37,21 @@ from .common import arrow_map, pick, utf8
 from .language_id import held_out
 from .texts import add_columns
 
-# Parameters: most words with codes of their own and their least count, hashed slots per predictor, bits
-# between updates of the weights, their rate, and words counted before a flush.
+# Parameters: most words with codes of their own and their least count, bits of a symbol in a context, words
+# of a chunk of texts, pairs of a bucket of contexts, bits between updates of the weights, their rate, and
+# words counted before a flush.
 HEAD = 1 << 17
 LEAST_HEAD = 5
-SLOT_BITS = 18
+SYMBOL_BITS = 18
+CHUNK = 100_000
+BUCKET = 1_000_000
 BLOCK = 4096
 RATE = 0.3
 FLUSH = 200_000
 GATES, STEPS_OF_MAP, REACH = 16, 33, 12.0
 START = (0.6, 0.3, 0.3)
+PACK = pa.Codec("zstd", 3)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-MIXED = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass
@@ -57,6 +64,12 @@ class Code:
     nodes: np.ndarray
     bits: np.ndarray
 
+    def __post_init__(self):
+        paths = [self.bits[o : o + n].tobytes() for o, n in zip(self.offset.tolist(), self.length.tolist())]
+        self.symbol = np.array(sorted(range(len(paths)), key=paths.__getitem__), np.int64)
+        self.leaf = np.empty(len(paths), np.int64)
+        self.leaf[self.symbol] = np.arange(len(paths))
+
     @property
     def escape(self) -> int:
         return len(self.numbers)
@@ -95,31 +108,88 @@ class _Numbers(dict):
         return len(self)
 
 
-def _slots(contexts: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-    """(predictor, bit) slots of hashed contexts with the node of the code; the regions of predictors don't overlap."""
-    out = np.empty((len(contexts), len(node)), np.int64)
-    spread = node.astype(np.uint64) * MIXED
-    for k, context in enumerate(contexts):
-        out[k] = (((context + spread) * ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (k << SLOT_BITS)
-    return out
-
-
 def word_bits(code: Code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and bits of a text's symbols, its end included."""
+    """Nodes and bits of a text's symbols, its end included."""
     length = code.length[symbols]
     ends = np.cumsum(length)
     at = np.repeat(code.offset[symbols] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-    before = np.concatenate((np.zeros(2, np.uint64), symbols.astype(np.uint64) + np.uint64(1)))[: len(symbols) + 1]
-    one = before[1:] * ODD
-    two = (one ^ (before[:-1] << np.uint64(20))) * MIXED
-    node = code.nodes[at]
-    slots = _slots([np.zeros(1, np.uint64), np.repeat(one, length), np.repeat(two, length)], node)
-    slots[0] = node  # no context: a slot of its own for each node
-    return slots, code.bits[at]
+    return code.nodes[at], code.bits[at]
+
+
+def word_pairs(code: Code, symbols: np.ndarray, lengths: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, symbol) pairs of texts laid end to end, by bucket of the context; the bucket of each; and (predictor, symbol) places in them.
+
+    A pair is a number of its own: the predictor, the two words before or the
+    one, and the leaf. Contexts don't reach over a text's end.
+    """
+    first = np.cumsum(lengths) - lengths
+    step = np.arange(len(symbols)) - np.repeat(first, lengths)
+    shifted = np.concatenate((np.zeros(2, np.int64), symbols + 1))[: len(symbols) + 1]
+    one = np.where(step > 0, shifted[1:], 0)
+    two = np.where(step > 1, shifted[:-1], 0)
+    leaf = code.leaf[symbols]
+    near = (1 << 3 * SYMBOL_BITS) | (one << SYMBOL_BITS) | leaf
+    far = (2 << 3 * SYMBOL_BITS) | (two << 2 * SYMBOL_BITS) | (one << SYMBOL_BITS) | leaf
+    pairs, places = np.unique(np.concatenate((near, far)), return_inverse=True)
+    bucket = ((((pairs >> SYMBOL_BITS).astype(np.uint64) * ODD) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return pairs[order], bucket[order], rank[places].reshape(2, -1)
+
+
+def path_counts(code: Code, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often the context of each of sorted distinct ``pairs`` was at the root, each node of the path and the leaf.
+
+    Flat, each path up to its last change, and the lengths kept. Leaves are
+    numbered from left to right, so all below a node are neighbours.
+    """
+    symbols, context = code.symbol[pairs & ((1 << SYMBOL_BITS) - 1)], pairs >> SYMBOL_BITS
+    length = code.length[symbols] + 1
+    base = np.cumsum(length) - length
+    flat = np.zeros(int(length.sum()), np.int64)
+    rows = np.arange(len(pairs))
+    for j in range(int(length.max(initial=0))):
+        rows = rows[length[rows] > j]
+        inner = length[rows] > j + 1
+        node = np.where(inner, code.nodes[np.where(inner, code.offset[symbols[rows]] + j, 0)], -1 - symbols[rows])
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (node[1:] != node[:-1]) | (context[rows[1:]] != context[rows[:-1]])
+        flat[base[rows] + j] = np.add.reduceat(counts[rows], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    step = np.arange(len(flat)) - np.repeat(base, length)
+    changed = np.zeros(len(flat), bool)
+    changed[1:] = flat[1:] != flat[:-1]
+    kept = np.maximum.reduceat(np.where(changed & (step > 0), step, 0), base) + 1 if len(pairs) else np.zeros(0, np.int64)
+    return flat[step < np.repeat(kept, length)], kept
+
+
+def planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes, byte by byte (all first bytes, then all second ones), compressed."""
+    raw = np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return PACK.compress(raw.tobytes(), asbytes=True)
+
+
+def unplaned(data: bytes, width: int, size: int) -> np.ndarray:
+    raw = np.frombuffer(PACK.decompress(data, size * width), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(raw.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def packed_counts(values: np.ndarray, kept: np.ndarray) -> bytes:
+    """One byte for each length and each count, four more for counts from 255 on."""
+    raw = kept.astype(np.uint8).tobytes() + np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype("<u4").tobytes()
+    return len(raw).to_bytes(4, "little") + PACK.compress(raw, asbytes=True)
+
+
+def unpacked_counts(data: bytes, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    data = PACK.decompress(data[4:], int.from_bytes(data[:4], "little")).to_pybytes()
+    kept = np.frombuffer(data, np.uint8, pairs).astype(np.int64)
+    values = np.frombuffer(data, np.uint8, int(kept.sum()), pairs).astype(np.int64)
+    values[values == 255] = np.frombuffer(data, "<u4", -1, pairs + len(values)) if len(data) > pairs + len(values) else 0
+    return values, kept
 
 
 def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, bits and the first bit of each word, for its bytes and a closing blank, high bits first."""
+    """Contexts with nodes, bits and the first bit of each word, for its bytes and a closing blank, high bits first."""
     flat = np.frombuffer(b"".join(b"\0\0 " + w + b" " for w in words), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     starts = np.cumsum(sizes + 3) - sizes
@@ -127,11 +197,11 @@ def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     eight = np.arange(8, dtype=np.uint64)
     node = (flat[at][:, None] | np.uint64(256)) >> (np.uint64(8) - eight)  # 1, then the bits so far behind a 1
     bits = ((flat[at][:, None] >> (np.uint64(7) - eight)) & np.uint64(1)).astype(np.uint8).ravel()
-    a, b, c = (np.repeat(flat[at - k], 8) for k in (1, 2, 3))
-    one = (a + np.uint64(1)) * ODD
-    two = (one ^ ((b + np.uint64(1)) << np.uint64(9))) * MIXED
-    three = (two ^ ((c + np.uint64(1)) << np.uint64(18))) * MIXED
-    return _slots([one, two, three], node.ravel()), bits, 8 * (np.cumsum(sizes) - sizes)
+    keys, context = np.empty((3, len(bits)), np.int64), np.zeros(len(bits), np.int64)
+    for k in range(3):  # each context is a number of its own: how many bytes, the bytes, the node
+        context |= np.repeat(flat[at - k - 1], 8).astype(np.int64) << (8 + 8 * k)
+        keys[k] = ((k + 1) << 32) | context | node.ravel().astype(np.int64)
+    return keys, bits, 8 * (np.cumsum(sizes) - sizes)
 
 
 @dataclass
@@ -142,6 +212,7 @@ class Mixer:
     ones: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.tile(START, (GATES, 1)))
     refined: np.ndarray | None = None
+    keys: np.ndarray | None = None
 
     def __post_init__(self):
         self.logit, self.level = _evidence(self.zeros, self.ones)
@@ -152,16 +223,25 @@ class Mixer:
         ``own`` is how often each bit was itself counted: learning leaves that
         out, or the longest contexts would seem to know everything.
         """
+        if own is None:
+            logit, level = self.logit[slots], self.level[slots]
+        else:
+            ones_of = own * bits
+            logit, level = _evidence(self.zeros[slots] - (own - ones_of), self.ones[slots] - ones_of)
+        return self.mix(logit, level, bits, weights, rate, seen)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Places of contexts among ``keys``; those never counted share the last place, which is empty."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.append(self.keys, -1)[at] == keys
+        return np.where(known, at, len(self.keys))
+
+    def mix(self, evidence: np.ndarray, levels: np.ndarray, bits: np.ndarray, weights: np.ndarray, rate: float, seen: np.ndarray | None = None) -> np.ndarray:
+        """The same from the (predictor, bit) logits and levels."""
         out = np.empty(len(bits), np.float32)
         scale = np.float32((STEPS_OF_MAP - 1) / (2 * REACH))
         for a in range(0, len(bits), BLOCK):
-            at, bit = slots[:, a : a + BLOCK], bits[a : a + BLOCK]
-            if own is None:
-                logit, level = self.logit[at], self.level[at[1:]]
-            else:
-                mine = own[a : a + BLOCK]
-                ones_of = mine * bit
-                logit, level = _evidence(self.zeros[at] - (mine - ones_of), self.ones[at] - ones_of)
+            logit, level, bit = evidence[:, a : a + BLOCK], levels[:, a : a + BLOCK], bits[a : a + BLOCK]
             gate = level[-2].astype(np.int64) * 4 + level[-1]
             mixed = logit[0] * weights[:, 0].astype(np.float32)[gate]
             for k in range(1, len(logit)):
@@ -225,35 +305,111 @@ def head_count(vocab: DataFrame, most: int = HEAD) -> int:
     return least
 
 
-def _sum_slots(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones by slot; at most 3 * 2**SLOT_BITS rows reach the driver."""
-    got = rows.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    zeros, ones = np.zeros(3 << SLOT_BITS, np.float32), np.zeros(3 << SLOT_BITS, np.float32)
-    at = got.column("slot").to_numpy()
-    zeros[at], ones[at] = got.column("zeros").to_numpy(), got.column("ones").to_numpy()
-    return zeros, ones
+def _letter_counts(tail: DataFrame) -> Mixer:
+    """Counts of each letter context in ``tail(word, n)``: rows reach the driver for distinct contexts of up to three bytes only."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = utf8(batch, "word"), batch.column("n").to_numpy()
+            keys, bits, first = spelled_bits(words)
+            weight = np.tile(np.repeat(counts, np.diff(np.append(first, len(bits)))), 3)
+            found, at = np.unique(keys.ravel(), return_inverse=True)
+            total = np.bincount(at * 2 + np.tile(bits, 3), weight, 2 * len(found)).astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[:, 0]), pa.array(total[:, 1])], ["key", "zeros", "ones"])
 
-def _counting(batches: Iterator[pa.RecordBatch], pieces: Callable, first: int = 0) -> Iterator[pa.RecordBatch]:
-    """Sums over a task of what ``pieces(batch)`` yields as slots, bits and weights, for predictors from ``first`` on."""
-    total = np.zeros((3, 2 << SLOT_BITS), np.int64)
-    for batch in batches:
-        for slots, bits, weight in pieces(batch):
-            for k, row in enumerate(slots[first:], first):
-                place = (row - (k << SLOT_BITS)) * 2 + bits
-                total[k] += np.bincount(place, weight, minlength=2 << SLOT_BITS).astype(np.int64, copy=False)
-    total = total.reshape(-1, 2)
-    at = np.flatnonzero(total.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], ["slot", "zeros", "ones"])
+    got = arrow_map(tail, run, "key long, zeros long, ones long").groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    keys = got.column("key").to_numpy()
+    order = np.argsort(keys)
+    zeros, ones = (np.append(got.column(c).to_numpy()[order], 0).astype(np.float32) for c in ("zeros", "ones"))
+    return Mixer(zeros, ones, keys=keys[order])
+
+
+def _asked(chunks: DataFrame, code, buckets: int) -> DataFrame:
+    """(chunk, bucket, pairs, counts): what the texts of each chunk ask of each bucket, and how often its training texts hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, _, held, symbols, lengths, _ in _chunks(batch):
+                pairs, bucket, places = word_pairs(code.value, symbols, lengths, buckets)
+                counted = np.tile(np.repeat(~held, lengths), 2)
+                counts = np.bincount(places.ravel(), counted, len(pairs)).astype("<u4")
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(cuts[1:], len(pairs))
+                blocks = [(planes(np.diff(pairs[a:b], prepend=0), 8), planes(counts[a:b], 4)) for a, b in zip(cuts.tolist(), ends.tolist())]
+                columns = [pa.array(np.full(len(cuts), chunk)), pa.array(bucket[cuts]), pa.array([p for p, _ in blocks], pa.binary()), pa.array([c for _, c in blocks], pa.binary()), pa.array(ends - cuts)]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "pairs", "counts", "size"])
+
+    return arrow_map(chunks, run, "chunk long, bucket long, pairs binary, counts binary, size long")
+
+
+def _answered(asked: DataFrame, code) -> DataFrame:
+    """(chunk, bucket, data): the counts along the paths of the pairs asked, in their order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_pylist()
+        blocks = [np.cumsum(unplaned(p.as_py(), 8, n)) for p, n in zip(table.column("pairs"), sizes)]
+        counts = np.concatenate([unplaned(c.as_py(), 4, n) for c, n in zip(table.column("counts"), sizes)]).astype(np.float64)
+        pairs, at = np.unique(np.concatenate(blocks), return_inverse=True)
+        values, kept = path_counts(code.value, pairs, np.bincount(at, counts, len(pairs)).astype(np.int64))
+        start, end, data = np.cumsum(kept) - kept, 0, []
+        for block in blocks:
+            mine, end = at[end : end + len(block)], end + len(block)
+            size = kept[mine]
+            ends = np.cumsum(size)
+            data.append(packed_counts(values[np.repeat(start[mine] - (ends - size), size) + np.arange(ends[-1])], size))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(data, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, data binary")
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Chunk, rows, held out, symbols laid end to end, their numbers by text, and the answers by bucket, if there are any."""
+    for i in range(batch.num_rows):
+        texts = batch.column("texts").slice(i, 1).flatten()
+        symbols = texts.field("symbols")
+        lengths = np.diff(symbols.offsets.to_numpy()).astype(np.int64)
+        held = texts.field("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        blocks = None
+        if "blocks" in batch.schema.names:
+            found = batch.column("blocks").slice(i, 1).flatten()
+            order = np.argsort(found.field("bucket").to_numpy())
+            data = found.field("data").to_pylist()
+            blocks = [data[k] for k in order]
+        yield batch.column("chunk")[i].as_py(), texts.field("row").to_numpy(), held, symbols.flatten().to_numpy().astype(np.int64), lengths, blocks
+
+
+def _texts(batch: pa.RecordBatch, code: Code, mixer: Mixer, buckets: int, learning: bool) -> Iterator[tuple]:
+    """Row, logits, levels and bits of each text, or of each training text with its own counts left out."""
+    for _, rows, held, symbols, lengths, blocks in _chunks(batch):
+        pairs, bucket, places = word_pairs(code, symbols, lengths, buckets)
+        got = [unpacked_counts(d, int(n)) for d, n in zip(blocks, np.unique(bucket, return_counts=True)[1])]
+        values, kept = (np.concatenate(x) for x in zip(*got))
+        start, end = np.cumsum(kept) - kept, np.cumsum(lengths)
+        for row, out, a, b in zip(rows.tolist(), held.tolist(), (end - lengths).tolist(), end.tolist()):
+            if not (learning and out):
+                yield row, *_text_evidence(code, mixer, symbols[a:b], places[:, a:b], values, start, kept, int(learning))
+
+
+def _text_evidence(code: Code, mixer: Mixer, symbols: np.ndarray, places: np.ndarray, values: np.ndarray, start: np.ndarray, kept: np.ndarray, own: int) -> tuple:
+    node, bits = word_bits(code, symbols)
+    length = code.length[symbols]
+    step = np.arange(len(bits)) - np.repeat(np.cumsum(length) - length, length)
+    zeros, ones = np.empty((3, len(bits)), np.float32), np.empty((3, len(bits)), np.float32)
+    zeros[0], ones[0] = mixer.zeros[node] - own * (bits == 0), mixer.ones[node] - own * (bits == 1)
+    for k, place in enumerate(places, 1):
+        base, last = np.repeat(start[place], length), np.repeat(kept[place] - 1, length)
+        here, there = values[base + np.minimum(step, last)], values[base + np.minimum(step + 1, last)]
+        taken, other = there - own, here - there
+        zeros[k], ones[k] = np.where(bits, other, taken), np.where(bits, taken, other)
+    return *_evidence(zeros, ones), bits
 
 
 def _learning(batches: Iterator[pa.RecordBatch], mixer: Mixer, pieces: Callable) -> Iterator[pa.RecordBatch]:
     """A task's weights times its bits, its bits, and its counts for the map, as (place, value)."""
     weights, seen, total = mixer.weights.copy(), np.zeros((GATES * STEPS_OF_MAP, 2), np.int64), 0
     for batch in batches:
-        for slots, bits, own in pieces(batch):
-            own = np.ones(len(bits), np.float32) if own is None else own.astype(np.float32)
-            mixer.run(slots, bits, weights, RATE, own, seen)
+        for logit, level, bits in pieces(batch):
+            mixer.mix(logit, level, bits, weights, RATE, seen)
             total += len(bits)
     values = np.concatenate([weights.ravel() * total, [total], seen.ravel()])
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values, pa.float64())], ["place", "value"])
@@ -273,47 +429,17 @@ def _learned(mixer: Mixer, rows: DataFrame) -> Mixer:
     return mixer
 
 
-def _text_pieces(code: Code, most: int = 60_000) -> Callable:
-    """Slots and bits of the texts of a batch, some words at once; contexts don't reach over a text's end."""
-    numbers = _Numbers(code.numbers)
-
-    def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for text in utf8(batch, "text"):
-            words = (text or b"").lower().split()
-            symbols = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            symbols = np.append(symbols, code.escape + 1)
-            for a in range(0, len(symbols), most):
-                yield (*word_bits(code, symbols[a : a + most]), None)
-
-    return pieces
-
-
-def _grouped(pieces: Callable, most: int = 1_000_000) -> Callable:
-    """The same with several texts put together, for counting only."""
-
-    def grouped(batch: pa.RecordBatch) -> Iterator[tuple]:
-        held, size = [], 0
-        for slots, bits, _ in pieces(batch):
-            held.append((slots, bits))
-            size += len(bits)
-            if size >= most:
-                yield np.concatenate([s for s, _ in held], axis=1), np.concatenate([b for _, b in held]), None
-                held, size = [], 0
-        if held:
-            yield np.concatenate([s for s, _ in held], axis=1), np.concatenate([b for _, b in held]), None
-
-    return grouped
-
-
-def _spelled_pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _spelled_pieces(batch: pa.RecordBatch, mixer: Mixer) -> Iterator[tuple]:
     words, counts = utf8(batch, "word"), batch.column("n").to_numpy()
-    slots, bits, first = spelled_bits(words)
-    yield slots, bits, np.repeat(counts, np.diff(np.append(first, len(bits))))
+    keys, bits, first = spelled_bits(words)
+    own = np.repeat(counts, np.diff(np.append(first, len(bits)))).astype(np.float32)
+    slots, ones_of = mixer.slots(keys), own * bits
+    yield *_evidence(mixer.zeros[slots] - (own - ones_of), mixer.ones[slots] - ones_of), bits
 
 
 @dataclass
 class Model:
-    """Totals for the base score, and the code with the two mixers."""
+    """Totals for the base score, and the code with the two mixers; that of words has still to learn."""
 
     code: Code
     counts: np.ndarray
@@ -336,27 +462,16 @@ def train(docs: DataFrame, vocab: DataFrame, head: int = HEAD) -> tuple[Model, i
     heads, counts = rows.column("word").cast(pa.binary()).to_pylist(), rows.column("n").to_numpy()
     code = huffman(heads, counts.tolist(), words - int(counts.sum()), texts)
     tail = vocab.where(F.col("n") < least)
-    shared = spark.sparkContext.broadcast(code)
-
-    def count_words(batches):
-        return _counting(batches, _grouped(_text_pieces(shared.value)), first=1)
-
-    zeros, ones = _sum_slots(arrow_map(docs, count_words, "slot long, zeros long, ones long"))
     # without context a node is passed as often as the symbols below it are counted
     passed = np.repeat([*counts.tolist(), int(words - counts.sum()), texts], code.length)
-    for side, total in enumerate((zeros, ones)):
-        total[: 1 << SLOT_BITS] = np.bincount(code.nodes, passed * (code.bits == side), 1 << SLOT_BITS)
-    word_mixer = Mixer(zeros, ones)
-    letter_mixer = Mixer(*_sum_slots(arrow_map(tail, lambda b: _counting(b, _spelled_pieces), "slot long, zeros long, ones long")))
-    mixers = spark.sparkContext.broadcast((word_mixer, letter_mixer))
-
-    def learn_words(batches):
-        return _learning(batches, mixers.value[0], _text_pieces(shared.value))
+    word_mixer = Mixer(*(np.bincount(code.nodes, passed * (code.bits == side)).astype(np.float32) for side in (0, 1)))
+    letter_mixer = _letter_counts(tail)
+    letters = spark.sparkContext.broadcast(letter_mixer)
 
     def learn_letters(batches):
-        return _learning(batches, mixers.value[1], _spelled_pieces)
+        own = letters.value
+        return _learning(batches, own, lambda batch: _spelled_pieces(batch, own))
 
-    _learned(word_mixer, arrow_map(docs, learn_words, "place long, value double"))
     _learned(letter_mixer, arrow_map(tail, learn_letters, "place long, value double"))
     known = np.concatenate([counts, [0], [texts]]).astype(np.int64)
     tail_tokens = int(words - counts.sum())
@@ -365,10 +480,11 @@ def train(docs: DataFrame, vocab: DataFrame, head: int = HEAD) -> tuple[Model, i
     return Model(code, known, int(words) + texts, int(distinct) + bool(texts), word_mixer, letter_mixer, tail_tokens, again), least
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with n_tokens, n_head, base_head, head_bits and the words beyond the head (tail, tail_n, tail_bits).
+def coded(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with row, chunk, symbols, n_tokens, n_head, base_head and the words beyond the head (tail, tail_n, tail_bits).
 
-    ``head_bits`` holds all but the spelling of the words beyond the head; ``tail_bits`` is what spelling one takes.
+    ``tail_bits`` is what spelling a word takes. Rows and chunks are numbered
+    as they are read, so the result is to be stored before it is used.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -377,8 +493,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         code, numbers = own.code, _Numbers(own.code.numbers)
         base = np.log10((own.counts + 1) / (own.tokens + own.distinct + 1))
         base[code.escape] = 0.0  # those words meet their counts later
+        row = chunk = TaskContext.get().partitionId() << 40
+        size = 0
 
         def compute(texts: list) -> list[list]:
+            nonlocal row, chunk, size
             split = [(t or b"").lower().split() for t in texts]
             symbols = [np.append(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)), code.escape + 1) for w in split]
             tails = [Counter(w[i] for i in np.flatnonzero(s[:-1] == code.escape).tolist()) for w, s in zip(split, symbols)]
@@ -386,25 +505,59 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             spelled = {}
             for a in range(0, len(unknown), 20_000):
                 part = unknown[a : a + 20_000]
-                slots, bits, first = spelled_bits(part)
-                spent = own.letters.run(slots, bits, own.letters.weights, 0.0)
+                keys, bits, first = spelled_bits(part)
+                spent = own.letters.run(own.letters.slots(keys), bits, own.letters.weights, 0.0)
                 spelled.update(zip(part, np.add.reduceat(spent.astype(np.float64), first).tolist()))
             out = []
-            for text, words, s, tail in zip(texts, split, symbols, tails):
-                weights, spent = own.words.weights.copy(), 0.0
-                for a in range(0, len(s), 60_000):
-                    spent += float(own.words.run(*word_bits(code, s[a : a + 60_000]), weights, RATE).sum(dtype=np.float64))
+            for text, s, tail in zip(texts, symbols, tails):
+                if size and size + len(s) > CHUNK:
+                    chunk, size = chunk + 1, 0
+                row, size = row + 1, size + len(s)
                 head = int((own.counts[s] > 0).sum())
                 ordered = sorted(tail.items())
                 rest = [w.decode() for w, _ in ordered], [n for _, n in ordered], [spelled[w] for w, _ in ordered]
-                out.append((len(s), head, float(base[s].sum()), spent, len(text or b""), *rest))
+                out.append((row, chunk, s.astype(np.int32), len(s), head, float(base[s].sum()), len(text or b""), *rest))
             return [list(c) for c in zip(*out)]
 
         return compute
 
-    new = {"n_tokens": "long", "n_head": "long", "base_head": "double", "head_bits": "double", "n_bytes": "long"}
+    new = {"text_row": "long", "chunk": "long", "symbols": "array<int>", "n_tokens": "long", "n_head": "long", "base_head": "double", "n_bytes": "long"}
     new |= {"tail": "array<string>", "tail_n": "array<int>", "tail_bits": "array<double>"}
-    return add_columns(docs, make, new)
+    return add_columns(docs, make, new).withColumnRenamed("text_row", "row")
+
+
+def head_bits(texts: DataFrame, model: Model) -> DataFrame:
+    """(row, head_bits) of ``texts(row, chunk, held_out, symbols)``: all but the spelling of the words beyond the head.
+
+    Counts and learning are over those not held out; ``model.words`` learns here.
+    """
+    spark = texts.sparkSession
+    chunks = texts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("row", "held_out", "symbols"))).alias("texts"))
+    total = texts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    buckets = max(1, -(-2 * total // BUCKET))
+    code = spark.sparkContext.broadcast(model.code)
+    answers = _answered(_asked(chunks, code, buckets), code)
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("blocks"))
+    met = materialise(chunks.join(answers, "chunk"), "lm-met")
+    words = spark.sparkContext.broadcast(model.words)
+
+    def learn(batches):
+        own, mixer = code.value, words.value
+        return _learning(batches, mixer, lambda batch: (x[1:] for x in _texts(batch, own, mixer, buckets, True)))
+
+    _learned(model.words, arrow_map(met, learn, "place long, value double"))
+    learned = spark.sparkContext.broadcast(model.words)
+
+    def spend(batches):
+        own, mixer = code.value, learned.value
+        for batch in batches:
+            rows, spent = [], []
+            for row, logit, level, bits in _texts(batch, own, mixer, buckets, False):
+                rows.append(row)
+                spent.append(float(mixer.mix(logit, level, bits, mixer.weights.copy(), RATE).sum(dtype=np.float64)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spent, pa.float64())], ["row", "head_bits"])
+
+    return arrow_map(met, spend, "row long, head_bits double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -420,9 +573,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     training = docs.where("not held_out")
     vocab = materialise(vocabulary(training), "lm-vocabulary")
     model, least = train(training, vocab)
-    scored = score(docs, model).drop("text").withColumn("row", F.monotonically_increasing_id())
-    scored = materialise(scored, "lm-scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n", "tail_bits")).alias("t"))
+    texts = materialise(coded(docs, model).drop("text"), "lm-texts")
+    scored = texts.drop("symbols", "chunk").join(head_bits(texts.select("row", "chunk", "held_out", "symbols", "n_tokens"), model), "row")
+    pairs = texts.select("row", F.explode(F.arrays_zip("tail", "tail_n", "tail_bits")).alias("t"))
     pairs = pairs.select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("times"), F.col("t.tail_bits").alias("bits"))
     met = pairs.join(vocab.where(F.col("n") < least), "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     logged = F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.distinct + 1)))

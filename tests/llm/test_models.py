@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fewlabel.llm import html_extract, language_id, lm_score, quality_classifier, secret_scan
 
@@ -144,6 +145,44 @@ def test_chances_of_the_next_bit_sum_to_one():
     assert np.allclose(2.0**-zero + 2.0**-one, 1, atol=1e-5)
 
 
+def test_word_contexts_are_counted_one_by_one(spark):
+    r = np.random.default_rng(3)
+    code = lm_score.huffman([b"w%d" % i for i in range(30)], [int(x) for x in r.integers(1, 90, 30)], 4, 9)
+    rows = [(i, i // 4, i % 5 == 0, [*r.integers(0, 31, r.integers(0, 60)).tolist(), 31]) for i in range(40)]
+    rows += [(40, 10, False, [3, 4] * 400 + [31])]  # counts of more than a byte
+    seen = Counter()
+    for _, _, held, symbols in rows:
+        for t, x in enumerate(symbols):
+            for j in range(0 if held else code.length[x]):
+                node, bit = code.nodes[code.offset[x] + j], code.bits[code.offset[x] + j]
+                seen.update({(k, *symbols[max(t - k, 0) : t], t < k, node, bit): 1 for k in (1, 2)})
+    texts = spark.createDataFrame(rows, "row long, chunk long, held_out boolean, symbols array<int>")
+    chunks = texts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("row", "held_out", "symbols"))).alias("texts"))
+    shared = spark.sparkContext.broadcast(code)
+    answers = lm_score._answered(lm_score._asked(chunks, shared, 7), shared).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("blocks"))
+    mixer = lm_score.Mixer(*np.ones((2, len(code.length)), np.float32))
+    got = {}
+    for batch in chunks.join(answers, "chunk").toArrow().to_batches():
+        got |= {row: (logit, bits) for row, logit, _, bits in lm_score._texts(batch, code, mixer, 7, False)}
+    assert len(got) == len(rows)
+    for row, _, _, symbols in rows:
+        want = []
+        for t, x in enumerate(symbols):
+            for j in range(code.length[x]):
+                node, bit = code.nodes[code.offset[x] + j], code.bits[code.offset[x] + j]
+                zero, one = ([seen[(k, *symbols[max(t - k, 0) : t], t < k, node, b)] for k in (1, 2)] for b in (0, 1))
+                want.append([math.log((o + 0.4) / (z + 0.4)) for z, o in zip(zero, one)])
+        assert np.allclose(got[row][0][1:].T, want, atol=1e-5)
+
+
+def test_letter_contexts_never_share_counts():
+    r = np.random.default_rng(4)
+    words = [bytes(r.integers(97, 123, 12).astype(np.uint8)) for _ in range(20_000)]
+    keys, bits, _ = lm_score.spelled_bits(words)
+    want = {(w[max(t - 3, 0) : t], 1 << j | (b" "[0] if t == len(w) else w[t]) >> 8 - j) for w in words for t in range(len(w) + 1) for j in range(8)}
+    assert len(want) > 1 << 18 and len(np.unique(keys[2])) >= len({(c, n) for c, n in want if len(c) == 3})
+
+
 def test_base_scores_equal_brute_force(docs):
     def tokens(text):
         return [*re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), None]
