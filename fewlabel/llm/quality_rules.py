@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds, in native column expressions only.
 
-Per document a few ratios; per language and source a quantile sketch of each
+Per document a few measures; per language and source a quantile sketch of each
 (``percentile_approx``: partial sketches are merged, whatever the size of a
-group); a document fails if a ratio lies beyond the fence of its group, the
-upper quartile plus ``reach`` times the spread between quartiles. Groups with
-few documents use the fences of their language, those without one the fences
-of all documents.
+group); a document fails if a measure lies beyond a fence of its group, a
+quantile of the group's tail: above for shares of symbols and repetitions, on
+both sides for the number of words and their mean length. Where more than the
+tail stands out, shares also fail beyond the upper quartile plus ``REACH``
+times the spread between quartiles. Groups with few
+documents use the fences of their language, those without one the fences of
+all documents.
 """
 
 from __future__ import annotations
@@ -16,12 +19,20 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import SPACES, WORD, words_of
 
-# Parameters: sketch accuracy, reach of the fences in spreads, least documents of a group.
+# Parameters: sketch accuracy, reach of the second fence in spreads, least documents of a group.
 ACCURACY = 10_000
 REACH = 8.0
 MIN_GROUP = 40
-# Measures and the least spread each fence allows for.
-MEASURES = {"symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.05}
+# Measures with the quantiles of their lower and upper fences.
+MEASURES = {
+    "symbol_share": (None, 0.99),
+    "dup_line_share": (None, 0.99),
+    "repeat_share": (None, 0.99),
+    "n_words": (0.0085, 0.9915),
+    "mean_word_length": (0.0085, 0.9915),
+}
+# Shares with the least spread their second fence allows for.
+SHARES = {"symbol_share": 0.01, "dup_line_share": 0.05, "repeat_share": 0.05}
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -70,22 +81,28 @@ def measures(docs: DataFrame) -> DataFrame:
             "symbol_share": share("n_symbols", "word_chars"),
             "dup_line_share": share("n_dup_lines", "n_text_lines"),
             "repeat_share": share("n_repeat_words", "n_words"),
+            "mean_word_length": share("word_chars", "n_words"),
         }
     )
 
 
-def _fences(measured: DataFrame, keys: list[str], reach: float, least: int) -> DataFrame:
-    aggregates = [F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in MEASURES]]
+def _fences(measured: DataFrame, keys: list[str], least: int) -> DataFrame:
+    places = {m: [0.25, 0.75, tails[1]] if m in SHARES else [*tails] for m, tails in MEASURES.items()}
+    aggregates = [F.count("*").alias("n"), *[F.percentile_approx(m, p, ACCURACY).alias(m) for m, p in places.items()]]
     rows = measured.groupBy(*keys).agg(*aggregates).where(F.col("n") >= least)
     tag = "_".join(keys) or "all"
-    fence = [
-        (F.get(F.col(m), F.lit(1)) + reach * F.greatest(F.get(F.col(m), F.lit(1)) - F.get(F.col(m), F.lit(0)), F.lit(floor))).alias(f"{m}__{tag}")
-        for m, floor in MEASURES.items()
-    ]
-    return rows.select(*[F.col(k).alias(f"{k}__{tag}") for k in keys], *fence)
+    fences = []
+    for m in MEASURES:
+        at = [F.get(F.col(m), F.lit(i)) for i in range(3)]
+        if m in SHARES:
+            spread = at[1] + REACH * F.greatest(at[1] - at[0], F.lit(SHARES[m]))
+            fences.append(F.array(F.least(at[2], spread)).alias(f"{m}__{tag}"))
+        else:
+            fences.append(F.col(m).alias(f"{m}__{tag}"))
+    return rows.select(*[F.col(k).alias(f"{k}__{tag}") for k in keys], *fences)
 
 
-def quality_rules(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Counts, shares, ``base_failed`` and ``kept`` for every row of ``docs(doc_id, text, lang, source)``.
 
     Fences are taken over the documents that pass the base rule. Null languages
@@ -95,16 +112,19 @@ def quality_rules(docs: DataFrame, reach: float = REACH, min_group: int = MIN_GR
     """
     measured = materialise(measures(docs), "quality-measures")
     passed = measured.where("not base_failed")
-    both, lang, every = (_fences(passed, k, reach, n) for k, n in ((["lang", "source"], min_group), (["lang"], min_group), ([], 1)))
+    both, lang, every = (_fences(passed, k, n) for k, n in ((["lang", "source"], min_group), (["lang"], min_group), ([], 1)))
     joined = measured.join(
         both, F.col("lang").eqNullSafe(F.col("lang__lang_source")) & F.col("source").eqNullSafe(F.col("source__lang_source")), "left"
     )
     joined = joined.join(lang, F.col("lang").eqNullSafe(F.col("lang__lang")), "left").join(F.broadcast(every), F.lit(True), "left")
     within = F.lit(True)
-    for m in MEASURES:
+    for m, (low, _) in MEASURES.items():
         fence = F.coalesce(f"{m}__lang_source", f"{m}__lang", f"{m}__all")
-        within = within & (F.col(m) <= F.coalesce(fence, F.lit(float("inf"))))
+        inside = F.col(m) <= F.get(fence, F.lit(0 if low is None else 1))
+        if low is not None:
+            inside = inside & (F.col(m) >= F.get(fence, F.lit(0)))
+        within = within & F.coalesce(inside, F.lit(True))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & within).alias("kept"),
-        *MEASURES,
+        *SHARES,
     )

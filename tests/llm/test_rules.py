@@ -94,6 +94,27 @@ def test_rules_adapt_to_the_source(spark):
     assert all(got[i] for i in range(50)) and all(got[100 + i] for i in range(50)) and not got[200]
 
 
+def test_each_measure_rejects_a_planted_text(spark):
+    def text(i, n=60, size=5):
+        return "\n".join(" ".join(f"{i}x{t}y{k}".ljust(size + i % 2, "z") for k in range(10)) for t in range(n // 10))
+
+    plain = [text(i, 60 + i % 3 * 10, 8) for i in range(297)]
+    words = text(901, 60, 8)
+    planted = {
+        "symbol_share": text(902, 60, 8) + "#" * 15,
+        "dup_line_share": "\n".join([*text(907, 70, 8).split("\n")[:4], "a1 b2", "a1 b2"]) + "\n" + " ".join(f"u{k}vvvvvv" for k in range(30)),
+        "repeat_share": words + " " + " ".join(words.split()[3:13]),
+        "n_words": text(903, 400, 8),
+        "few words": text(904, 50, 8),
+        "mean_word_length": text(905, 60, 30),
+        "short words": " ".join(f"{k}" for k in range(60)),
+    }
+    rows = [(i, t, "en", "s") for i, t in enumerate([*plain, *planted.values()])]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [n for i, n in enumerate(planted, len(plain)) if got[i]["base_failed"] or got[i]["kept"]] == []
+    assert all(got[i]["kept"] for i in range(len(plain)))
+
+
 def slow_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
