@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, language_id, line_dedup, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from . import byte_bpe, decontamination, hard_negatives, html_extract, language_id, line_dedup, lm_score, mixing, periodic_runs, quality_classifier, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,7 +77,32 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = hard_negatives.integer_vectors(hard_negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op12_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.planted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+@_query
+def op13_byte_bpe(spark, sf_dir):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 ORACLES["op9_source_mixing"] = mixing.MIX_SQL
+ORACLES["op11_hard_negatives"] = hard_negatives.SQL
 ORACLES["op10_line_dedup"] = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS value

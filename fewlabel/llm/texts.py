@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from .common import arrow_map
 
@@ -15,6 +16,11 @@ CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 
 
+def with_fields(rows: DataFrame, new: dict[str, str]) -> ST.StructType:
+    """The schema of ``rows`` and further columns; built from fields, since names needn't be plain words."""
+    return ST.StructType([*rows.schema.fields, *[ST.StructField(c, ST.DataType.fromDDL(k)) for c, k in new.items()]])
+
+
 class WordCache(dict):
     """``cache[word]`` computes a word's value once; emptied when full, so its memory is bounded."""
 
@@ -40,7 +46,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]
     """
     kept = [c for c in docs.columns if c not in new]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-    types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+    types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
     place = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +58,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list], list[list]]
             arrays = [pa.array(values, types[kind]) for values, kind in zip(made, new.values())]
             yield pa.RecordBatch.from_arrays([row, *arrays], ["row", *new])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    mapped = arrow_map(rows, run, ", ".join([f"row {kind}", *[f"{c} {k}" for c, k in new.items()]]))
+    mapped = arrow_map(rows, run, with_fields(rows, new))
     return mapped.select(*[F.col(f"row.`{c}`") for c in kept], *new)
 
 
