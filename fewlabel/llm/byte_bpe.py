@@ -4,9 +4,10 @@ A text is cut by the vocabulary's pattern. Each piece starts as single bytes;
 a segment tree over their positions holds, for each live part, the rank of the
 pair it forms with the live part after it, and in every inner node the least
 rank below. The leftmost least pair is found by walking down from the root; a
-merge takes the right part out and renews two leaves, so a piece of n bytes
-costs O(n log n) however long it is. Pieces of up to 64 bytes are kept in a
-cache of bounded size.
+merge takes the right part out and renews the leaves of its live neighbours,
+so a piece of n bytes costs O(n log n) however long it is. The trees of short
+pieces are rows of one array and are stepped side by side; distinct pieces are
+remembered up to a fixed number.
 
 The vocabulary file is read on the driver and broadcast: its size is fixed by
 the vocabulary (about a megabyte for 50,000 tokens), not by the texts.
@@ -15,11 +16,11 @@ the vocabulary (about a megabyte for 50,000 tokens), not by the texts.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -27,19 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .texts import WordCache, add_columns, with_fields
+from .texts import add_columns, with_fields
 
-NO_PAIR = 1 << 62
-CACHED_PIECES = 400_000  # about 100 MB
-
-_caches: dict[str, WordCache] = {}
-
-
-def piece_cache(key: str, ranks: dict[bytes, int]) -> WordCache:
-    """The worker process's cache for a vocabulary: later tasks find the pieces of earlier ones."""
-    if key not in _caches:
-        _caches[key] = WordCache(lambda piece: encode_piece(piece.encode(), ranks), CACHED_PIECES)
-    return _caches[key]
+NO_PAIR = (1 << 31) - 1
+HELD_PIECES = 200_000  # distinct pieces a task remembers, about 40 MB
+CHUNK_CHARS = 1_000_000  # of text cut into pieces at once
+WIDEST = 64  # pairs of the pieces whose trees are stepped side by side
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,6 +90,119 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class PairRanks:
+    """Rank of the token that two tokens form, for arrays of pairs of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        known = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        keys, values = np.array(known, np.int64).reshape(-1, 2).T
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], -1), np.append(values[order], NO_PAIR).astype(np.int32)
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys[:-1], pair)
+        return np.where(self.keys[at] == pair, self.values[at], NO_PAIR)
+
+
+def encode_alike(pieces: list[bytes], pairs: PairRanks, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of pieces of at most ``size + 1`` bytes, one after the other, and how many each has.
+
+    The same trees as in :func:`encode_piece`, one row each; in every step all
+    pieces that have a pair left make their next merge.
+    """
+    n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    place = np.arange(size + 2)
+    live = place < n[:, None]
+    ids = np.zeros(live.shape, np.int32)
+    ids[live] = pairs.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+    if (ids[live] < 0).any():
+        raise ValueError("the vocabulary lacks a token for some byte")
+    after, before = np.tile(place + 1, (len(n), 1)), np.tile(place - 1, (len(n), 1))
+    # node 0 lies outside the tree and takes the updates of places that have no leaf
+    least = np.full((len(n), 2 * size), NO_PAIR, np.int32)
+    row, at = np.nonzero(live[:, 1 : size + 1])
+    least[row, size + at] = pairs.of(ids[row, at], ids[row, at + 1])
+    level = size
+    while level > 1:
+        level //= 2
+        least[:, level : 2 * level] = np.minimum(least[:, 2 * level : 4 * level : 2], least[:, 2 * level + 1 : 4 * level : 2])
+    row = np.flatnonzero(least[:, 1] < NO_PAIR)
+    while len(row):
+        node = np.ones(len(row), np.int64)
+        while node[0] < size:
+            node *= 2
+            node += least[row, node] > least[row, node + 1]
+        i, token = node - size, least[row, 1]
+        gone = after[row, i]
+        end, h = after[row, gone], before[row, i]
+        after[row, i], before[row, end], ids[row, i], live[row, gone] = end, i, token, False
+        right = np.where(end < n[row], pairs.of(token, ids[row, end]), NO_PAIR)
+        left = np.where(h >= 0, pairs.of(ids[row, h], token), NO_PAIR)
+        changed = [(node, right), (np.where(gone < size, gone + size, 0), NO_PAIR), (np.where(h >= 0, h + size, 0), left)]
+        for node, rank in changed:
+            least[row, node] = rank
+        for node, _ in changed:
+            for _ in range(size.bit_length() - 1):
+                node = node >> 1
+                least[row, node] = np.minimum(least[row, 2 * node], least[row, 2 * node + 1])
+        row = row[least[row, 1] < NO_PAIR]
+    return ids[live], live.sum(axis=1)
+
+
+class Encoder:
+    """Texts to ids; each distinct piece is encoded once until ``HELD_PIECES`` are held."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.pairs, self.cut = ranks, PairRanks(ranks), regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows, self.flat, self.start = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of pieces: rows ``start[k]`` to ``start[k + 1]`` of ``flat``."""
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in new:
+            b = piece.encode()
+            size = 0 if b in self.ranks else 2 << max(len(b) - 2, 1).bit_length() - 1
+            groups.setdefault(size if size <= WIDEST else -1, []).append((piece, b))
+        for size, members in groups.items():
+            names, pieces = zip(*members)
+            if size > 0:
+                flat, count = encode_alike(list(pieces), self.pairs, size)
+            else:
+                each = [[self.ranks[b]] if size == 0 else encode_piece(b, self.ranks) for b in pieces]
+                flat, count = np.array(list(chain.from_iterable(each)), np.int32), np.fromiter(map(len, each), np.int64, len(each))
+            self.rows.update(zip(names, range(len(self.rows), len(self.rows) + len(names))))
+            self.flat = np.concatenate([self.flat, flat])
+            self.start = np.concatenate([self.start, self.start[-1] + count.cumsum()])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, chunk, held = [], [], 0
+        for text in texts:
+            chunk.append(self.cut(text) if text else [])
+            held += len(text or "")
+            if held >= CHUNK_CHARS:
+                out += self._ids(chunk)
+                chunk, held = [], 0
+        return out + self._ids(chunk)
+
+    def _ids(self, chunk: list[list[str]]) -> list[np.ndarray]:
+        if len(self.rows) > HELD_PIECES:
+            self.forget()
+        if new := set(chain.from_iterable(chunk)).difference(self.rows):
+            self.learn(list(new))
+        total = sum(map(len, chunk))
+        row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(chunk)), np.int64, total)
+        count = self.start[row + 1] - self.start[row]
+        ends = count.cumsum()
+        ids = self.flat[np.arange(ends[-1] if total else 0) + np.repeat(self.start[row] - ends + count, count)]
+        cuts = np.append(0, ends)[np.cumsum([0, *map(len, chunk)])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text``; a null or empty text has none.
 
@@ -103,16 +210,11 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     stay as they are; a column named ``ids`` is replaced. An empty table gives
     an empty table.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def make():
-        ranks, pieces = shared.value, regex.compile(pattern)
-        cache = piece_cache(key, ranks)
-
-        def run(texts: list) -> list[list]:
-            return [[list(chain.from_iterable(map(cache.__getitem__, pieces.findall(t)))) if t else [] for t in texts]]
-
-        return run
+        encoder = Encoder(shared.value, pattern)
+        return lambda texts: [encoder.encode(texts)]
 
     return add_columns(docs, make, {ids: "array<int>"}, binary=False)
 

@@ -42,6 +42,24 @@ def test_piece_equals_repeated_scans(ranks):
             assert byte_bpe.encode_piece(piece, ranks) == ([ranks[piece]] if piece in ranks else merged_slowly(piece, ranks))
 
 
+def test_side_by_side_equals_one_by_one(ranks):
+    pick = random.Random(8)
+    encoder = byte_bpe.Encoder(ranks, PATTERN)
+    pieces = ["".join(pick.choice("aabeinth é漢") for _ in range(pick.randint(1, 70))) for _ in range(900)]
+    encoder.learn(sorted(set(pieces)))
+    for p in pieces:
+        k = encoder.rows[p]
+        assert encoder.flat[encoder.start[k] : encoder.start[k + 1]].tolist() == byte_bpe.encode_piece(p.encode(), ranks)
+
+
+def test_forgets_when_full(ranks, encoder, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "HELD_PIECES", 5)
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 20)
+    texts = [f"word{i} another{i % 3} text" for i in range(40)] + [None, ""]
+    got = byte_bpe.Encoder(ranks, PATTERN).encode(texts)
+    assert [g.tolist() for g in got] == [encoder.encode_ordinary(t or "") for t in texts]
+
+
 def test_ties_go_left():
     ranks = {b"a": 0, b"b": 1, b"aa": 2, b"aaaa": 3}
     assert byte_bpe.encode_piece(b"aaa", ranks) == [2, 0]
