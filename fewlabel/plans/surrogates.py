@@ -1,9 +1,9 @@
 """Surrogate scaling on text and embeddings.
 
-Text surrogates: every (replication, s) is one group of labelled rows, whose
-size the budget bounds (train pool plus two validation sets); groups are fitted
-in parallel. Embedding surrogates: validation may be the whole rest of a pool,
-so they are fitted and judged from moment matrices.
+Text surrogates: every (replication, s) fits its s train rows by conjugate
+gradients on sparse rows; the coefficients meet the validation rows in a
+grouped join, and all sets are judged by sums. Embedding surrogates: fitted and
+judged from moment matrices.
 """
 
 from __future__ import annotations
@@ -12,44 +12,143 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import influence as I
 from ..operators.moments import Moments, collect_moments, gram_vectors, moments_of, unpack
+from ..operators.sparse_ridge import Sparse, capped_square_weights, fit_exact_rows, fit_rows
+from ..operators.splits import pool_stop_scale_split
 from ..operators.surrogate import ifvar_of, mse_of, ridge_path
+from ..operators.terms import tfidf, vocabulary
+from ..session import materialise
 
-SCALING_SCHEMA = (
-    "replication long, s long, feature string, training_objective string, ifvar double, selected_alpha double, "
-    "stop_mse double, stop_ifvar double"
+FIT_SCHEMA = "replication long, s long, fit string, feature string, alpha double, place int, intercept double, coef array<double>"
+JUDGED_SCHEMA = (
+    "replication long, s long, fit string, feature string, alpha double, place int, judged string, role string, "
+    "n long, rr double, ar double, aarr double"
 )
+ROWS_AT_ONCE = 4096  # of the validation sets, in one task
 
+# Sizes of the train pool and of the two validation sets.
+POOL, STOP, SCALE = 5000, 1000, 2000
 
-def ridge_fits(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], w: np.ndarray | None = None) -> list[np.ndarray]:
-    """Ridge coefficients (intercept first) for every alpha, in the dual when x is wide."""
-    w = np.ones(len(y)) if w is None else w
-    xm, ym = w @ x / w.sum(), w @ y / w.sum()
-    root = np.sqrt(w)[:, None]
-    xc, yc = (x - xm) * root, (y - ym) * root[:, 0]
-    wide = x.shape[1] > len(y)
-    values, vectors = np.linalg.eigh(xc @ xc.T if wide else xc.T @ xc)
-    side = vectors.T @ (yc if wide else xc.T @ yc)
-    out = []
-    for alpha in alphas:
-        b = vectors @ (side / (values + alpha))
-        b = xc.T @ b if wide else b
-        out.append(np.append(ym - xm @ b, b))
-    return out
+#: The fit behind each objective, and whether it stops by the MSE.
+OBJECTIVES = {
+    "mse": ("plain", True),
+    "mse_stop_ifvar": ("plain", False),
+    "ifvar_weighted": ("ifvar_weighted", False),
+    "ifvar_exact": ("ifvar_exact", False),
+}
+
+
+def text_cells(
+    texts: DataFrame,
+    id_: str,
+    terms: str,
+    y: str,
+    weights: Column,
+    replications: Sequence[int],
+    seed: int,
+    pool: int = POOL,
+    stop: int = STOP,
+    scale: int = SCALE,
+    max_features: int = 20_000,
+    min_df: int = 2,
+) -> tuple[DataFrame, int]:
+    """Labelled texts as sparse TF-IDF rows dealt to the roles of each replication, and the number of columns.
 
+    ``weights`` is an array with one IF weight per target. Every replication
+    deals out pool + stop + scale texts anew; fewer texts stop the job.
+    """
+    n = texts.count()
+    if n < pool + stop + scale:
+        raise ValueError(f"{n} labelled texts for {pool} + {stop} + {scale} in the pool, stop and scale sets")
+    vocab = materialise(vocabulary(texts, terms, max_features, min_df), "vocabulary")
+    sparse = tfidf(texts, id_, terms, vocab)
+    mean = texts.agg(F.avg(y).alias("m")).scalar()
+    empty = F.array().cast("array<int>"), F.array().cast("array<double>")
+    rows = texts.select(id_, F.col(y).alias("y"), weights.alias("a"), mean.alias("base")).join(sparse, id_, "left")
+    rows = rows.withColumns({"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1])})
+    members = pool_stop_scale_split(texts.select(id_), id_, replications, pool, stop, scale, seed)
+    cells = members.join(rows, id_).withColumnRenamed(id_, "id")
+    return materialise(cells, "cells"), vocab.count()
+
+
+def surrogate_fits(
+    rows: DataFrame, features: Sequence[str], n_columns: int, s_grid: Sequence[int], alphas: Sequence[float], clip: float | None, kinds: Sequence[str]
+) -> DataFrame:
+    """Coefficients of every (replication, s, kind of fit, feature, alpha).
+
+    Only train rows are grouped, and a group has s of them: the grid of train
+    sizes, not the table, bounds it.
+    """
+    grid = F.array(*[F.lit(int(s)).cast("long") for s in sorted(s_grid) if s > 0])
+    train = rows.where("role = 'train_pool'").select("replication", "train_rank", "y", "a", "idx", "val")
+    cells = train.withColumn("s", F.explode(F.filter(grid, lambda s: s >= F.col("train_rank"))))
+    names = list(features)
 
-def capped_square_weights(a: np.ndarray, clip: float | None) -> np.ndarray:
-    w = a * a
-    if clip is not None and 0 < clip < 1 and len(w) > 1:
-        cap = np.quantile(w, clip)
-        w = np.minimum(w, cap) if cap > 0 else w
-    mean = w.mean()
-    return w / mean if mean > 0 else np.ones_like(w)
+    def fit_cell(key: tuple, table: pa.Table) -> pa.Table:
+        rep, s = (k.as_py() for k in key)
+        x = Sparse.of(table.column("idx"), table.column("val"), n_columns)
+        y, a = np.asarray(table.column("y")), np.array(table.column("a").to_pylist(), float)
+        paths = [("plain", "", fit_rows(x, y, alphas))] if "plain" in kinds else []
+        for j, name in enumerate(names):
+            if "ifvar_weighted" in kinds:
+                paths.append(("ifvar_weighted", name, fit_rows(x, y, alphas, capped_square_weights(a[:, j], clip))))
+            if "ifvar_exact" in kinds:
+                paths.append(("ifvar_exact", name, fit_exact_rows(x, y, a[:, j], alphas)))
+        fields = ["replication", "s", "fit", "feature", "alpha", "place", "intercept", "coef"]
+        out = [(rep, s, kind, name, float(alphas[k]), k, float(b[0, k]), b[1:, k]) for kind, name, b in paths for k in range(len(alphas))]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
+        return pa.table({f: pa.array(list(v), t) for f, v, t in zip(fields, zip(*out), types)})
+
+    return cells.groupBy("replication", "s").applyInArrow(fit_cell, FIT_SCHEMA)
+
+
+def judged_fits(rows: DataFrame, fits: DataFrame, features: Sequence[str], n_columns: int) -> DataFrame:
+    """Of every fit, per feature it is judged for and validation role: n and the sums of r^2, a r and (a r)^2.
+
+    Validation rows are dealt to chunks of about ``ROWS_AT_ONCE``, each of which
+    meets the coefficients of its replication; a fit common to all features is
+    judged for each of them in the same pass, by its weights. The sums are added
+    up natively.
+    """
+    names = list(features)
+    held = rows.where("role in ('stop', 'scale')").select("id", "replication", "role", "y", "a", "idx", "val")
+    most = held.groupBy("replication").count().agg(F.max("count")).first()[0] or 0
+    chunks = max(1, -(-int(most) // ROWS_AT_ONCE))
+    held = held.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).drop("id")
+    spread = fits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            x = Sparse.of(left.column("idx"), left.column("val"), n_columns)
+            y, a = np.asarray(left.column("y")), np.array(left.column("a").to_pylist(), float)
+            role = np.array(left.column("role").to_pylist())
+            for start in range(0, right.num_rows, 64):
+                fit = right.slice(start, 64)
+                coef = np.array([c or [0.0] * n_columns for c in fit.column("coef").to_pylist()], float).T.reshape(n_columns, -1)
+                r = y[:, None] - np.asarray(fit.column("intercept")) - x.dot(coef)
+                head = fit.select(["replication", "s", "fit", "feature", "alpha", "place"]).to_pylist()
+                for k, h in enumerate(head):
+                    for j, name in enumerate(names):
+                        if h["feature"] in ("", name):
+                            for which in ("stop", "scale"):
+                                e = r[role == which, k]
+                                ae = a[role == which, j] * e
+                                out.append({**h, "judged": name, "role": which, "n": len(e), "rr": float(e @ e), "ar": float(ae.sum()), "aarr": float(ae @ ae)})
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 3]
+        fields = ["replication", "s", "fit", "feature", "alpha", "place", "judged", "role", "n", "rr", "ar", "aarr"]
+        return pa.table({f: pa.array([o[f] for o in out], t) for f, t in zip(fields, kinds)})
+
+    keys = ["replication", "chunk"]
+    parts = held.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(judge, JUDGED_SCHEMA)
+    by = ["replication", "s", "fit", "feature", "alpha", "place", "judged", "role"]
+    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "rr", "ar", "aarr")])
 
 
 def surrogate_scaling(
@@ -59,64 +158,46 @@ def surrogate_scaling(
     s_grid: Sequence[int],
     alphas: Sequence[float],
     clip: float | None = 0.99,
-    objectives: Sequence[str] = ("mse", "mse_stop_ifvar", "ifvar_weighted", "ifvar_exact"),
+    objectives: Sequence[str] = tuple(OBJECTIVES),
 ) -> DataFrame:
     """IF variance of each surrogate per (replication, s, feature, objective).
 
-    ``rows`` are labelled rows with replication, role (train_pool, stop, scale),
-    train_rank, y, base (the constant prediction), ``a`` (one weight per
-    feature) and sparse text columns idx, val.
+    ``rows`` are labelled rows with id, replication, role (train_pool, stop,
+    scale), train_rank, y, base (the constant prediction), ``a`` (one weight per
+    feature) and sparse text columns idx, val. s = 0 is the constant.
+    Strictly smaller wins among the alphas, so the first keeps a tie.
     """
-    grid = F.array(*[F.lit(int(s)).cast("long") for s in sorted(s_grid)])
-    used = F.when(F.col("role") == "train_pool", F.filter(grid, lambda s: s >= F.col("train_rank"))).otherwise(grid)
-    cells = rows.withColumn("s", F.explode(used))
-    names = list(features)
-
-    def var1(v: np.ndarray) -> float:
-        return float(np.var(v, ddof=1))
-
-    def fit_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, s = int(pdf["replication"].iloc[0]), int(pdf["s"].iloc[0])
-        x = np.zeros((len(pdf), n_columns))
-        for r, (i, v) in enumerate(zip(pdf["idx"], pdf["val"])):
-            x[r, np.asarray(i, dtype=int)] = v
-        y = pdf["y"].to_numpy(dtype=float)
-        a = np.stack(pdf["a"].to_numpy())
-        role = pdf["role"].to_numpy()
-        tr, st, sc = (role == k for k in ("train_pool", "stop", "scale"))
-        out = []
-        if s == 0:
-            r = y[sc] - pdf["base"].to_numpy(dtype=float)[sc]
-            out = [(rep, s, f, "constant", var1(a[sc, j] * r), None, None, None) for j, f in enumerate(names)]
-        else:
-            plain = ridge_fits(x[tr], y[tr], alphas)
-            plain_r = [y - b[0] - x @ b[1:] for b in plain]
-            by_mse = int(np.argmin([np.mean(r[st] ** 2) for r in plain_r]))
-            for j, f in enumerate(names):
-                aj = a[:, j]
-                for objective in objectives:
-                    if objective in ("mse", "mse_stop_ifvar"):
-                        residuals = plain_r
-                    elif objective == "ifvar_weighted":
-                        w = capped_square_weights(aj[tr], clip)
-                        residuals = [y - b[0] - x @ b[1:] for b in ridge_fits(x[tr], y[tr], alphas, w)]
-                    else:
-                        aug = np.column_stack([aj[tr], x[tr] * aj[tr][:, None]])
-                        residuals = [y - b[1] - x @ b[2:] for b in ridge_fits(aug, aj[tr] * y[tr], alphas)]
-                    stop_ifvar = [var1(aj[st] * r[st]) for r in residuals]
-                    k = by_mse if objective == "mse" else int(np.argmin(stop_ifvar))
-                    r = residuals[k]
-                    stop = float(np.mean(r[st] ** 2))
-                    # the plain objective does not look at the weights when it stops
-                    shown = stop if objective == "mse" else stop_ifvar[k]
-                    out.append((rep, s, f, objective, var1(aj[sc] * r[sc]), float(alphas[k]), stop, shown))
-        cols = ["replication", "s", "feature", "training_objective", "ifvar", "selected_alpha", "stop_mse", "stop_ifvar"]
-        return pd.DataFrame(out, columns=cols)
-
-    fitted = cells.groupBy("replication", "s").applyInPandas(fit_cell, SCALING_SCHEMA)
-    base = fitted.where(F.col("training_objective") == "constant").select("replication", "feature", F.col("ifvar").alias("__0"))
-    joined = fitted.join(base, ["replication", "feature"], "left")
-    return joined.withColumn("ifvar_ratio_to_s0", F.when(F.col("__0") > 0, F.col("ifvar") / F.col("__0"))).drop("__0")
+    kinds = list(dict.fromkeys(OBJECTIVES[o][0] for o in objectives))
+    fits = surrogate_fits(rows, features, n_columns, s_grid, alphas, clip, kinds)
+    if 0 in s_grid:
+        constant = rows.groupBy("replication").agg(F.max("base").alias("intercept"))
+        fits = fits.unionByName(constant.selectExpr("replication", "0L AS s", "'constant' AS fit", "'' AS feature", "CAST(NULL AS double) AS alpha", "0 AS place", "intercept", "CAST(array() AS array<double>) AS coef"))
+    sums = judged_fits(rows, fits, features, n_columns)
+    n, ar, aarr = F.col("n"), F.col("ar"), F.col("aarr")
+    variance = F.when(n > 1, F.greatest(aarr - ar * ar / n, F.lit(0.0)) / (n - 1))
+    scores = sums.withColumns({"mse": F.col("rr") / n, "ifvar": variance})
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    by = ["replication", "s", "fit", "judged", "alpha", "place"]
+    wide = scores.groupBy(*by).agg(of("stop", "mse").alias("stop_mse"), of("stop", "ifvar").alias("stop_ifvar"), of("scale", "ifvar").alias("ifvar"))
+    uses = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(o).alias("name"), F.lit(by_mse).alias("by_mse")) for o, (kind, by_mse) in {**{o: OBJECTIVES[o] for o in objectives}, "constant": ("constant", True)}.items()])
+    tried = wide.withColumn("o", F.explode(F.filter(uses, lambda o: o["kind"] == F.col("fit"))))
+    # the plain objective does not look at the weights when it stops
+    shown = F.when(F.col("o.by_mse"), F.col("stop_mse")).otherwise(F.col("stop_ifvar"))
+    first = W.partitionBy("replication", "s", "judged", "o.name").orderBy("shown", "place")
+    best = tried.withColumn("shown", shown).withColumn("turn", F.row_number().over(first)).where("turn = 1")
+    fitted = F.col("fit") != "constant"
+    chosen = best.select(
+        "replication",
+        "s",
+        F.col("judged").alias("feature"),
+        F.col("o.name").alias("training_objective"),
+        "ifvar",
+        F.col("alpha").alias("selected_alpha"),
+        F.when(fitted, F.col("stop_mse")).alias("stop_mse"),
+        F.when(fitted, F.col("shown")).alias("stop_ifvar"),
+    )
+    zero = F.max(F.when(F.col("s") == 0, F.col("ifvar"))).over(W.partitionBy("replication", "feature"))
+    return chosen.withColumn("__0", zero).withColumn("ifvar_ratio_to_s0", F.when(F.col("__0") > 0, F.col("ifvar") / F.col("__0"))).drop("__0")
 
 
 @dataclass(frozen=True)

@@ -644,3 +644,27 @@ def crossppi_mean(spark, sf):
 
     pop = document_table(spark, sf)
     return shaped(cross(pop, ["x1"], "y", "id", folds=5, seed=97), ["n_labelled", "n_unlabeled"], ["mu_hat", "var_est"])
+
+
+_RE = ["power", "mu_hat", "var_est", "sample_mean", "sample_var_est"]
+
+
+@query(
+    "reppi_mean",
+    sql_shaped(
+        f"""WITH {DOCS}, lab AS (SELECT id, y, x1, x2, ('0x' || substr(md5('97:fold:' || id), 1, 15))::BIGINT % 2 AS fold FROM docs WHERE y IS NOT NULL),
+        others AS (SELECT f.fold AS keep, y, x1, x2 FROM lab, (SELECT unnest(range(2)) AS fold) f WHERE lab.fold <> f.fold),
+        cf AS {fit2("others", "y", "x2", "x1", "keep")},
+        size AS (SELECT count(y) AS n, count(*) - count(y) AS nu, (count(*) - count(y)) / count(*) AS power FROM docs),
+        r AS (SELECT avg(y - power * (b0 + ba * x2 + bb * x1)) AS m, var_samp(y - power * (b0 + ba * x2 + bb * x1)) AS v, avg(y) AS my, var_samp(y) AS vy FROM lab JOIN cf ON fold = keep, size),
+        u AS (SELECT avg(power * (a + b * x2 + c * x1)) AS mf, var_samp(power * (a + b * x2 + c * x1)) AS vf FROM docs, size, (SELECT avg(b0) AS a, avg(ba) AS b, avg(bb) AS c FROM cf) WHERE y IS NULL)
+        SELECT n::BIGINT AS n_labelled, nu::BIGINT AS n_unlabeled, power, m + mf AS mu_hat, v / n + vf / nu AS var_est, my AS sample_mean, vy / n AS sample_var_est FROM r, u, size""",
+        ["n_labelled", "n_unlabeled"],
+        _RE,
+    ),
+)
+def reppi_mean(spark, sf):
+    """Reading ease as a given prediction of quality, recalibrated with the word count in two folds."""
+    from ..plans.crossfit import reppi_mean as recalibrated
+
+    return shaped(recalibrated(document_table(spark, sf), "x2", ["x1"], "y", "id", folds=2, seed=97), ["n_labelled", "n_unlabeled"], _RE)

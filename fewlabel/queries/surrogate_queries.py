@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as V
 from ..operators import influence as I
+from ..operators import sparse_ridge as SR
 from ..operators import splits as X
 from ..operators import surrogate as U
 from ..operators import terms as TM
@@ -193,6 +194,73 @@ def ridge_ifvar_exact(spark, sf):
     return _judge(df, train, "ifvar", lambda m, alpha: U.ridge_ifvar_exact(m, ["x1"], alpha))
 
 
+_PATH = (0.1, 1.0, 10.0, 100.0)
+
+# With a vocabulary of one term, x is 1 for texts that hold it and 0 for others, and every fit has a closed form.
+_ONE_TERM = f"""{S.POP},
+one AS (SELECT id, regexp_extract_all(strip_accents(lower(text)), {S.lit(TM.TERM)}) AS t FROM pop),
+term AS (SELECT id, unnest(t) AS term FROM one UNION ALL SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM one WHERE len(t) > 1),
+top AS (SELECT term FROM term GROUP BY term HAVING count(DISTINCT id) >= 3 ORDER BY count(*) DESC, term LIMIT 1),
+hit AS (SELECT DISTINCT id, 1.0 AS x FROM term JOIN top USING (term)),
+wb AS (SELECT avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12, count(*) AS n, avg(y) AS base FROM pop),
+lab AS (SELECT pop.id, y, base, coalesce(x, 0.0) AS x, unnest([
+    {{'feature': 'log_word_count', 'a': (x1 - m1) / v1}}, {{'feature': 'reading_ease', 'a': (x2 - m2) / v2}}{{more}}], recursive := true) FROM pop LEFT JOIN hit USING (id), wb),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY replication, feature ORDER BY md5(concat_ws(':', 101, replication, 'bands', id)), id) AS r FROM lab, (SELECT unnest(range(3)) AS replication), (SELECT n // 2 AS pool, n // 5 AS stop FROM wb)),
+roles AS (SELECT *, CASE WHEN r <= pool THEN 'train' WHEN r <= pool + stop THEN 'stop' ELSE 'scale' END AS role FROM dealt),
+sizes AS (SELECT unnest([pool // 8, pool // 2, pool]) AS s FROM (SELECT DISTINCT pool FROM roles)),
+al AS (SELECT unnest({list(_PATH)})::DOUBLE AS alpha, unnest(range({len(_PATH)})) AS place),
+tr AS (SELECT * FROM roles, sizes WHERE role = 'train' AND r <= s),
+plain AS (SELECT replication, feature, s, alpha, place, 'plain' AS fit, sxy / (sxx + alpha) AS b1, my - sxy / (sxx + alpha) * mx AS b0
+  FROM (SELECT replication, feature, s, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, avg(y) AS my, avg(x) AS mx FROM tr GROUP BY ALL), al)"""
+_ONE_TERM_REST = """,
+cap AS (SELECT replication, feature, s, quantile_cont(a * a, 0.99) AS c FROM tr GROUP BY ALL),
+cw AS (SELECT tr.*, CASE WHEN c > 0 THEN least(a * a, c) ELSE a * a END AS u FROM tr JOIN cap USING (replication, feature, s)),
+nw AS (SELECT *, u / avg(u) OVER (PARTITION BY replication, feature, s) AS w FROM cw),
+mw AS (SELECT *, sum(w * x) OVER g / sum(w) OVER g AS wx, sum(w * y) OVER g / sum(w) OVER g AS wy FROM nw WINDOW g AS (PARTITION BY replication, feature, s)),
+weighted AS (SELECT replication, feature, s, alpha, place, 'ifvar_weighted' AS fit, sxy / (sxx + alpha) AS b1, wy - sxy / (sxx + alpha) * wx AS b0
+  FROM (SELECT replication, feature, s, any_value(wx) AS wx, any_value(wy) AS wy, sum(w * pow(x - wx, 2)) AS sxx, sum(w * (x - wx) * (y - wy)) AS sxy FROM mw GROUP BY replication, feature, s), al),
+exact AS (SELECT replication, feature, s, alpha, place, 'ifvar_exact' AS fit, ((pp + alpha) * qt - pq * pt) / ((pp + alpha) * (qq + alpha) - pq * pq) AS b1, ((qq + alpha) * pt - pq * qt) / ((pp + alpha) * (qq + alpha) - pq * pq) AS b0
+  FROM (SELECT replication, feature, s, regr_sxx(a, a) AS pp, regr_sxy(a, a * x) AS pq, regr_sxx(a, a * x) AS qq, regr_sxy(a * y, a) AS pt, regr_sxy(a * y, a * x) AS qt FROM tr GROUP BY ALL), al)"""
+
+
+def _half_split(spark, sf, max_features):
+    """Labelled texts as sparse rows with the IF weight of log_word_count: half train, a fifth stop, the rest scale."""
+    rows, p, _ = labelled_text_cells(spark, sf, {"log_word_count": ["log_word_count"]}, 1, max_features, 2)
+    return rows.withColumn("a0", F.col("a")[0]), p
+
+
+def _sparse_exact(spark, sf, max_features, alphas=_PATH):
+    rows, p = _half_split(spark, sf, max_features)
+    path = SR.sparse_ridge_path(rows.where("role = 'train_pool'"), "y", p, alphas, gain=F.col("a0"))
+    fits = spark.createDataFrame(
+        [(0, 1, "ifvar_exact", "log_word_count", float(al), k, float(path[0, k]), path[1:, k].tolist()) for k, al in enumerate(alphas)], SU.FIT_SCHEMA
+    )
+    sums = SU.judged_fits(rows, fits, ["log_word_count"], p)
+    n, ar = F.col("n"), F.col("ar")
+    out = sums.select("role", "alpha", (F.col("rr") / n).alias("mse"), ((F.col("aarr") - ar * ar / n) / (n - 1)).alias("ifvar"))
+    return shaped(out, ["role", "alpha"], ["mse", "ifvar"], 4)
+
+
+@query("ridge_ifvar_exact_sparse")
+def ridge_ifvar_exact_sparse(spark, sf):
+    """The exact IF-variance surrogate on all terms of the labelled texts, by conjugate gradients over the table (rows only)."""
+    return _sparse_exact(spark, sf, 50_000, (1.0, 10.0, 100.0, 1000.0))
+
+
+@query(
+    "ridge_ifvar_exact_one_term",
+    sql_shaped(
+        "SELECT role, alpha, avg(pow(y - b0 - b1 * x, 2)) AS mse, var_samp(a * (y - b0 - b1 * x)) AS ifvar FROM exact JOIN roles USING (replication, feature) WHERE role <> 'train' AND feature = 'log_word_count' AND replication = 0 AND s = pool GROUP BY ALL",
+        ["role", "alpha"],
+        ["mse", "ifvar"],
+        4,
+        with_=f"WITH {_ONE_TERM.replace('{more}', '')}{_ONE_TERM_REST}".replace("count(DISTINCT id) >= 3", "count(DISTINCT id) >= 2"),
+    ),
+)
+def ridge_ifvar_exact_one_term(spark, sf):
+    return _sparse_exact(spark, sf, 1)
+
+
 @query(
     "score_linear",
     sql_shaped(
@@ -219,19 +287,11 @@ def batch_score(spark, sf):
     return shaped(out, ["doc_id"], ["score"])
 
 
-# Labelled texts of each replication, and the sizes fitted on the pool.
-POOL, STOP, SCALE = 80, 40, 60
-S_GRID = (0, 20, 40, 80)
-
-
-def labelled_text_cells(spark, sf, features, replications=3):
-    """Labelled documents with TF-IDF columns, weights and replicated roles.
-
-    ``features`` maps a name to the regressors of its target, target first.
-    """
+def labelled_term_rows(spark, sf):
+    """Labelled distinct texts with the two regressors and their terms, stored once."""
     texts = POP.labelled_texts(load(spark, sf, "documents"), load(spark, sf, "labels"))
     w = texts.withColumn("w", T.words(F.col("text")))
-    base = materialise(
+    return materialise(
         w.select(
             "id",
             "y",
@@ -241,43 +301,80 @@ def labelled_text_cells(spark, sf, features, replications=3):
         ),
         "texts",
     )
-    vocab = materialise(TM.vocabulary(base, "terms", 300, 3), "vocabulary")
-    n_columns = vocab.count()
+
+
+def labelled_text_cells(spark, sf, targets, replications=3, max_features=300, min_df=3):
+    """All labelled texts dealt to pool, stop and scale sets (half, a fifth, the rest) of each replication.
+
+    ``targets`` maps a name to the regressors of its target, target first. The
+    train sizes are none, an eighth, a half and all of the pool.
+    """
+    base = labelled_term_rows(spark, sf)
     m = moments_of(base, ["log_word_count", "reading_ease"], "y")[()]
-    fits = [I.fit_ols(m, cols[0], cols, "y") for cols in features.values()]
-    rows = base.select("id", "y", F.array(*[I.if_weight(f) for f in fits]).alias("a"))
-    mean = base.agg(F.avg("y").alias("m")).scalar()
-    sparse = TM.tfidf(base, "id", "terms", vocab)
-    empty = F.array().cast("array<int>"), F.array().cast("array<double>")
-    joined = rows.join(sparse, "id", "left").withColumns(
-        {"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1]), "base": mean}
-    )
-    # a budget of labels bounds every (replication, s) group, whatever the table's size
-    if base.limit(POOL + STOP + SCALE).count() < POOL + STOP + SCALE:
-        raise ValueError(f"fewer than {POOL + STOP + SCALE} labelled texts for the pool, stop and scale sets")
-    members = X.pool_stop_scale_split(base.select("id"), "id", range(replications), POOL, STOP, SCALE, seed=101)
-    return members.join(joined, "id"), n_columns, list(S_GRID)
+    fits = [I.fit_ols(m, cols[0], cols, "y") for cols in targets.values()]
+    pool, stop = m.n // 2, m.n // 5
+    weights = F.array(*[I.if_weight(f) for f in fits])
+    rows, p = SU.text_cells(base, "id", "terms", "y", weights, range(replications), 101, pool, stop, m.n - pool - stop, max_features, min_df)
+    return rows, p, [0, pool // 8, pool // 2, pool]
 
 
 _TARGETS = {"log_word_count": ["log_word_count"], "reading_ease": ["reading_ease"]}
+_SPECS = {**_TARGETS, "log_word_count__reading_ease": ["log_word_count", "reading_ease"]}
 
 
 @query("surrogate_scaling")
 def surrogate_scaling(spark, sf):
-    """TF-IDF ridge surrogates on labelled documents, all objectives (rows only)."""
+    """TF-IDF ridge surrogates on all labelled documents, all objectives (rows only; one term: surrogate_scaling_one_term)."""
     rows, p, grid = labelled_text_cells(spark, sf, _TARGETS)
-    return SU.surrogate_scaling(rows, list(_TARGETS), p, grid, [0.1, 1.0, 10.0, 100.0])
+    return SU.surrogate_scaling(rows, list(_TARGETS), p, grid, _PATH)
 
 
 @query("spec_scaling")
 def spec_scaling(spark, sf):
-    """The same surrogate judged for several regressions at once: one fit per (replication, s)."""
-    specs = {**_TARGETS, "log_word_count__reading_ease": ["log_word_count", "reading_ease"]}
-    rows, p, grid = labelled_text_cells(spark, sf, specs)
-    out = SU.surrogate_scaling(rows, list(specs), p, grid, [0.1, 1.0, 10.0, 100.0], objectives=("mse",))
+    """One surrogate judged for several regressions at once by their weights: one fit per (replication, s)."""
+    rows, p, grid = labelled_text_cells(spark, sf, _SPECS)
+    out = SU.surrogate_scaling(rows, list(_SPECS), p, grid, _PATH, objectives=("mse",))
     return out.withColumnRenamed("feature", "spec_id")
 
 
+def _one_term_sql(more: str, fits: str, rest: str, uses: str, name: str) -> str:
+    judged = f""",
+models AS ({fits}),
+tried AS (SELECT m.replication, m.feature, m.s, m.fit, m.alpha, m.place,
+    avg(pow(y - b0 - b1 * x, 2)) FILTER (role = 'stop') AS stop_mse, var_samp(a * (y - b0 - b1 * x)) FILTER (role = 'stop') AS stop_var, var_samp(a * (y - b0 - b1 * x)) FILTER (role = 'scale') AS ifvar
+  FROM models m JOIN roles o ON m.replication = o.replication AND m.feature = o.feature AND o.role <> 'train' GROUP BY ALL),
+uses AS (SELECT unnest({uses}, recursive := true)),
+scored AS (SELECT *, CASE WHEN by_mse THEN stop_mse ELSE stop_var END AS stop_ifvar FROM tried JOIN uses USING (fit)),
+constant AS (SELECT replication, feature, var_samp(a * (y - base)) AS zero FROM roles WHERE role = 'scale' GROUP BY ALL)"""
+    core = """SELECT replication, s, feature, training_objective, ifvar, alpha AS selected_alpha, stop_mse, stop_ifvar, ifvar / zero AS ifvar_ratio_to_s0 FROM scored JOIN constant USING (replication, feature)
+QUALIFY row_number() OVER (PARTITION BY replication, s, feature, training_objective ORDER BY stop_ifvar, place) = 1
+UNION ALL SELECT replication, 0, feature, 'constant', zero, NULL, NULL, NULL, 1.0 FROM constant"""
+    with_ = f"WITH {_ONE_TERM.replace('{more}', more)}{rest}{judged}"
+    return sql_shaped(f"SELECT * RENAME (feature AS {name}) FROM ({core})", ["replication", "s", name, "training_objective"], _SCALING, 4, with_=with_)
+
+
+_SCALING = ["ifvar", "selected_alpha", "stop_mse", "stop_ifvar", "ifvar_ratio_to_s0"]
+_ALL_USES = "[{'fit': 'plain', 'training_objective': 'mse', 'by_mse': true}, {'fit': 'plain', 'training_objective': 'mse_stop_ifvar', 'by_mse': false}, {'fit': 'ifvar_weighted', 'training_objective': 'ifvar_weighted', 'by_mse': false}, {'fit': 'ifvar_exact', 'training_objective': 'ifvar_exact', 'by_mse': false}]"
+
+
+@query("surrogate_scaling_one_term", _one_term_sql("", "FROM plain UNION ALL BY NAME FROM weighted UNION ALL BY NAME FROM exact", _ONE_TERM_REST, _ALL_USES, "feature"))
+def surrogate_scaling_one_term(spark, sf):
+    """The same job over the same rows with the most frequent term alone, for which SQL has a closed form."""
+    rows, p, grid = labelled_text_cells(spark, sf, _TARGETS, max_features=1)
+    return shaped(SU.surrogate_scaling(rows, list(_TARGETS), p, grid, _PATH), ["replication", "s", "feature", "training_objective"], _SCALING, 4)
+
+
+_BOTH = ", {'feature': 'log_word_count__reading_ease', 'a': (v2 * (x1 - m1) - c12 * (x2 - m2)) / (v1 * v2 - c12 * c12)}"
+
+
+@query("spec_scaling_one_term", _one_term_sql(_BOTH, "FROM plain", "", _ALL_USES.split(", {'fit': 'plain', 'training_objective': 'mse_stop")[0] + "]", "spec_id"))
+def spec_scaling_one_term(spark, sf):
+    """One fit for three regressions with the most frequent term alone."""
+    rows, p, grid = labelled_text_cells(spark, sf, _SPECS, max_features=1)
+    out = SU.surrogate_scaling(rows, list(_SPECS), p, grid, _PATH, objectives=("mse",)).withColumnRenamed("feature", "spec_id")
+    return shaped(out, ["replication", "s", "spec_id", "training_objective"], _SCALING, 4)
+
+
 def screened_embeddings(spark, sf):
     """Embedding-difference ridge surrogates against two coefficient targets: results and target diagnostics."""
     from ..operators.scaling import pair_embedding, standardize_embedding

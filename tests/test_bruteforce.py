@@ -83,7 +83,7 @@ def test_candidate_diagnostics(spark):
     assert row["direct_ci_halfwidth_B500"] == pytest.approx(1.96 * np.sqrt(row["ols_ifvar"] / 500))
 
 
-def test_surrogate_scaling(spark):
+def test_surrogate_scaling(spark, monkeypatch):
     rng = np.random.default_rng(10)
     n, p = 90, 6
     x = rng.normal(size=(n, p))
@@ -91,9 +91,10 @@ def test_surrogate_scaling(spark):
     a = rng.normal(size=n) + 0.5
     order = rng.permutation(n)
     role = {i: ("train_pool", k + 1) if k < 50 else ("stop", None) if k < 70 else ("scale", None) for k, i in enumerate(order)}
-    rows = [(0, role[i][0], role[i][1], float(y[i]), 0.1, [float(a[i])], list(range(p)), x[i].tolist()) for i in range(n)]
-    df = spark.createDataFrame(rows, "replication long, role string, train_rank long, y double, base double, a array<double>, idx array<int>, val array<double>")
+    rows = [(i, 0, role[i][0], role[i][1], float(y[i]), 0.1, [float(a[i])], list(range(p)), x[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, replication long, role string, train_rank long, y double, base double, a array<double>, idx array<int>, val array<double>")
     alphas = [0.1, 1.0, 10.0]
+    monkeypatch.setattr(SU, "ROWS_AT_ONCE", 16)  # several chunks
     got = {(r["s"], r["training_objective"]): r for r in SU.surrogate_scaling(df, ["f"], p, [0, 30], alphas).collect()}
     tr, st, sc = order[:30], order[50:70], order[70:]
     base = np.var(a[sc] * (y[sc] - 0.1), ddof=1)

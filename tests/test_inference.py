@@ -173,17 +173,24 @@ def test_exact_ifvar_ridge_minimises_the_variance(table):
         assert loss(theta + np.array(d)) > best
 
 
-def test_dual_and_primal_ridge_agree():
-    from fewlabel.plans.surrogates import ridge_fits
-
-    x, y = RNG.normal(size=(30, 8)), RNG.normal(size=30)
-    w = RNG.uniform(0.5, 2, size=30)
-    wide = np.column_stack([x, np.zeros((30, 40))])
-    for tall, flat in zip(ridge_fits(x, y, [0.1, 3.0], w), ridge_fits(wide, y, [0.1, 3.0], w)):
-        assert np.allclose(tall, flat[:9])
-
-
 def test_batch_score_scores_each_text_once(spark):
     df = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "id int, t string")
     out = {r["id"]: r["score"] for r in U.batch_score(df, "t", lambda s: s.str.len() * 1.0, batch=1).collect()}
     assert out == {1: 2.0, 2: 1.0, 3: 2.0, 4: None}
+
+
+def test_recalibration_repairs_a_bad_prediction(spark):
+    from fewlabel.plans.crossfit import reppi_mean
+
+    n = 1500
+    x = RNG.normal(size=n)
+    y = 2 + 3 * x + 0.3 * RNG.normal(size=n)
+    rows = [(i, float(y[i]) if i % 5 == 0 else None, float(100 - 7 * x[i]), float(RNG.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, y double, f double, z double")
+    got = reppi_mean(df, "f", ["z"], "y", "id", folds=3, seed=4).first()
+    lab = np.array([r[1] is not None for r in rows])
+    assert got["n_labelled"] == lab.sum() and got["power"] == pytest.approx(0.8)
+    assert got["sample_mean"] == pytest.approx(y[lab].mean()) and got["sample_var_est"] == pytest.approx(y[lab].var(ddof=1) / lab.sum())
+    assert got["var_est"] < 0.35 * got["sample_var_est"] and abs(got["mu_hat"] - y.mean()) < 4 * got["var_est"] ** 0.5
+    with pytest.raises(ValueError, match="unlabelled"):
+        reppi_mean(df.where("y is not null"), "f", [], "y", "id", 3, 4)
