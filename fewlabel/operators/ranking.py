@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 HEX_DIGITS = 3  # 4096 buckets; md5 spreads the rows evenly over them
 
 
@@ -65,6 +70,60 @@ def hash_rank(
     return ranked.drop("__hash")
 
 
+SLACK = 6.0  # standard deviations of a binomial draw that a cutoff leaves in hand
+
+
+def cutoff(k: int, n: int, slack: float = SLACK) -> str | None:
+    """Hex prefix that about ``k`` and a few of ``n`` evenly spread hashes lie below; None if all may be needed."""
+    share = (k + slack * k**0.5 + slack * slack) / max(n, 1)
+    return None if share >= 1 else f"{int(share * (1 << 64)):016x}"
+
+
+def hash_draws(
+    df: DataFrame, id_: str, dims: Mapping[str, Sequence[int]], size: Callable[[dict[str, int]], int], seed: int, salt: str, out: str = "rank"
+) -> DataFrame:
+    """For every combination of ``dims``, the first ``size`` rows of its own hash order, with their rank.
+
+    A row's hashes (those of ``hash_key``; a row without id has none) are computed
+    once per combination, beside each other in the row, and only those below the combination's cutoff (its share of the rows
+    and some slack) copy the row. What is left is stored; a combination that
+    came out short, which the slack makes rare, is drawn again with a wider
+    cutoff, in the end with none, so that the result is exact.
+    """
+    n = df.count()
+    draws = [dict(zip(dims, map(int, values))) for values in product(*dims.values())]
+
+    def survivors(wanted: list[dict[str, int]], slack: float) -> DataFrame:
+        own = F.col(id_).cast("string")
+        marks = []
+        for d in wanted:
+            # the same key as hash_key's, its constant parts joined beforehand
+            key = F.md5(F.concat(F.lit(":".join(map(str, [seed, *d.values(), salt, ""]))), own))
+            mark = F.struct(*[F.lit(v).cast("long").alias(c) for c, v in d.items()], key.alias("__hash"))
+            cut = cutoff(size(d), n, slack)
+            marks.append(mark if cut is None else F.when(key < F.lit(cut), mark))
+        below = F.array_compact(F.array(*marks))
+        # a plain explode would have the hashes computed once more, by the filter the planner derives from it
+        rows = df.withColumn("__d", F.explode_outer(below)).where("__d.__hash is not null")
+        return materialise(rows.select(*df.columns, *[F.col(f"__d.{c}").alias(c) for c in dims], F.col("__d.__hash").alias("__hash")), "draws")
+
+    kept, slack = survivors(draws, SLACK), SLACK
+    while True:
+        found = {tuple(r[c] for c in dims): r["count"] for r in kept.groupBy(*dims).count().collect()}
+        short = [d for d in draws if found.get(tuple(d.values()), 0) < min(size(d), n)]
+        if not short:
+            break
+        slack *= 100
+        again = survivors(short, slack)
+        repaired = F.lit(False)
+        for d in short:
+            repaired = repaired | reduce(and_, [F.col(c) == v for c, v in d.items()])
+        kept = kept.where(~repaired).unionByName(again)
+    k = reduce(lambda rest, d: F.when(reduce(and_, [F.col(c) == v for c, v in d.items()]), F.lit(size(d))).otherwise(rest), draws, F.lit(0))
+    ranked = bucketed_rank(kept, list(dims), hash_bucket(F.col("__hash")), ["__hash", id_], out, k)
+    return ranked.drop("__hash")
+
+
 def hash_bands(
     df: DataFrame,
     hash_: Column,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import fingerprint, hash_key
 from ..sources.tables import python_round
-from .ranking import hash_bands, hash_rank
+from .ranking import hash_bands, hash_draws, hash_rank
 
 
 # --- budget arithmetic (driver side, a handful of numbers) -------------------
@@ -92,8 +92,7 @@ def replication_split(
     """L of the given size per replication: V_stop, V_scale, then L_prime in train order."""
     if budget <= stop + scale or (max_train or 0) > budget - stop - scale:
         raise ValueError("largest train size exceeds what validation leaves of the budget")
-    rows, order = _draws(df, id_, {"replication": replications}, seed, "replication")
-    ranked = hash_rank(rows, order, id_, ["replication"], k=budget)
+    ranked = hash_draws(df, id_, {"replication": replications}, lambda d: budget, seed, "replication")
     rank = F.col("rank")
     role = F.when(rank <= stop, "V_stop").when(rank <= stop + scale, "V_scale").otherwise("L_prime")
     return ranked.withColumn("role", role).withColumn(
@@ -118,8 +117,7 @@ def allocation_split(
     for b, v in sizes.items():
         if v <= 0 or b - v <= 1:
             raise ValueError(f"budget {b} leaves no usable labels")
-    rows, order = _draws(df, id_, {"budget": budgets, "replication": replications}, seed, "allocation")
-    ranked = hash_rank(rows, order, id_, ["budget", "replication"], k=F.col("budget"))
+    ranked = hash_draws(df, id_, {"budget": budgets, "replication": replications}, lambda d: d["budget"], seed, "allocation")
     v = F.lit(None).cast("long")
     for b, size in sizes.items():
         v = F.when(F.col("budget") == b, F.lit(size).cast("long")).otherwise(v)
@@ -178,8 +176,7 @@ def pool_stop_scale_split(
     df: DataFrame, id_: str, replications: Sequence[int], pool: int, stop: int, scale: int, seed: int
 ) -> DataFrame:
     """Three consecutive bands of one order: train pool, stop and scale validation."""
-    rows, order = _draws(df, id_, {"replication": replications}, seed, "bands")
-    ranked = hash_rank(rows, order, id_, ["replication"], k=pool + stop + scale)
+    ranked = hash_draws(df, id_, {"replication": replications}, lambda d: pool + stop + scale, seed, "bands")
     rank = F.col("rank")
     role = F.when(rank <= pool, "train_pool").when(rank <= pool + stop, "stop").otherwise("scale")
     return ranked.withColumn("role", role).withColumn("train_rank", F.when(rank <= pool, rank))

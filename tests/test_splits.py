@@ -160,3 +160,28 @@ def test_cell_grid_numbers_cells(spark):
     assert X.pending_cells(plan, done, ["task_index"]).count() == 4
     with pytest.raises(FileNotFoundError):
         X.require_complete(plan, done, ["task_index"])
+
+
+def test_draws_equal_full_ranks(spark, monkeypatch):
+    from fewlabel.operators import ranking as K
+
+    df = spark.range(3000).select("id", (F.col("id") * 2).alias("v"))
+    size = lambda d: {10: 10, 900: 900, 5000: 5000}[d["budget"]]
+
+    def drawn():
+        got = K.hash_draws(df, "id", {"budget": [10, 900, 5000], "replication": [0, 1]}, size, 9, "x")
+        return {(r["budget"], r["replication"], r["id"], r["v"], r["rank"]) for r in got.collect()}
+
+    import hashlib
+
+    want = set()
+    for b in (10, 900, 5000):
+        for rep in (0, 1):
+            order = sorted(range(3000), key=lambda i: (hashlib.md5(f"9:{b}:{rep}:x:{i}".encode()).hexdigest(), i))
+            want |= {(b, rep, i, 2 * i, k + 1) for k, i in enumerate(order[:b])}
+    assert drawn() == want
+    # cutoffs that are too low are repaired
+    monkeypatch.setattr(K, "SLACK", 1e-9)
+    full = K.cutoff
+    monkeypatch.setattr(K, "cutoff", lambda k, n, slack: "0000000000000001" if slack < 1e-8 else full(k, n, slack))
+    assert drawn() == want
