@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as V
+from ..session import materialise
 
 HEAVY_SHARE = 10_000
 
@@ -111,32 +113,39 @@ def with_bigrams(one: Column) -> Column:
     return F.concat(one, F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def vocabulary(rows: DataFrame, terms_: str, max_features: int, min_df: int | Column) -> DataFrame:
-    """Most frequent terms with enough documents, numbered, with smooth IDF.
+def term_counts(rows: DataFrame, id_: str, words: str) -> DataFrame:
+    """(id, term, n): how often each word and neighbouring pair occurs in each document, stored.
 
-    Term and document counts come from one aggregate: a term counts for the
-    document where it first occurs in the row's own distinct list.
+    The words of a document (not its exploded terms, which are many times as
+    many rows) are dealt out by id, so that counting needs no further shuffle;
+    vocabulary and weights both read the stored table.
     """
-    n_docs = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tf = rows.select(F.explode(terms_).alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    df = rows.select(F.explode(F.array_distinct(terms_)).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-    counts = tf.unionByName(df).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    top = counts.where(F.col("df") >= min_df).orderBy(F.col("tf").desc(), "term").limit(max_features)
-    from pyspark.sql import Window as W
+    dealt = rows.select(id_, F.col(words).alias("__w")).repartition(id_)
+    # a plain explode would have the pairs built once more, by the filter the planner derives from it
+    each = dealt.select(id_, F.explode_outer(with_bigrams(F.col("__w"))).alias("term")).where("term is not null")
+    return materialise(each.groupBy(id_, "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
 
+
+def vocabulary(counts: DataFrame, n_docs: int, max_features: int, min_df: int | Column) -> DataFrame:
+    """Most frequent terms with enough documents, numbered, with smooth IDF; from :func:`term_counts`.
+
+    Each task keeps its first ``max_features`` terms, and only those are merged.
+    """
+    seen = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    top = seen.where(F.col("df") >= min_df).orderBy(F.col("tf").desc(), "term").limit(max_features)
     place = F.row_number().over(W.orderBy("term")) - 1  # max_features rows at most
     idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1
     return top.select("term", "tf", "df", place.cast("int").alias("idx"), idf.alias("idf"))
 
 
-def tfidf(rows: DataFrame, id_: str, terms_: str, vocab: DataFrame) -> DataFrame:
-    """L2-normalised weights as index and value arrays per row.
+def tfidf(counts: DataFrame, id_: str, vocab: DataFrame) -> DataFrame:
+    """L2-normalised weights as index and value arrays per document; one without a known term has no row.
 
     The vocabulary (bounded by max_features) is broadcast, so out-of-vocabulary
     terms are dropped before anything is shuffled.
     """
-    hits = rows.select(id_, F.explode(terms_).alias("term")).join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
-    weights = hits.groupBy(id_, "idx").agg((F.count(F.lit(1)) * F.max("idf")).alias("w"))
+    hits = counts.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
+    weights = hits.select(id_, "idx", (F.col("n") * F.col("idf")).alias("w"))
     cells = weights.groupBy(id_).agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("c")
     )

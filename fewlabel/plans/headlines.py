@@ -14,7 +14,7 @@ from ..operators.moments import collect_moments, gram_vectors
 from ..operators.population import context_concat
 from ..operators.scaling import feature_kinds, scale_no_center
 from ..operators.surrogate import ridge_path
-from ..operators.terms import corpus_zipf, lexicon_sentiment, terms, tfidf, vocabulary, with_bigrams
+from ..operators.terms import corpus_zipf, lexicon_sentiment, term_counts, terms, tfidf, vocabulary
 from ..session import materialise
 from .preference import headline_text
 
@@ -128,11 +128,12 @@ def tfidf_surrogate(
     The moment matrix limits the vocabulary; fitting and judging read the rows
     once, in partial matrices per task.
     """
-    docs = materialise(rows.select(id_, y, "split", with_bigrams(terms(F.col(text))).alias("terms")), "terms")
-    train = docs.where(F.col("split") == "h_scale")
-    vocab = materialise(vocabulary(train, "terms", max_features, min_df), "vocabulary")
+    docs = materialise(rows.select(id_, y, "split", terms(F.col(text)).alias("terms")), "terms")
+    train = docs.where(F.col("split") == "h_scale").select(id_)
+    counts = term_counts(docs, id_, "terms")
+    vocab = materialise(vocabulary(counts.join(train, id_, "left_semi"), train.count(), max_features, min_df), "vocabulary")
     p = vocab.count()
-    weights = docs.select(id_, y, "split").join(tfidf(docs, id_, "terms", vocab), id_, "left")
+    weights = docs.select(id_, y, "split").join(tfidf(counts, id_, vocab), id_, "left")
     empty = F.array().cast("array<int>"), F.array().cast("array<double>")
     weights = weights.withColumns({"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1])})
     stored = materialise(weights, "tfidf")

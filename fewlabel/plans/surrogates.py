@@ -22,7 +22,7 @@ from ..operators.moments import Moments, collect_moments, gram_vectors, moments_
 from ..operators.sparse_ridge import Sparse, capped_square_weights, fit_exact_rows, fit_rows
 from ..operators.splits import pool_stop_scale_split
 from ..operators.surrogate import ifvar_of, mse_of, ridge_path
-from ..operators.terms import tfidf, vocabulary
+from ..operators.terms import term_counts, tfidf, vocabulary
 from ..session import materialise
 
 FIT_SCHEMA = "replication long, s long, fit string, feature string, alpha double, place int, intercept double, coef array<double>"
@@ -66,8 +66,9 @@ def text_cells(
     n = texts.count()
     if n < pool + stop + scale:
         raise ValueError(f"{n} labelled texts for {pool} + {stop} + {scale} in the pool, stop and scale sets")
-    vocab = materialise(vocabulary(texts, terms, max_features, min_df), "vocabulary")
-    sparse = tfidf(texts, id_, terms, vocab)
+    counts = term_counts(texts, id_, terms)
+    vocab = materialise(vocabulary(counts, n, max_features, min_df), "vocabulary")
+    sparse = tfidf(counts, id_, vocab)
     mean = texts.agg(F.avg(y).alias("m")).scalar()
     empty = F.array().cast("array<int>"), F.array().cast("array<double>")
     rows = texts.select(id_, F.col(y).alias("y"), weights.alias("a"), mean.alias("base")).join(sparse, id_, "left")

@@ -81,12 +81,6 @@ def lexicon_sentiment(spark, sf):
     return shaped(TM.lexicon_sentiment(rows, "doc_id", "w", label_lexicon(rows, load(spark, sf, "labels"))), ["doc_id"], _MOOD)
 
 
-def term_rows(spark, sf):
-    """Stored words; the pairs are formed while reading, which halves the stored table."""
-    words = materialise(load(spark, sf, "documents").select("doc_id", TM.terms(F.col("text")).alias("w")), "terms")
-    return words.select("doc_id", TM.with_bigrams(F.col("w")).alias("terms"))
-
-
 _TERMS = f"""one AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), {S.lit(TM.TERM)}) AS t FROM documents),
 term AS (SELECT doc_id, unnest(t) AS term FROM one UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM one WHERE len(t) > 1),
 tc AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY ALL),
@@ -96,9 +90,9 @@ w AS (SELECT doc_id, term, tf * idf AS w FROM tc JOIN voc USING (term))"""
 
 @query("tfidf", sql_shaped("SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w", ["doc_id", "term"], ["weight"], with_=f"WITH {_TERMS}"))
 def tfidf(spark, sf):
-    rows = term_rows(spark, sf)
-    vocab = materialise(TM.vocabulary(rows, "terms", 500, 3), "vocabulary")
-    cells = TM.tfidf(rows, "doc_id", "terms", vocab).select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("c")).select("doc_id", "c.idx", "c.val")
+    counts = TM.term_counts(load(spark, sf, "documents").select("doc_id", TM.terms(F.col("text")).alias("w")), "doc_id", "w")
+    vocab = materialise(TM.vocabulary(counts, load(spark, sf, "documents").count(), 500, 3), "vocabulary")
+    cells = TM.tfidf(counts, "doc_id", vocab).select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("c")).select("doc_id", "c.idx", "c.val")
     out = cells.join(F.broadcast(vocab.select("idx", "term")), "idx").withColumn("weight", F.col("val"))
     return shaped(out, ["doc_id", "term"], ["weight"])
 
@@ -297,7 +291,7 @@ def labelled_term_rows(spark, sf):
             "y",
             F.log1p(F.size("w")).alias("log_word_count"),
             (T.reading_ease(F.size("w"), T.sentence_runs(F.col("text")), T.syllable_total(F.col("w"))) / 100).alias("reading_ease"),
-            TM.with_bigrams(TM.terms(F.col("text"))).alias("terms"),
+            TM.terms(F.col("text")).alias("terms"),
         ),
         "texts",
     )

@@ -49,10 +49,11 @@ def test_text_surrogate_beats_the_constant(spark):
         (i, ("bright plum finish long " if i % 2 else "thin sour short dull ") + ("oak" if i % 3 else "citrus"), 1.0 if i % 2 else -1.0)
         for i in range(120)
     ]
-    docs = spark.createDataFrame(rows, "id long, text string, y double").withColumn("terms", TM.with_bigrams(TM.terms(F.col("text"))))
-    vocab = TM.vocabulary(docs, "terms", 50, 3)
+    docs = spark.createDataFrame(rows, "id long, text string, y double").withColumn("terms", TM.terms(F.col("text")))
+    counts = TM.term_counts(docs, "id", "terms")
+    vocab = TM.vocabulary(counts, 120, 50, 3)
     assert vocab.orderBy("idx").first()["idx"] == 0
-    sparse = TM.tfidf(docs, "id", "terms", vocab)
+    sparse = TM.tfidf(counts, "id", vocab)
     norms = sparse.select(F.aggregate("val", F.lit(0.0), lambda s, v: s + v * v).alias("n")).collect()
     assert all(abs(r["n"] - 1) < 1e-9 for r in norms)
     base = docs.select("id", "y", F.lit(0.0).alias("base"), F.array(F.lit(1.0) + F.col("id") % 3).alias("a")).join(sparse, "id")
