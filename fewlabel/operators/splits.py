@@ -339,17 +339,22 @@ def ids_hash(df: DataFrame, id_: str, keys: Sequence[str] = ()) -> DataFrame:
 def distinct_texts(df: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
     """Distinct non-empty normalised texts, with the first place they occur at.
 
-    The place is (column number, row id); copies are merged by a grouped
-    minimum, so a frequent text is reduced before the shuffle.
+    The place is (column number, row id); ids are unique. Narrow rows (hash of
+    the text, place) are reduced to the least place per hash, before and after
+    their shuffle; then the texts of those places are fetched by a join on the
+    place, so that no text is a shuffle key and only one copy of each is kept.
     """
     from ..functions.text import normalize_text
 
     pieces = F.array(
         *[F.struct(F.lit(i).alias("pos"), normalize_text(F.col(c)).alias("text")) for i, c in enumerate(columns)]
     )
-    rows = df.select(id_, F.explode(pieces).alias("p")).select(id_, "p.pos", "p.text").where(F.col("text") != "")
-    first = rows.groupBy("text").agg(F.min(F.struct("pos", id_)).alias("f"))
-    return first.select("text", F.col("f.pos").alias("first_column"), F.col(f"f.{id_}").alias("first_id"))
+    # a plain explode would have the texts normalised once more, by the filter the planner derives from it
+    rows = df.select(id_, F.explode_outer(pieces).alias("p")).select(id_, "p.pos", "p.text").where(F.col("text") != "")
+    place = F.struct("pos", id_)
+    first = rows.groupBy(F.md5("text").alias("h")).agg(F.min(place).alias("f")).select(F.col("f.pos").alias("first_column"), F.col(f"f.{id_}").alias("first_id"))
+    found = rows.join(first, (rows["pos"] == first["first_column"]) & (rows[id_] == first["first_id"]))
+    return found.select("text", "first_column", "first_id")
 
 
 # --- grids ------------------------------------------------------------------------

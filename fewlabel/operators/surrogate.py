@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from ..sources.tables import child_names
 from .moments import Moments
 
 
@@ -84,25 +88,50 @@ def score_linear(vector: str, coef: Sequence[float]) -> Column:
     )
 
 
+HELD_HASHES = 500_000  # of texts that a task remembers to have scored
+
+
 def batch_score(
-    df: DataFrame, text: str, fn: Callable[[pd.Series], pd.Series], out: str = "score", kind: str = "double", batch: int | None = None
+    df: DataFrame,
+    text: str,
+    fn: Callable[[pd.Series], pd.Series],
+    out: str = "score",
+    kind: str = "double",
+    batch: int | None = None,
+    store: str | None = None,
 ) -> DataFrame:
-    """Apply a model to the distinct texts in Arrow batches and join the results back.
-
-    ``fn`` gets a series of texts and returns as many values. Each distinct text
-    is scored once. ``batch`` cuts an Arrow batch into smaller model batches.
+    """Apply a model to texts in Arrow batches; results are kept in a store by the hash of the text.
+
+    ``fn`` gets a series of texts and returns as many values, the same for the
+    same text. Texts the store knows are left out by an anti join on the hash;
+    the others are scored where they are read, each once per task, and their
+    results (hash and value, no text) are appended to the folder ``store``,
+    which later calls go on with. Without ``store`` a new folder is used.
+    ``batch`` cuts an Arrow batch into smaller model batches. A null text gets
+    no value.
     """
+    spark = df.sparkSession
+    folder = store or os.path.join(shared_dir(spark), f"scores-{uuid.uuid4().hex}")
+    schema = f"__h string, {out} {kind}"
     keyed = df.withColumn("__h", F.sha2(F.col(text), 256))
-    distinct = keyed.where(F.col(text).isNotNull()).groupBy("__h").agg(F.first(text).alias("__t"))
+    fresh = keyed.where(F.col(text).isNotNull()).select("__h", F.col(text).alias("__t"))
+    if child_names(spark, folder):
+        fresh = fresh.join(spark.read.schema(schema).parquet(folder).select("__h"), "__h", "left_anti")
 
     def run(batches: Iterable[pd.DataFrame]):
+        seen: set[str] = set()
         for pdf in batches:
-            step = batch or max(len(pdf), 1)
-            for i in range(0, len(pdf), step):
-                part = pdf.iloc[i : i + step]
+            if len(seen) > HELD_HASHES:
+                seen.clear()
+            new = pdf[~pdf["__h"].isin(seen)].drop_duplicates("__h")
+            seen.update(new["__h"])
+            step = batch or max(len(new), 1)
+            for i in range(0, len(new), step):
+                part = new.iloc[i : i + step]
                 yield pd.DataFrame({"__h": part["__h"].to_numpy(), out: list(fn(part["__t"]))})
 
-    scores = distinct.mapInPandas(run, f"__h string, {out} {kind}")
+    fresh.mapInPandas(run, schema).write.mode("append").parquet(folder)
+    scores = spark.read.schema(schema).parquet(folder).groupBy("__h").agg(F.max(out).alias(out))
     return keyed.join(scores, "__h", "left").drop("__h")
 
 

@@ -179,6 +179,24 @@ def test_batch_score_scores_each_text_once(spark):
     assert out == {1: 2.0, 2: 1.0, 3: 2.0, 4: None}
 
 
+def test_batch_score_goes_on_from_its_store(spark, tmp_path):
+    store = str(tmp_path / "scores")
+    df = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "id int, t string").coalesce(1)
+    scored = U.batch_score(df, "t", lambda s: s.str.len() * 1.0, store=store)
+    assert spark.read.parquet(store).count() == 2
+    assert "SortAggregate" not in scored._jdf.queryExecution().toString()
+
+    def fails(texts):
+        assert not len(texts), "a known text was scored again"
+        return texts
+
+    again = {r["id"]: r["score"] for r in U.batch_score(df, "t", fails, store=store).collect()}
+    assert again == {1: 2.0, 2: 1.0, 3: 2.0, 4: None}
+    more = df.unionByName(spark.createDataFrame([(5, "ccc")], "id int, t string"))
+    assert U.batch_score(more, "t", lambda s: s.str.len() * 10.0, store=store).where("id in (1, 5)").agg(F.sum("score")).first()[0] == 32.0
+    assert spark.read.parquet(store).count() == 3
+
+
 def test_recalibration_repairs_a_bad_prediction(spark):
     from fewlabel.plans.crossfit import reppi_mean
 
