@@ -165,3 +165,28 @@ def test_bootstrap_draws_are_whole_and_repeatable(spark):
     assert sizes == {4}
     again = A.bootstrap(df, ["method"], "replication", range(4), 30, seed=5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_percentiles_of_many_values_rank_few(spark, monkeypatch):
+    from fewlabel.operators import quantiles as Q
+
+    n, probs = 1_000_000, [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    df = spark.range(n).select(
+        F.exp((F.col("id") * 7919 % n) / 50_000.0).alias("x"),
+        F.when(F.col("id") % 3 > 0, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("y"),
+    )
+    bounds, ranked = [], Q._ranked
+
+    def watched(wide, ranges, at):
+        inside = [wide.where(F.col(f"__{k[0]}").between(*map(F.lit, r))).select(f"__{k[0]}").distinct().count() for k, r in ranges.items()]
+        bounds.extend(inside)
+        return ranked(wide, ranges, at)
+
+    monkeypatch.setattr(Q, "_ranked", watched)
+    got = Q.exact_quantiles_of(df, {"x": F.col("x"), "y": F.col("y")}, probs, most=50)
+    ids = np.arange(n)
+    assert np.allclose(got["x"], np.quantile(np.exp(ids * 7919 % n / 50_000.0), probs), rtol=1e-12)
+    assert got["y"] == np.quantile(np.where(ids % 3 > 0, 5.0, ids), probs).tolist()
+    assert len(bounds) >= 6 and max(bounds) <= 50
+    few = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
+    assert Q.exact_quantiles_of(few, {"x": F.col("x"), "z": F.lit(None)}, [0.0, 0.5, 1.0], most=1) == {"x": [1.0, 2.0, 3.0], "z": [None] * 3}
