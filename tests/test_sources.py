@@ -84,3 +84,33 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     for r in want.collect():
         assert a[r["g"]]["mu_hat_ppi"] == pytest.approx(r["mu_hat_ppi"])
         assert a[r["g"]]["ppi_var_est_raw"] == pytest.approx(r["ppi_var_est_raw"])
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    schema = "g string, y double, f double, k boolean"
+
+    def arrive(name, groups):
+        rows = [(g, float(i), 1.5, i % 2 == 0) for g in groups for i in range(6)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        out = jobs.stream_ppi_mean(stream, ["g"], "y", "f", F.col("k"), ~F.col("k"), F.col("k"), folder=f"{tmp_path}/kept")
+        return sorted(tuple(r) for r in out.collect())
+
+    arrive("a", ["p", "q"])
+    assert len(run()) == 2
+    arrive("b", ["q", "r"])
+    second = run()
+    assert [r[0] for r in second] == ["p", "q", "r"]
+    # the second batch holds the changed groups only
+    assert sorted(r["g"] for r in spark.read.parquet(f"{tmp_path}/kept/changes-1").collect()) == ["q", "r"]
+    # as if the job had failed after the batch was written and before it was committed
+    for commit in (tmp_path / "kept" / "checkpoint" / "commits").glob("*1*"):
+        commit.unlink()
+    assert run() == second
+    # and as if it had failed before the merge
+    (tmp_path / "kept" / "merged-1").rename(tmp_path / "lost")
+    assert run() == second
+    with pytest.raises(RuntimeError, match="no input"):
+        jobs.merge_changes(spark, str(tmp_path / "none"), "x", ["g"])
