@@ -20,7 +20,6 @@ from pyspark.sql import types as ST
 
 NATIVE_COLUMNS = 12  # wider designs use partial matrices per task
 MAX_COLUMNS = 4096  # a d x d matrix must stay small on the driver
-HELD_NUMBERS = 8_000_000  # of the partial matrices in one task
 
 
 def gram(df: DataFrame, xs: Sequence[str], y: str | None, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -41,10 +40,10 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
     Instead of ``z`` the rows may carry a sparse design: columns idx, val and y,
     standing for (1, x_0 .. x_{dim-3}, y).
 
-    Each task adds up one matrix per group with a matrix product per Arrow
-    batch, hands matrices on when it holds ``HELD_NUMBERS`` numbers, and emits
-    them row by row; the numbers are then added natively per (group, row,
-    column).
+    Each task sorts its rows by group, adds up one matrix at a time with a
+    matrix product per Arrow batch and group, and emits it row by row when its
+    group ends: whatever the number of groups, it holds one matrix and emits one
+    per group. The numbers are then added natively per (group, row, column).
     """
     if dim > MAX_COLUMNS:
         raise ValueError(f"{dim} columns exceed the {MAX_COLUMNS} a moment matrix may have")
@@ -67,8 +66,7 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
         return z
 
     def partial(batches: Iterable[pd.DataFrame]):
-        sums: dict[tuple, np.ndarray] = {}
-        counts: dict[tuple, int] = {}
+        held, total, count = None, None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -77,20 +75,20 @@ def gram_vectors(df: DataFrame, dim: int, by: Sequence[str] = ()) -> DataFrame:
                 key = key if isinstance(key, tuple) else (key,)
                 z = design(part)
                 m = z.T @ (z * part["w"].to_numpy(dtype=float)[:, None])
-                sums[key] = sums[key] + m if key in sums else m
-                counts[key] = counts.get(key, 0) + len(part)
-            if len(sums) * dim * dim > HELD_NUMBERS:
-                yield from emit(sums, counts)
-        yield from emit(sums, counts)
-
-    def emit(sums: dict, counts: dict):
-        for key, m in sums.items():
-            out = {k: [v] * dim for k, v in zip(keys, key)}
-            yield pd.DataFrame({**out, "i": range(dim), "n": counts[key], "v": [m[i, i:] for i in range(dim)]})
-        sums.clear()
-        counts.clear()
-
-    parts = df.select(*keys, *(["idx", "val", "y"] if sparse else ["z"]), "w").mapInPandas(partial, part_schema)
+                same = held is not None and all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip(key, held))
+                if held is not None and not same:
+                    yield emit(held, total, count)
+                held, total, count = key, total + m if same else m, count + len(part) if same else len(part)
+        if held is not None:
+            yield emit(held, total, count)
+
+    def emit(key: tuple, m: np.ndarray, count: int) -> pd.DataFrame:
+        out = {k: [None if pd.isna(v) else v] * dim for k, v in zip(keys, key)}
+        return pd.DataFrame({**out, "i": range(dim), "n": count, "v": [m[i, i:] for i in range(dim)]})
+
+    rows = df.select(*keys, *(["idx", "val", "y"] if sparse else ["z"]), "w")
+    # rows of a group come together, so a task holds one matrix and hands on one per group
+    parts = (rows.sortWithinPartitions(*keys) if keys else rows).mapInPandas(partial, part_schema)
     # one number per (group, row, column) and task, added natively: partial sums before
     # and after the shuffle, so no task ever stacks the parts of all others
     cells = parts.select(*keys, "i", F.when(F.col("i") == 0, F.col("n")).alias("n"), F.posexplode("v").alias("j", "x"))

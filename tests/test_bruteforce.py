@@ -119,3 +119,21 @@ def test_surrogate_scaling(spark, monkeypatch):
         row = got[(30, name)]
         assert row["selected_alpha"] == alphas[k] and row["ifvar"] == pytest.approx(scored[k][1])
         assert row["ifvar_ratio_to_s0"] == pytest.approx(scored[k][1] / base)
+
+
+def test_wide_moments_emit_one_matrix_per_task_and_group(spark):
+    from fewlabel.operators.moments import gram_vectors, unpack
+
+    rng = np.random.default_rng(12)
+    dim, n = 300, 120
+    z = rng.normal(size=(n, dim))
+    rows = [(i % 61 if i % 7 else None, "a" if i % 2 else "b", z[i].tolist(), float(1 + i % 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, h string, z array<double>, w double").coalesce(2)
+    seen = []
+    got = gram_vectors(df, dim, ["g", "h"])
+    for r in got.collect():
+        pick = [i for i, x in enumerate(rows) if x[0] == r["g"] and x[1] == r["h"]]
+        want = (z[pick] * np.array([rows[i][3] for i in pick])[:, None]).T @ z[pick]
+        assert r["n"] == len(pick) and np.allclose(unpack(r["zz"], dim), want)
+        seen.append((r["g"], r["h"]))
+    assert len(seen) == len(set(seen)) == len({(x[0], x[1]) for x in rows})
