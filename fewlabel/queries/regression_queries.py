@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import influence as I
 from ..operators import moments as G
 from ..plans import populations as POP
+from ..plans import preference as PREF
 from ..plans import screening as PL
 from ..session import materialise
 from . import sqlparts as S
@@ -57,6 +58,22 @@ WA = "((vb * ({a} - ma) - cab * ({b} - mb)) / det)"
 WB = "((va * ({b} - mb) - cab * ({a} - ma)) / det)"
 
 
+def influence_rows(base: str, y: str, target: str, controls=()) -> str:
+    """SELECT with weight ``a``, residual ``r`` and coefficient ``beta`` of a fit on any number of columns.
+
+    Columns are made orthogonal one after another, the target last; a column
+    without spread has weight and coefficient zero.
+    """
+    share = "coalesce(sum(e{i} * {x}) OVER () / nullif(sum(e{i} * e{i}) OVER (), 0), 0) * e{i}"
+    rows, xs = base, [*controls, target]
+    for j, x in enumerate([*xs, y]):
+        rest = "".join(" - " + share.format(i=i, x=x) for i in range(j))
+        rows = f"(SELECT *, {x} - avg({x}) OVER (){rest} AS {'r' if j == len(xs) else f'e{j}'} FROM {rows})"
+    last = f"e{len(xs) - 1}"
+    rows = f"(SELECT *, coalesce({last} / nullif(avg({last} * {last}) OVER (), 0), 0) AS a FROM {rows})"
+    return f"SELECT *, avg(a * {y}) OVER () AS beta FROM {rows}"
+
+
 @query(
     "gram",
     sql_shaped(
@@ -271,24 +288,22 @@ def corr_matrix(spark, sf):
     return shaped(I.corr_matrix(lines(spark, sf), _CC), ["feature_a", "feature_b"], ["corr"])
 
 
-_PT = ("delta_log_length_scale", "delta_log_sentences_scale")
+_PT = tuple(f"{d}_scale" for d in PREF.DELTAS)
 _CS = ["beta", "intercept", "residual_var", "ifvar", "se_full_population", "ci95_half_width_full_population", "if_weight_p50", "if_weight_p90", "if_weight_p95", "if_weight_p99", "if_weight_max", "nonzero_share", "raw_mean", "raw_sd", "effect_of_doubling"]
 
 
 def _coef_sql() -> str:
     parts = []
-    for t, o in (_PT, _PT[::-1]):
-        tail = (
-            f"avg((abs(t) > 1e-12)::INT) AS nonzero_share, avg(t) AS raw_mean, stddev_pop(t) AS raw_sd, "
-            + (f"any_value(beta) * ln(2.0) AS effect_of_doubling" if t.startswith("delta_log_length") else "NULL::DOUBLE AS effect_of_doubling")
-        )
-        q = ", ".join(f"quantile_cont(abs(a), {p}) AS {c}" for p, c in zip((0.5, 0.9, 0.95, 0.99, 1.0), _QS))
-        head = f"any_value(beta) AS beta, any_value(b0) AS intercept, var_pop(r) AS residual_var, var_pop(a * r) AS ifvar, sqrt(var_pop(a * r) / count(*)) AS se_full_population, 1.96 * sqrt(var_pop(a * r) / count(*)) AS ci95_half_width_full_population, {q}, {tail}"
-        one = f"SELECT {t} AS t, ({t} - mx) / vx AS a, y - my - cxy / vx * ({t} - mx) AS r, cxy / vx AS beta, my - cxy / vx * mx AS b0 FROM pref_frame, {fit1('pref_frame', 'y', t)}"
-        two = f"SELECT {t} AS t, {WA.format(a=t, b=o)} AS a, y - b0 - ba * {t} - bb * {o} AS r, ba AS beta, b0 FROM pref_frame, {fit2('pref_frame', 'y', t, o)}"
-        parts.append(f"SELECT 'marginal' AS model, '{t}' AS target, {head} FROM ({one})")
-        parts.append(f"SELECT 'controlled' AS model, '{t}' AS target, {head} FROM ({two})")
-    return f"WITH {S.PREF_DELTA}\n" + " UNION ALL ".join(parts)
+    q = ", ".join(f"quantile_cont(abs(a), {p}) AS {c}" for p, c in zip((0.5, 0.9, 0.95, 0.99, 1.0), _QS))
+    for t in _PT:
+        doubling = "any_value(beta) * ln(2.0)" if t.startswith("delta_log_length") else "NULL::DOUBLE"
+        head = f"""any_value(beta) AS beta, avg(y) AS mean_y, var_pop(r) AS residual_var, var_pop(a * r) AS ifvar, sqrt(var_pop(a * r) / count(*)) AS se_full_population, 1.96 * sqrt(var_pop(a * r) / count(*)) AS ci95_half_width_full_population,
+        {q}, avg((abs({t}) > 1e-12)::INT) AS nonzero_share, avg({t}) AS raw_mean, stddev_pop({t}) AS raw_sd, {doubling} AS effect_of_doubling"""
+        for model, controls in (("marginal", ()), ("controlled", [o for o in _PT if o != t])):
+            group = f"'{model}'" if model == "controlled" else f"'{t}'"
+            parts.append(f"SELECT '{model}' AS model, '{t}' AS target, {group} AS fit, {head} FROM ({influence_rows('pref_frame', 'y', t, controls)})")
+    # the intercept is the mean outcome less the coefficients at the means
+    return f"WITH {S.PREF_DELTA}\nSELECT *, mean_y - sum(beta * raw_mean) OVER (PARTITION BY fit) AS intercept FROM (" + " UNION ALL ".join(parts) + ")"
 
 
 @query("coef_summary", sql_shaped(_coef_sql(), ["model", "target"], _CS))
@@ -389,32 +404,37 @@ def spec_enumerate(spark, sf):
 _SS = ["nonzero_share", "beta", "abs_beta", "ifvar", "if_weight_p50", "if_weight_p90", "if_weight_p95", "if_weight_p99", "if_weight_max", "direct_ci_halfwidth_B500"]
 
 
+_SPEC_X = ("x1", "x2", "x3")
+_FINAL = ("x1", "x3")  # the final controls
+
+
 def _spec_summary_sql() -> str:
-    parts = []
-    tgt = "(SELECT * FROM spec_lines WHERE split = 'target')"
+    listed = {}
+    for t in _SPEC_X:
+        others = [c for c in _SPEC_X if c != t]
+        listed |= {(t, ()): "target_only", **{(t, (c,)): "target_plus_1" for c in others}, (t, tuple(others)): "target_plus_2"}
+    wanted = [(t, cs, f) for (t, cs), f in listed.items()] + [(t, tuple(c for c in _FINAL if c != t), "final_controls") for t in _SPEC_X]
     q = ", ".join(f"quantile_cont(abs(a), {p}) AS {c}" for p, c in zip((0.5, 0.9, 0.95, 0.99, 1.0), _QS))
-    for t, c in (("x1", None), ("x2", None), ("x1", "x2"), ("x2", "x1")):
-        if c is None:
-            rows = f"SELECT ({t} - mx) / vx AS a, y - my - cxy / vx * ({t} - mx) AS r, cxy / vx AS beta FROM {tgt}, {fit1(tgt, 'y', t)}"
-        else:
-            rows = f"SELECT {WA.format(a=t, b=c)} AS a, y - b0 - ba * {t} - bb * {c} AS r, ba AS beta FROM {tgt}, {fit2(tgt, 'y', t, c)}"
-        sid = t if c is None else f"{t}__{c}"
-        parts.append(
-            f"SELECT '{sid}' AS spec_id, '{'target_only' if c is None else 'target_plus_1'}' AS family, (SELECT avg(({t} <> 0)::INT) FROM spec_lines) AS nonzero_share, any_value(beta) AS beta, abs(any_value(beta)) AS abs_beta, var_samp(a * r) AS ifvar, {q}, 1.96 * sqrt(var_samp(a * r) / 500) AS direct_ci_halfwidth_B500 FROM ({rows})"
-        )
+    tgt = "(SELECT * FROM spec_lines WHERE split = 'target')"
+    parts = [
+        f"SELECT '{'__'.join([t, *cs])}' AS spec_id, '{family}' AS family, {1 + len(cs)} AS dimension, (SELECT avg(({t} <> 0)::INT) FROM spec_lines) AS nonzero_share, any_value(beta) AS beta, abs(any_value(beta)) AS abs_beta, var_samp(a * r) AS ifvar, {q}, 1.96 * sqrt(var_samp(a * r) / 500) AS direct_ci_halfwidth_B500 FROM ({influence_rows(tgt, 'y', t, cs)})"
+        for t, cs, family in wanted
+    ]
     return f"WITH {LINES}, spec_lines AS (SELECT *, CASE WHEN flag = 'N' THEN 'h_scale' ELSE 'target' END AS split FROM lines)\n" + " UNION ALL ".join(parts)
 
 
 def spec_frame(spark, sf):
     return lines(spark, sf).select(
-        "y", *[F.col(c).alias(f"delta_{c}") for c in ("x1", "x2")], F.when(F.col("flag") == "N", "h_scale").otherwise("target").alias("split")
+        "y", *[F.col(c).alias(f"delta_{c}") for c in _SPEC_X], F.when(F.col("flag") == "N", "h_scale").otherwise("target").alias("split")
     )
 
 
-@query("spec_summary", sql_shaped(_spec_summary_sql(), ["spec_id", "family"], _SS))
+@query("spec_summary", sql_shaped(_spec_summary_sql(), ["spec_id", "family", "dimension"], _SS))
 def spec_summary(spark, sf):
-    specs = PL.spec_enumerate(spark, ["delta_x1", "delta_x2"], ["delta_x1", "delta_x2"], [], [1, 2])
-    return shaped(PL.spec_summary(spec_frame(spark, sf), specs, "y", [500]), ["spec_id", "family"], _SS)
+    """Every feature as a target: alone, with one and with two of the others, and with the final controls."""
+    names = [f"delta_{c}" for c in _SPEC_X]
+    specs = PL.spec_enumerate(spark, names, names, [f"delta_{c}" for c in _FINAL], [1, 2, 3])
+    return shaped(PL.spec_summary(spec_frame(spark, sf), specs, "y", [500]), ["spec_id", "family", "dimension"], _SS)
 
 
 @query(

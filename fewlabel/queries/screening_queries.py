@@ -200,7 +200,8 @@ def screen_score(spark, sf):
     "rank_targets",
     sql_shaped(
         f"""SELECT target, stable, priority, abs_beta, row_number() OVER (ORDER BY stable DESC, abs_beta DESC, if_weight_p99, priority, target) AS rank FROM (
-        SELECT target, abs(beta) AS abs_beta, if_weight_p99, nonzero_share >= 0.1 AND if_weight_p99 <= 10 AS stable, CASE WHEN target = 'delta_log_length_scale' THEN 2 ELSE 9 END AS priority FROM ({_coef_sql()}) WHERE model = 'controlled')""",
+        SELECT target, abs(beta) AS abs_beta, if_weight_p99, nonzero_share >= 0.1 AND if_weight_p99 <= 10 AND min(raw_sd) OVER () > 0 AS stable,
+          CASE target WHEN 'delta_format_scale' THEN 0 WHEN 'delta_prompt_coverage_scale' THEN 1 WHEN 'delta_log_length_scale' THEN 2 ELSE 9 END AS priority FROM ({_coef_sql()}) WHERE model = 'controlled')""",
         ["target", "stable", "priority", "rank"],
         ["abs_beta"],
     ),
