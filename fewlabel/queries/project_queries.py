@@ -1,4 +1,4 @@
-"""Sources, projections, scaling and feature metadata."""
+"""Sources, projections and scaling."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metadata as M
 from ..operators import population as P
 from ..operators import scaling as C
 from ..operators.splits import sized_fraction
@@ -311,60 +310,6 @@ def feature_kind(spark, sf):
     return C.feature_kinds(rows, ["sign", "two", "l_discount", "l_quantity"])
 
 
-def _part_names(spark, sf):
-    """Feature names spelled from the part and event tables, one row per name."""
-    brands = load(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    kinds = load(spark, sf, "events").select(F.col("event_type").alias("word")).distinct()
-    stems = ["log_word_count", "vader_neg", "context_jaccard", "common_zipf", "question", "quote_count", "plain"]
-    stems_col = F.explode(F.array(*[F.lit(s) for s in stems]))
-    return brands.union(kinds).distinct().select("word", stems_col.alias("stem")).select(
-        F.concat_ws("_", "stem", "word").alias("feature"), F.col("stem").alias("name")
-    )
-
-
-_NAMES_SQL = """names AS (SELECT stem || '_' || word AS feature, stem AS name FROM
-  (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part UNION SELECT DISTINCT event_type FROM events),
-  (VALUES ('log_word_count'), ('vader_neg'), ('context_jaccard'), ('common_zipf'), ('question'), ('quote_count'), ('plain')) AS s(stem))"""
-_FAM = {"log_word_count": "readability_length", "vader_neg": "sentiment", "context_jaccard": "context_alignment",
-        "common_zipf": "specificity_commonness", "question": "curiosity_style", "quote_count": "format_emphasis"}
-_FAM_SQL = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FAM.items()) + " ELSE 'other' END"
-
-
-@query(
-    "feature_family",
-    f"""WITH {_NAMES_SQL} SELECT feature, {_FAM_SQL} AS family,
-    CASE WHEN name IN ('vader_neg', 'context_jaccard') THEN 0 WHEN name IN ('common_zipf', 'question') THEN 1
-         WHEN name = 'log_word_count' THEN 2 ELSE 3 END::INT AS priority,
-    CASE name WHEN 'context_jaccard' THEN 'Overlap of the distinct content words of headline and context.'
-      WHEN 'common_zipf' THEN 'Mean corpus frequency of the words; high means plain language.'
-      WHEN 'vader_neg' THEN 'Lexicon sentiment of the headline.'
-      WHEN 'log_word_count' THEN 'Length or readability of the headline.'
-      WHEN 'quote_count' THEN 'Punctuation or emphasis in the headline.'
-      ELSE 'Headline cue computed from the text.' END AS note
-    FROM names""",
-)
-def feature_family(spark, sf):
-    meta = _part_names(spark, sf).withColumn("family", M.feature_family(F.col("name")))
-    return meta.select(
-        "feature",
-        "family",
-        M.feature_priority(F.col("name"), F.col("family")).alias("priority"),
-        M.feature_note(F.col("name"), F.col("family")).alias("note"),
-    )
-
-
-@query(
-    "family_kind_counts",
-    f"WITH {_NAMES_SQL} SELECT {_FAM_SQL} AS family, CASE WHEN name = 'question' THEN 'ternary' ELSE 'continuous' END AS kind, count(*)::BIGINT AS n_features FROM names GROUP BY ALL",
-)
-def family_kind_counts(spark, sf):
-    meta = _part_names(spark, sf).select(
-        M.feature_family(F.col("name")).alias("family"),
-        F.when(F.col("name") == "question", "ternary").otherwise("continuous").alias("kind"),
-    )
-    return M.family_kind_counts(meta)
-
-
 @query(
     "usable_features",
     """SELECT * FROM (SELECT 0 AS position, 'feat_size' AS feature, round(stddev_pop(p_size), 6) AS sd FROM part

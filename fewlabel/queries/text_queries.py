@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as V
+from ..operators import metadata as M
+from ..plans import headlines as H
+from ..plans import populations as POP
 from . import sqlparts as S
 from .data import load
 from .registry import query, rounded, sql_shaped
@@ -323,3 +329,111 @@ _doc_query(
     ["curiosity_style"],
     _HW,
 )
+
+
+# --- what is known of the features of headline pairs and of single texts ------------------
+
+# name: (family, priority, note), written out for the SQL check
+_KNOWN = {
+    "word_count": ("readability_length", 2, "Length or readability of the headline."),
+    "log_char_count": ("readability_length", 2, "Length or readability of the headline."),
+    "negation_share": ("sentiment", 1, "Headline cue computed from the text."),
+    "has_negation": ("sentiment", 1, "Headline cue computed from the text."),
+    "context_coverage": ("context_alignment", 0, "Share of headline content words that the context repeats."),
+    "content_word_share": ("specificity_commonness", 1, "Headline cue computed from the text."),
+    "question": ("curiosity_style", 1, "Headline cue computed from the text."),
+    "has_demonstrative": ("curiosity_style", 1, "Headline cue computed from the text."),
+    "question_mark_count": ("curiosity_style", 1, "Headline cue computed from the text."),
+    "colon_dash_count": ("format_emphasis", 3, "Punctuation or emphasis in the headline."),
+    "quote_count": ("format_emphasis", 3, "Punctuation or emphasis in the headline."),
+    "punctuation_intensity": ("format_emphasis", 3, "Punctuation or emphasis in the headline."),
+    "share": ("other", 3, "Headline cue computed from the text."),
+}
+
+
+def _known_features(spark, sf):
+    """Metadata of the arm features of the document pairs; the kinds come from the values of all pairs."""
+    long = H.arms(POP.document_pairs(load(spark, sf, "documents")))
+    words = long.select("arm_id", "pair_id", "arm", "text", T.headline_words(F.col("text")).alias("w"), T.headline_words(F.col("context")).alias("c"))
+    words = words.withColumns({"k": T.without(F.col("w"), V.STOP_WORDS), "c": T.without(F.col("c"), V.STOP_WORDS)})
+    w, k, text = F.col("w"), F.col("k"), F.col("text")
+    features = {
+        "word_count": F.size(w).cast("double"),
+        "log_char_count": F.log1p(F.length(text)),
+        "negation_share": T.vocab_share(w, V.NEGATIONS),
+        "has_negation": T.has_vocab(w, V.NEGATIONS),
+        "context_coverage": T.coverage(k, F.col("c")),
+        "content_word_share": T.safe_div(F.size(k), F.size(w)),
+        "question": T.question(text, w),
+        "has_demonstrative": T.has_vocab(w, V.DEMONSTRATIVES),
+        **{n: T.occurrences(text, _MARKS[n]).cast("double") for n in ("question_mark_count", "colon_dash_count", "quote_count")},
+        "punctuation_intensity": T.punctuation_intensity(text),
+        "share": (F.size(w) > 0).cast("double"),
+    }
+    return H.pair_deltas(words.select("arm_id", "pair_id", "arm", *[c.alias(n) for n, c in features.items()]))[1]
+
+
+def _known_sql() -> str:
+    def marks(n):
+        return "(" + " + ".join(f"length(text) - length(replace(text, {S.lit(x)}, ''))" for x in _MARKS[n]) + ")"
+
+    values = {
+        "word_count": "len(w)",
+        "log_char_count": "ln(1 + length(text))",
+        "negation_share": _sql_share(V.NEGATIONS),
+        "has_negation": _sql_any(V.NEGATIONS),
+        "context_coverage": S.div(_SET.format(a="k", b="c"), "len(list_distinct(k))"),
+        "content_word_share": S.div("len(k)", "len(w)"),
+        "question": _QUESTION,
+        "has_demonstrative": _sql_any(V.DEMONSTRATIVES),
+        **{n: marks(n) for n in ("question_mark_count", "colon_dash_count", "quote_count")},
+        "punctuation_intensity": f"{S.n_found('text', '[!?;:-]')}::DOUBLE / greatest(length(text), 1)",
+        "share": "(len(w) > 0)::INT",
+    }
+    arms = f"""{S.PAIRS}, arms AS (SELECT *, list_filter(w, lambda t: t NOT IN {S.in_list(V.STOP_WORDS)}) AS k, list_filter(cw, lambda t: t NOT IN {S.in_list(V.STOP_WORDS)}) AS c FROM (
+      SELECT pair_id, sign, text, {S.headline_words('text')} AS w, {S.headline_words('context')} AS cw FROM (
+        SELECT pair_id, 1 AS sign, coalesce(headline_a, '') AS text, coalesce(excerpt_a, '') || ' ' || coalesce(lede_a, '') AS context FROM pairs
+        UNION ALL SELECT pair_id, -1, coalesce(headline_b, ''), coalesce(excerpt_b, '') || ' ' || coalesce(lede_b, '') FROM pairs)))"""
+    sums = ", ".join(f"sum(sign * ({v})::DOUBLE) AS {n}" for n, v in values.items())
+    rows = ", ".join(f"('{n}', '{f}', {p}, {S.lit(note)})" for n, (f, p, note) in _KNOWN.items())
+    return f"""{arms}, deltas AS (SELECT pair_id, {sums} FROM arms GROUP BY pair_id),
+long AS (UNPIVOT deltas ON COLUMNS(* EXCLUDE pair_id) INTO NAME name VALUE x),
+kinds AS (SELECT name, CASE WHEN bool_and(round(x, 8) IN (-1, 0, 1)) AND count(DISTINCT x) <= 5 THEN 'ternary' WHEN count(DISTINCT x) <= 2 THEN 'binary' ELSE 'continuous' END AS kind FROM long GROUP BY name),
+known AS (SELECT 'delta_' || name AS feature, family, kind, priority::INT AS priority, note FROM kinds JOIN (VALUES {rows}) AS v(name, family, priority, note) USING (name))"""
+
+
+@query("feature_family", f"WITH {_known_sql()} SELECT feature, family, kind, priority, note FROM known")
+def feature_family(spark, sf):
+    return _known_features(spark, sf).select("feature", "family", "kind", "priority", "note")
+
+
+@query("family_kind_counts", f"WITH {_known_sql()} SELECT family, kind, count(*)::BIGINT AS n_features FROM known GROUP BY ALL")
+def family_kind_counts(spark, sf):
+    return M.family_kind_counts(_known_features(spark, sf))
+
+
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query(
+    "text_feature_family",
+    f"""SELECT feature, any_value(family) AS family, any_value(priority)::INT AS priority, count(*)::BIGINT AS n_texts FROM (
+      SELECT 'feat_country_' || {_SLUG.format('lang')} AS feature, 'country' AS family, 1 AS priority FROM documents WHERE lang IS NOT NULL
+      UNION ALL SELECT 'feat_variety_' || {_SLUG.format('source')}, 'variety', 1 FROM documents WHERE source IS NOT NULL
+      UNION ALL SELECT 'feat_log_word_count', 'text_length', 2 FROM documents WHERE text IS NOT NULL
+      UNION ALL SELECT 'feat_log_price', 'price', 0 FROM part WHERE p_retailprice > 0
+      UNION ALL SELECT 'feat_other_' || {_SLUG.format('p_brand')}, 'other', 3 FROM part WHERE p_brand IS NOT NULL) GROUP BY feature""",
+)
+def text_feature_family(spark, sf):
+    """Family and priority of single-text features; their names come from the values of the tables."""
+    docs, part = load(spark, sf, "documents"), load(spark, sf, "part")
+    named = [
+        docs.where(F.col("lang").isNotNull()).select(F.concat(F.lit("feat_country_"), T.slug(F.col("lang"))).alias("feature")),
+        docs.where(F.col("source").isNotNull()).select(F.concat(F.lit("feat_variety_"), T.slug(F.col("source")))),
+        docs.where(F.col("text").isNotNull()).select(F.lit("feat_log_word_count")),
+        part.where(F.col("p_retailprice") > 0).select(F.lit("feat_log_price")),
+        part.where(F.col("p_brand").isNotNull()).select(F.concat(F.lit("feat_other_"), T.slug(F.col("p_brand")))),
+    ]
+    counts = reduce(DataFrame.union, named).groupBy("feature").agg(F.count(F.lit(1)).alias("n_texts"))
+    family, priority = M.text_feature_family(F.col("feature"))
+    return counts.select("feature", family.alias("family"), priority.alias("priority"), "n_texts")
