@@ -1,11 +1,13 @@
 """Secrets in text: fixed patterns, and a linear-chain conditional random field that adds to them.
 
-The field tags the words of a text as outside (0), begin (1) or inside (2) of a
-secret. The score of a tag is a sum of hashed features of the word (shape,
-length, classes of characters, alphabetic parts), of its neighbours, and of the
-file (length, lines, digits). It is trained to the tags that the patterns give
-on a bounded sample of windows, half around matches and half from texts
-without, and decoded by Viterbi over whole texts.
+The field tags the tokens of a text as outside (0), begin (1) or inside (2) of a
+secret. A token is a stretch of a word up to and with the punctuation that ends
+it, so that names and values in addresses, one-line configuration and minified
+JSON are tokens of their own. The score of a tag is a sum of hashed features of
+the whole token (shape, length, classes of characters, alphabetic parts), of its
+neighbours, and of the file (length, lines, digits). It is trained to the tags
+that the patterns give on a bounded sample of windows, half around matches and
+half from texts without, and decoded by Viterbi over whole texts.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENS = re.compile(r"""[^\x20\x09-\x0D"'`=:;,&?(){}\[\]<>|/\\]+["'`=:;,&?(){}\[\]<>|/\\]*|["'`=:;,&?(){}\[\]<>|/\\]+""")
+TAIL = "\"'`=:;,&?(){}[]<>|/\\.!"  # what may end a token without being of its core
 RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
 
-# Parameters: hashed features, windows of either sort, words on either side of a match, steps and rates of the fit, forms kept in memory.
+# Parameters: hashed features, windows of either sort, tokens on either side of a match, steps and rates of the fit, forms kept in memory.
 BITS = 18
 WINDOWS = 1500
 SIDE = 8
@@ -67,37 +70,41 @@ def _hash(*keys: str) -> list[int]:
     return [crc32(k.encode()) & mask for k in keys]
 
 
-def describe(word: str) -> tuple[tuple, list[str]]:
-    """The form of a word (shape, length, runs, digits, variety, ends) and its alphabetic parts."""
-    runs = RUNS.findall(word[:512])
-    shape = "".join(["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in [r[0] for r in runs[:6]]])
-    n = min(len(word), 512)
-    digits = 8 * sum([len(r) for r in runs if r[0].isdigit()]) // n
-    ends = "" if word[0].isalnum() and word[-1].isalnum() else word[0] + word[-1]
-    form = shape, min(len(word).bit_length(), 8), min(len(runs), 12), digits, 8 * len(set(word[:512])) // n, ends
-    return form, [r.lower()[:16] for r in runs if r[0].isalpha()][:4]
+def describe(token: str) -> tuple[tuple, list[str]]:
+    """The form of a whole token (shape, length, runs, digits, variety, end) and its alphabetic parts.
 
-
-def form_keys(form: tuple) -> tuple[list[int], list[int], list[int]]:
-    """Hashed features of a form for the word's own tag, for the next word's and for the previous word's."""
-    shape, size, runs, digits, varied, ends = form
-    own = _hash("bias", f"s{shape}", f"l{size}", f"r{runs}", f"d{digits}:{size}", f"v{varied}:{size}", f"e{ends}")
-    return own, _hash(f"<s{shape}", f"<l{size}"), _hash(f">s{shape}", f">l{size}")
-
-
-def part_keys(part: str) -> list[int]:
-    """Hashed features of an alphabetic part for the same three tags."""
-    return _hash(f"p{part}", f"<p{part}", f">p{part}")
-
-
-def word_keys(word: str) -> tuple[list[int], list[int], list[int]]:
-    """All hashed features of a word, for the same three tags."""
-    form, parts = describe(word)
-    keys = form_keys(form)
-    for part in parts:
-        for own, key in zip(keys, part_keys(part)):
-            own.append(key)
-    return keys
+    A token of up to six runs has them as its shape, a longer one the classes it
+    mixes; parts are all runs of three or more letters in either case.
+    """
+    core = token.rstrip(TAIL)
+    end, n = token[len(core) : len(core) + 1], len(core)
+    size = min(n.bit_length(), 12)
+    if core.isalpha():
+        # plain words come in few forms
+        shape = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[:1].isupper() and core[1:].islower() else ""
+        if shape:
+            return (shape, size, 1, 0, -1, end), [core.lower()]
+    runs = RUNS.findall(core)
+    kinds = ["a" if r[0].islower() else "A" if r[0].isupper() else "0" if r[0].isdigit() else r[0] for r in runs]
+    shape = "".join(kinds) if len(kinds) <= 6 else "mix" + "".join(sorted(set(kinds) & {"a", "A", "0"}))
+    digits = 8 * sum([len(r) for r in runs if r[0].isdigit()]) // max(n, 1)
+    varied = 8 * len(set(core)) // max(n, 1)
+    return (shape, size, min(len(runs), 12), digits, varied, end), [p for p in {r.lower() for r in runs if r[0].isalpha()} if len(p) > 2]
+
+
+def form_keys(form: tuple) -> tuple[list[int], list[int]]:
+    """Hashed features of a form for the token's own tag, and those among them that its neighbours see."""
+    shape, size, runs, digits, varied, end = form
+    seen = _hash(f"s{shape}", f"l{size}", f"e{end}")
+    return [*seen, *_hash("bias", f"r{runs}", f"d{digits}:{size}", f"v{varied}:{size}")], seen
+
+
+def token_keys(token: str) -> tuple[list[int], list[int]]:
+    """All hashed features of a token, for its own tag and for its neighbours' tags."""
+    form, parts = describe(token)
+    own, seen = form_keys(form)
+    more = _hash(*["p" + p for p in parts])
+    return own + more, seen + more
 
 
 def file_keys(text: str) -> list[int]:
@@ -107,7 +114,7 @@ def file_keys(text: str) -> list[int]:
 
 
 def tags_of(places: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> np.ndarray:
-    """Tags of words (given by start and end) under the spans; overlapping spans are one."""
+    """Tags of tokens (given by start and end) under the spans; overlapping spans are one."""
     tags = np.zeros(len(places), np.int8)
     at, until = 0, -1
     for start, _, end in spans:
@@ -125,32 +132,52 @@ def tags_of(places: list[tuple[int, int]], spans: list[tuple[int, int, int]]) ->
 
 @dataclass
 class Field:
-    """Weights by (hashed feature, tag) and by (tag, next tag)."""
+    """Weights by hashed feature (a row: three tags of the token itself, of the next and of the previous one) and by (tag, next tag)."""
 
     weights: np.ndarray
     transition: np.ndarray
 
     def __post_init__(self):
-        self.live = self.weights.any(axis=1)
-        self.forms: dict[tuple, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores of the tags of the word itself, of the next word and of the previous one."""
-        form, parts = describe(word)
-        row = self.forms.get(form)
-        if row is None:
-            if len(self.forms) >= FORMS:
+        self.live = self.weights.any(axis=1).tobytes()
+        self.forms: dict[tuple, int] = {}
+        self.sums = np.empty((1024, 3 * TAGS), np.float32)
+
+    def form(self, form: tuple) -> int:
+        """The place of a form's row of sums, made once."""
+        place = self.forms.get(form)
+        if place is None:
+            own, seen = form_keys(form)
+            place = self.forms[form] = len(self.forms)
+            if place == len(self.sums):
+                self.sums = np.concatenate([self.sums, np.empty_like(self.sums)])
+            self.sums[place, :TAGS] = self.weights[own, :TAGS].sum(axis=0)
+            self.sums[place, TAGS:] = self.weights[seen, TAGS:].sum(axis=0)
+        return place
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """Scores of the tags of each token itself, of the next token and of the previous one."""
+        out = np.empty((len(tokens), 3 * TAGS), np.float32)
+        mask, live = (1 << BITS) - 1, self.live
+        for start in range(0, len(tokens), FORMS // 2):
+            part = tokens[start : start + FORMS // 2]
+            if len(self.forms) + len(part) > FORMS:
                 self.forms.clear()
-            row = self.forms[form] = np.concatenate([self.weights[keys].sum(axis=0) for keys in form_keys(form)])
-        known = [(k, key) for part in parts for k, key in enumerate(part_keys(part)) if self.live[key]]
-        if known:
-            row = row.copy()
-            for k, key in known:
-                row[k * TAGS : (k + 1) * TAGS] += self.weights[key]
-        return row
+            places, at, keys = [], [], []
+            for i, token in enumerate(part):
+                form, alphabetic = describe(token)
+                places.append(self.form(form))
+                for p in alphabetic:
+                    key = crc32(("p" + p).encode()) & mask
+                    if live[key]:
+                        at.append(start + i)
+                        keys.append(key)
+            out[start : start + len(part)] = self.sums[places]
+            if at:
+                np.add.at(out, at, self.weights[keys])
+        return out
 
     def slack(self) -> float:
-        """By how much transitions can favour another tag over outside at one word, at most."""
+        """By how much transitions can favour another tag over outside at one token, at most."""
         t = np.zeros((TAGS + 1, TAGS + 1))  # the last row and column: the ends of the text
         t[:TAGS, :TAGS] = self.transition
         return max(t[p, s] + t[s, q] - t[p, 0] - t[0, q] for s in (1, 2) for p in range(TAGS + 1) for q in range(TAGS + 1))
@@ -179,11 +206,11 @@ def windows(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 text = text or ""
                 spans = base_spans(text)
-                words = WORDS.findall(text)
+                words = TOKENS.findall(text)
                 if not words:
                     continue
                 if spans:
-                    tags = tags_of([m.span() for m in WORDS.finditer(text)], spans)
+                    tags = tags_of([m.span() for m in TOKENS.finditer(text)], spans)
                     begins = np.flatnonzero(tags == 1).tolist()
                 else:
                     tags, begins = np.zeros(len(words), np.int8), [crc32(str(doc_id).encode()) % len(words)]
@@ -203,27 +230,31 @@ def train(docs: DataFrame, most: int = WINDOWS) -> Field:
     found = materialise(windows(docs), "secret-windows")  # read twice below
     order = F.xxhash64(F.lit("windows"), "doc_id", "words")
     parts = [found.where(w).orderBy(order, "doc_id").limit(most) for w in ("match", "not match")]
-    rows = parts[0].unionByName(parts[1]).collect()  # at most 2 * most windows of 2 * SIDE + 1 words
+    rows = parts[0].unionByName(parts[1]).collect()  # at most 2 * most windows of 2 * SIDE + 1 tokens
     return fit([r["words"] for r in rows], [r["tags"] for r in rows], [r["file"] for r in rows])
 
 
 def fit(words: list[list[str]], tags: list[list[int]], files: list[list[int]], steps: int = STEPS) -> Field:
     """Penalised maximum likelihood by Adagrad; the sums over all tag sequences by forward and backward passes."""
-    weights, transition = np.zeros((1 << BITS, TAGS)), np.zeros((TAGS, TAGS))
+    table, transition = np.zeros((1 << BITS, 3 * TAGS), np.float32), np.zeros((TAGS, TAGS))
     if not words:
-        weights[_hash("bias"), 0] = 10.0
-        return Field(weights.astype(np.float32), transition)
+        table[_hash("bias"), 0] = 10.0
+        return Field(table, transition)
     n, size = len(words), max(map(len, words))
     owner, index, real = [], [], np.zeros((n, size), bool)
     gold = np.zeros((n, size), np.int64)
     for i, (row, tag, file) in enumerate(zip(words, tags, files)):
-        keys = [word_keys(w) for w in row]
+        keys = [token_keys(w) for w in row]
         real[i, : len(row)], gold[i, : len(row)] = True, tag
         for t in range(len(row)):
-            mine = [*keys[t][0], *(keys[t - 1][1] if t else []), *(keys[t + 1][2] if t + 1 < len(row) else []), *file]
+            mine = [3 * k for k in [*keys[t][0], *file]]
+            mine += [3 * k + 1 for k in keys[t - 1][1]] if t else []
+            mine += [3 * k + 2 for k in keys[t + 1][1]] if t + 1 < len(row) else []
             owner += [i * size + t] * len(mine)
             index += mine
-    owner, index = np.array(owner), np.array(index)
+    # only features that occur have weights in the fit
+    owner, (used, index) = np.array(owner), np.unique(index, return_inverse=True)
+    weights = np.zeros((len(used), TAGS))
     onehot = np.eye(TAGS)[gold] * real[..., None]
     both = real[:, 1:] & real[:, :-1]
     pairs = np.einsum("ntp,ntq->pq", onehot[:, :-1] * both[..., None], onehot[:, 1:])
@@ -242,37 +273,55 @@ def fit(words: list[list[str]], tags: list[list[int]], files: list[list[int]], s
         chance = np.exp(ahead + behind - total[:, None, None]) * real[..., None]
         joint = np.exp(ahead[:, :-1, :, None] + trans + (scores[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None])
         slope = ((chance - onehot) / n).reshape(-1, TAGS)
-        g = np.stack([np.bincount(index, slope[owner, k], 1 << BITS) for k in range(TAGS)], axis=1) + RIDGE * weights / n
+        g = np.stack([np.bincount(index, slope[owner, k], len(used)) for k in range(TAGS)], axis=1) + RIDGE * weights / n
         g_t = (np.einsum("ntpq->pq", joint * both[..., None, None]) - pairs) / n
         squares += g * g
         t_squares += g_t * g_t
         weights -= RATE * g / np.sqrt(squares)
         transition = np.clip(transition - RATE * g_t / np.sqrt(t_squares), -MOST_TRANSITION, MOST_TRANSITION)
-    return Field(weights.astype(np.float32), transition)
+    table.reshape(-1, TAGS)[used] = weights
+    return Field(table, transition)
+
+
+def field_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of tagged tokens without the tokens that base spans touch."""
+    places = [m.span() for m in TOKENS.finditer(text)]
+    free = tags_of(places, base) == 0
+    out, last = [], -2
+    for i in np.flatnonzero((tags > 0) & free).tolist():
+        start, end = places[i]
+        end = max(start + len(text[start:end].rstrip(TAIL)), start) or end
+        if tags[i] == 2 and i == last + 1 and out:
+            out[-1] = (out[-1][0], 3, max(end, out[-1][2]))
+        else:
+            out.append((start, 3, end))
+        last = i
+    return [x for x in out if any(c.isalnum() for c in text[x[0] : x[2]])]
 
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, base_sha256 and spans of every text; null texts are empty.
 
-    Spans of the field that touch no base span are added with kind "crf"; they
-    reach from the first to the last character of their words. Ties between tags
-    stay outside. Repeated rows and null ids are scanned like others, an empty
+    Spans of the field are added with kind "crf". They reach from the start of
+    their first token to the end of the core of the last; tokens that a base span
+    touches are cut out of them, and what is left on either side stays if it has
+    a letter or digit. Ties between tags stay outside. Repeated rows and null ids are scanned like others, an empty
     table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.transition))
 
     def make() -> Callable:
         own = Field(*shared.value)
-        cache, slack = RowCache(lambda words: [own.word(w) for w in words], 3 * TAGS), own.slack()
+        cache, slack = RowCache(own.rows, 3 * TAGS), own.slack()
 
         def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-            words = WORDS.findall(text)
+            words = TOKENS.findall(text)
             if not words:
                 return []
             cache.start()
             ids = cache.ids(words)
             rows = cache.rows[ids]
-            scores = rows[:, :TAGS] + own.weights[file_keys(text)].sum(axis=0)
+            scores = rows[:, :TAGS] + own.weights[file_keys(text), :TAGS].sum(axis=0)
             scores[1:] += rows[:-1, TAGS : 2 * TAGS]
             scores[:-1] += rows[1:, 2 * TAGS :]
             # where outside leads by more than all transitions can undo, the best path is outside
@@ -280,7 +329,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
             if not unsure.any():
                 return []
             tags = np.zeros(len(words), np.int8)
-            # sure words cut the text into parts that don't depend on one another; each is decoded with its sure neighbours
+            # sure tokens cut the text into parts that don't depend on one another; each is decoded with its sure neighbours
             edges = np.flatnonzero(np.diff(np.concatenate(([False], unsure, [False])).astype(np.int8)))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
                 left, right = max(a - 1, 0), min(b + 1, len(words))
@@ -292,14 +341,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                 tags[a:b] = viterbi(part, own.transition)[a - left : a - left + b - a]
             if not tags.any():
                 return []
-            places = [m.span() for m in WORDS.finditer(text)]
-            out = []
-            for i in np.flatnonzero(tags).tolist():
-                if tags[i] == 2 and i and tags[i - 1] and out:
-                    out[-1] = (out[-1][0], 3, places[i][1])
-                else:
-                    out.append((places[i][0], 3, places[i][1]))
-            return [x for x in out if not any(s < x[2] and x[0] < e for s, _, e in base)]
+            return field_spans(text, tags, base)
 
         def compute(texts: list) -> list[list]:
             out = []

@@ -96,6 +96,42 @@ def test_field_learns_and_adds(spark):
     assert got == {1: "crf:21:46", 2: ""}
 
 
+def test_field_sees_into_long_words(spark):
+    """The secret's own stretch of a long unspaced word is found, wherever it stands, also beside a base span."""
+    key = "Zq9{}Lm2Xx7{}Tt5"
+    rows = [(i, f"some words here then password={key.format(i, i * 7)} and more words follow now") for i in range(200)]
+    rows += [(1000 + i, f"see https://www.example.org/view/{i}?id={i}&page=overview&sort=name for more words") for i in range(200)]
+    rows += [(2000 + i, '{"id":%d,"list":[%d,2,3],"name":"plain words","after":%d}' % (i, i, i)) for i in range(200)]
+    rows += [(3000 + i, '{"id":%d,"password":"%s","name":"plain words"}' % (i, key.format(i * 3, i))) for i in range(200)]
+    field = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    secret = key.format(5, 9)
+    long = {
+        1: f"https://host.example.com/path/a/b?api=1&passphrase={secret}&page=overview",
+        2: "https://host.example.com/path/a/b?api=1&passphrase=overview&page=overview",
+        3: '{"a":1,"list":[1,2,3],"name":"plain words","passphrase":"' + secret + '","after":2}',
+        4: f"some words here then password={secret}&passphrase={secret} and more",
+    }
+    new = spark.createDataFrame(list(long.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in secret_scan.scan(new, field).collect()}
+
+    def shown(i):
+        return [long[i][int(a) : int(b)] for kind, a, b in (x.split(":") for x in got[i]) if kind == "crf"]
+
+    assert shown(2) == []
+    assert len(shown(1)) == 1 and shown(1)[0].endswith(secret) and "page" not in shown(1)[0] and "host" not in shown(1)[0]
+    assert len(shown(3)) == 1 and shown(3)[0].endswith(secret) and "plain" not in shown(3)[0]
+    assert got[4][0] == f"assign:21:{30 + len(secret)}" and shown(4) in ([f"passphrase={secret}"], [secret])
+
+
+def test_forms_see_whole_tokens():
+    plain, late = "ab" * 600, "ab" * 600 + "9X7"
+    assert secret_scan.describe(plain) != secret_scan.describe(late)
+    assert "".join(secret_scan.TOKENS.findall("a=b&c=/d//e \t\"x\"")) == "a=b&c=/d//e\"x\""
+    tags = np.array([1, 2, 2, 2, 0])
+    text = "token=abcdef&sig=Zq9xT7 end"
+    assert secret_scan.field_spans(text, tags, secret_scan.base_spans(text)) == [(13, 3, 23)]
+
+
 def test_ratings_on_held_out_labels(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     half = labels.where("doc_id % 2 = 0")
