@@ -437,6 +437,48 @@ def spec_summary(spark, sf):
     return shaped(PL.spec_summary(spec_frame(spark, sf), specs, "y", [500]), ["spec_id", "family", "dimension"], _SS)
 
 
+# feature: (family, raw column of lineitem, divisor, the controls left to it)
+_DIAG = {
+    "x1": ("size", "l_quantity", 10, ("x2", "x3")),  # x4 is too close to it
+    "x2": ("rate", "l_discount", 0.1, ("x1", "x4")),  # x3 is of its family
+    "x3": ("rate", "l_tax", 0.1, ("x1", "x4")),
+    "x4": ("place", "l_quantity + l_linenumber", 10, ("x2", "x3")),
+}
+_DC = ["beta_controlled", "abs_beta_controlled", "nonzero_share", "sd_raw", "target_vif", "max_abs_corr_with_controls", "ols_ifvar", "zero_surrogate_ifvar", "tfidf_ifvar", "tfidf_ifvar_ratio_vs_zero",
+       "tfidf_ifvar_ratio_vs_ols", *[f"{c}_abs" for c in _QS], "if_ess_share", "direct_ci_halfwidth_B500"]
+
+
+def _diag_sql() -> str:
+    rows = ", ".join(f"({raw})::DOUBLE AS {f}_raw, ({raw})::DOUBLE / {by} AS {f}" for f, (_, raw, by, _) in _DIAG.items())
+    q = ", ".join(f"quantile_cont(abs(a), {p}) AS {c}_abs" for p, c in zip((0.5, 0.9, 0.95, 0.99, 1.0), _QS))
+    parts = []
+    for f, (family, _, _, controls) in _DIAG.items():
+        near = ", ".join(f"abs(corr({f}, {c}))" for c in controls)
+        parts.append(
+            f"""SELECT '{f}' AS feature, '{family}' AS family, '{','.join(controls)}' AS controls, count(DISTINCT {f}_raw)::BIGINT AS unique_values, any_value(beta) AS beta_controlled, abs(any_value(beta)) AS abs_beta_controlled,
+            avg((abs({f}_raw) > 1e-12)::INT) AS nonzero_share, stddev_pop({f}_raw) AS sd_raw, var_pop({f}) / avg(e{len(controls)} * e{len(controls)}) AS target_vif, greatest({near}) AS max_abs_corr_with_controls,
+            var_pop(a * r) AS ols_ifvar, var_pop(a * y) AS zero_surrogate_ifvar, var_pop(a * (y - pred)) AS tfidf_ifvar, var_pop(a * (y - pred)) / var_pop(a * y) AS tfidf_ifvar_ratio_vs_zero, var_pop(a * (y - pred)) / var_pop(a * r) AS tfidf_ifvar_ratio_vs_ols,
+            {q}, pow(sum(a * a), 2) / sum(pow(a, 4)) / count(*) AS if_ess_share, 1.96 * sqrt(var_pop(a * r) / 500) AS direct_ci_halfwidth_B500 FROM ({influence_rows('diag', 'y', f, controls)})"""
+        )
+    return f"WITH diag AS (SELECT l_extendedprice / 10000 AS y, l_quantity / 14 AS pred, {rows} FROM lineitem WHERE l_returnflag <> 'N')\n" + " UNION ALL ".join(parts)
+
+
+@query("candidate_diagnostics_lines", sql_shaped(_diag_sql(), ["feature", "family", "controls", "unique_values"], _DC))
+def candidate_diagnostics_lines(spark, sf):
+    """The job of ``candidate_diagnostics`` over the line table, with controls left out by family and by closeness."""
+    raw = {f"{f}_raw": F.expr(r).cast("double") for f, (_, r, _, _) in _DIAG.items()}
+    df = load(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") / 10000).alias("y"),
+        (F.col("l_quantity") / 14).alias("pred"),
+        F.when(F.col("l_returnflag") == "N", "h_scale").otherwise("target").alias("split"),
+        *[c.alias(n) for n, c in raw.items()],
+    )
+    df = df.withColumns({f: F.col(f"{f}_raw") / by for f, (_, _, by, _) in _DIAG.items()})
+    meta = spark.createDataFrame([(f, family, "continuous", 1) for f, (family, *_) in _DIAG.items()], "feature string, family string, kind string, priority int")
+    out = PL.candidate_diagnostics(df, meta, list(_DIAG), "y", "pred", [500])
+    return shaped(out, ["feature", "family", "controls", "unique_values"], _DC)
+
+
 @query(
     "if_square_weights",
     sql_shaped(

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "reading_ease curiosity_style structured_format prompt_coverage clean_population zscore arm_delta response_delta "
     "feature_kind eb_logit_ctr_diff population_split frac_split group_split distinct_texts gram ols if_weight coef_summary "
+    "ci_by_budget rank_targets spec_summary candidate_diagnostics_lines feature_family family_kind_counts text_feature_family "
     "corpus_zipf tfidf budget_best budget_threshold ppi_mean select_checkpoint stream_ppi_mean kfold_assign"
 ).split()
 

@@ -81,3 +81,18 @@ def test_frequent_and_rare_words_are_averaged_alike(spark):
     assert got[5]["common_zipf"] == pytest.approx((30 * z["the"] + z["plum"] + z["w"]) / 32)
     assert got[5]["content_common_zipf"] == pytest.approx((z["plum"] + z["w"]) / 2)
     assert got[999]["common_zipf"] == 0.0 and got[999]["rare_word_share"] == 0.0
+
+
+def test_targets_of_every_priority_and_a_flat_one(spark):
+    """Equal coefficients and weights are ordered by priority; a target without spread is not stable and comes last."""
+    from fewlabel.operators.screening import rank_targets
+
+    names = ("delta_log_sentences", "delta_log_length", "delta_prompt_coverage", "delta_format")
+    rows = [("controlled", f"{n}_scale", 0.5, 0.4, 3.0, 20.0) for n in names]
+    rows += [("controlled", "delta_other_scale", 0.0, 0.0, 0.0, None), ("marginal", "delta_format_scale", 0.5, 9.0, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "model string, target string, nonzero_share double, abs_beta double, if_weight_p99 double, hessian_condition double")
+    got = [(r["target"], r["priority"], r["stable"]) for r in rank_targets(df).orderBy("rank").collect()]
+    assert got == [
+        ("delta_format_scale", 0, True), ("delta_prompt_coverage_scale", 1, True), ("delta_log_length_scale", 2, True),
+        ("delta_log_sentences_scale", 9, True), ("delta_other_scale", 9, False),
+    ]
