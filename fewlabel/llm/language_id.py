@@ -24,12 +24,13 @@ from .common import arrow_map, pick
 from .texts import RowCache, add_columns
 
 # Parameters: hashed n-grams, cost of a change, least share of a script in a
-# language, evidence a word can give at most, words counted before a flush, words
-# hashed at once, an odd factor of the hash, words decoded at once.
+# language, evidence a word can give at most, cost of a language that a word's
+# script rules out (more than two changes), words counted before a flush, words hashed at once, an odd factor of the hash, words decoded at once.
 BITS = 16
 SWITCH = 8.0
 SCRIPT_SHARE = 0.001
 WORD_LIMIT = 6.0
+RULED_OUT = 40.0
 FLUSH = 200_000
 CHUNK = 20_000
 MIX = np.uint32(0x9E3779B1)
@@ -116,18 +117,23 @@ class Languages:
     def words(self, words: list[str]) -> np.ndarray:
         """A row per word: score for each language (differences to the best, limited), then the number of letters.
 
-        Words without letters give no evidence.
+        Languages that the word's script rules out cost ``RULED_OUT``, beyond the
+        limit of evidence, so that a single word of another script is a span of
+        its own. Words without letters give no evidence.
         """
         letters = [letters_of(w) for w in words]
         score = np.zeros((len(words), len(self.names)))
         for place, begin in grams(letters, self.bits):
             sums = np.concatenate([np.zeros((1, score.shape[1])), np.cumsum(self.table[place], axis=0, dtype=np.float64)])
             score += sums[begin[1:]] - sums[begin[:-1]]
+        out = np.zeros(score.shape, bool)
         for i, w in enumerate(letters):
             if (allowed := self.narrowed[script_of(w)] if w else None) is not None:
-                score[i, ~allowed] = -np.inf
+                out[i] = ~allowed
+        score[out] = -np.inf
         if len(words):
             score = np.maximum(score - score.max(axis=1, keepdims=True), -WORD_LIMIT)
+        score[out] = -RULED_OUT
         sizes = np.fromiter(map(len, letters), np.float64, len(letters))
         score[sizes == 0] = 0
         return np.column_stack([score, sizes])

@@ -40,6 +40,9 @@ def test_scripts_narrow_the_candidates():
     model = language_id.Languages(names, np.zeros((1 << 4, 2), np.float32), candidates, 4)
     latin, cyrillic, digits = model.words(["word", "слово", "123"])
     assert latin[:2].argmax() == 0 and cyrillic[:2].argmax() == 1 and digits.tolist() == [0, 0, 0]
+    # one long word of another script amid words of the first is a span of its own
+    rows = model.words(["plain", "words", "словослово", "and", "more"])
+    assert language_id.decode(rows[:, :2].astype(np.float32), np.array([5])).tolist() == [0, 0, 1, 0, 0]
 
 
 def test_language_of_held_out_texts_and_spans(spark, docs):
