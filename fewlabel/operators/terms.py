@@ -1,17 +1,21 @@
 """Word statistics of a corpus: frequencies, sentiment from a lexicon, TF-IDF.
 
-Words are counted with map-side combining. Frequent words, which would make
+Words are counted with map-side combining, terms of TF-IDF inside the row. Frequent words, which would make
 hot join keys, are few by their definition (a share of 1/10000 each leaves at
 most 10000), so they are joined by broadcast and only rare words are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import text as T
 from ..functions import words as V
@@ -114,25 +118,87 @@ def with_bigrams(one: Column) -> Column:
 
 
 def term_counts(rows: DataFrame, id_: str, words: str) -> DataFrame:
-    """(id, term, n): how often each word and neighbouring pair occurs in each document, stored.
+    """(id, words), one row per document, from which vocabulary and weights count terms; a word holds no blank.
 
-    The words of a document (not its exploded terms, which are many times as
-    many rows) are dealt out by id, so that counting needs no further shuffle;
-    vocabulary and weights both read the stored table.
+    ``rows`` should be a stored table: it is read once per pass. Terms are
+    counted inside the row, so that neither the words nor the many distinct
+    pairs of a document are shuffled. Only where an id repeats are the words of
+    its rows brought together, a null between them, over which no pair reaches.
     """
-    dealt = rows.select(id_, F.col(words).alias("__w")).repartition(id_)
-    # a plain explode would have the pairs built once more, by the filter the planner derives from it
-    each = dealt.select(id_, F.explode_outer(with_bigrams(F.col("__w"))).alias("term")).where("term is not null")
-    return materialise(each.groupBy(id_, "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
+    docs = rows.select(id_, F.col(words).alias("words"))
+    if docs.groupBy(id_).count().where("count > 1").isEmpty():
+        return docs
+    closed = F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    return materialise(docs.groupBy(id_).agg(F.flatten(F.collect_list(closed)).alias("words")), "documents")
+
+
+TOKENS_AT_ONCE = 1 << 20  # of a batch, in one task
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Runs of rows with at most ``TOKENS_AT_ONCE`` words (or one row), their words, and the row of each word."""
+    for batch in batches:
+        counts = np.asarray(batch.column("words").value_lengths().fill_null(0)).astype(np.int64)
+        ends, start = np.cumsum(counts), 0
+        while start < len(counts):
+            before = ends[start] - counts[start]
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, part.column("words").flatten(), np.repeat(np.arange(stop - start), counts[start:stop])
+            start = stop
+
+
+def _places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known, -1 for others and nulls."""
+    return np.asarray(pc.fill_null(pc.index_in(words, value_set=known, skip_nulls=True), -1)).astype(np.int64)
+
+
+def _pairs(places: np.ndarray, row: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring known words of a row: the row and the code of each pair, first place * known + second."""
+    both = (places[:-1] >= 0) & (places[1:] >= 0) & (row[:-1] == row[1:])
+    return row[:-1][both], (places[:-1] * known + places[1:])[both]
+
+
+def _occurring(rows: np.ndarray, codes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, code), in order, and how often each occurs; codes lie below ``span``."""
+    found, n = np.unique(rows * span + codes, return_counts=True)
+    return found // span, found % span, n
 
 
 def vocabulary(counts: DataFrame, n_docs: int, max_features: int, min_df: int | Column) -> DataFrame:
     """Most frequent terms with enough documents, numbered, with smooth IDF; from :func:`term_counts`.
 
-    Each task keeps its first ``max_features`` terms, and only those are merged.
+    Words are counted first. A pair is no more frequent, and in no more
+    documents, than either of its words: only pairs of words with enough
+    documents, each as frequent as the last of the first ``max_features`` words,
+    can be among the most frequent terms, and only these are counted. Such words
+    are ``max_features`` and ties at most.
     """
-    seen = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
-    top = seen.where(F.col("df") >= min_df).orderBy(F.col("tf").desc(), "term").limit(max_features)
+    enough = F.col("df") >= min_df
+    context = counts.sparkSession.sparkContext
+    # all words of a row, then its distinct ones: these count documents
+    listed = F.posexplode_outer(F.concat("words", F.array_distinct("words"))).alias("pos", "term")
+    each = counts.select(F.size("words").alias("size"), listed).where("term is not null")
+    later = (F.col("pos") >= F.col("size")).cast("long")
+    single = materialise(each.groupBy("term").agg(F.sum(1 - later).alias("tf"), F.sum(later).alias("df")).where(enough), "words")
+    least = single.orderBy(F.col("tf").desc()).limit(max_features).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+    known = single.where(F.col("tf") >= (least["tf"] if least["n"] == max_features else 0)).select("term").collect()
+    shared = context.broadcast(sorted(r["term"] for r in known))
+
+    def count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(shared.value, pa.string())
+        for _, flat, row in _slices(batches):
+            rows, codes = _pairs(_places(flat, words), row, len(words))
+            _, codes, n = _occurring(rows, codes, max(len(words), 1) ** 2)
+            found, at, df = np.unique(codes, return_inverse=True, return_counts=True)
+            tf = np.bincount(at, n, len(found)).astype(np.int64)
+            first, second = (words.take(pa.array(c)) for c in (found // max(len(words), 1), found % max(len(words), 1)))
+            term = pc.binary_join_element_wise(first, second, " ")
+            yield pa.RecordBatch.from_arrays([term, pa.array(tf), pa.array(df.astype(np.int64))], ["term", "tf", "df"])
+
+    parts = counts.select("words").mapInArrow(count_pairs, "term string, tf long, df long")
+    pairs = parts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(enough)
+    top = single.unionByName(pairs).orderBy(F.col("tf").desc(), "term").limit(max_features)
     place = F.row_number().over(W.orderBy("term")) - 1  # max_features rows at most
     idf = F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1
     return top.select("term", "tf", "df", place.cast("int").alias("idx"), idf.alias("idf"))
@@ -141,14 +207,39 @@ def vocabulary(counts: DataFrame, n_docs: int, max_features: int, min_df: int |
 def tfidf(counts: DataFrame, id_: str, vocab: DataFrame) -> DataFrame:
     """L2-normalised weights as index and value arrays per document; one without a known term has no row.
 
-    The vocabulary (bounded by max_features) is broadcast, so out-of-vocabulary
-    terms are dropped before anything is shuffled.
+    The vocabulary (bounded by max_features) goes to the tasks, which weigh each
+    document where they read it: nothing is shuffled.
     """
-    hits = counts.join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
-    weights = hits.select(id_, "idx", (F.col("n") * F.col("idf")).alias("w"))
-    cells = weights.groupBy(id_).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("c")
-    )
-    return cells.select(
-        id_, F.transform("c", lambda c: c["idx"]).alias("idx"), F.transform("c", lambda c: c["w"] / F.col("norm")).alias("val")
+    known = sorted((tuple(r["term"].split(" ", 1)), r["idx"], r["idf"]) for r in vocab.select("term", "idx", "idf").collect())
+    shared = counts.sparkSession.sparkContext.broadcast(known)
+    schema = ST.StructType(
+        [counts.schema[id_], ST.StructField("idx", ST.ArrayType(ST.IntegerType())), ST.StructField("val", ST.ArrayType(ST.DoubleType()))]
     )
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sorted({w for term, *_ in shared.value for w in term})
+        at = {w: i for i, w in enumerate(words)}
+        # words have the codes -1, -2, ...; pairs those of their two places
+        coded = [(at[t[0]] * len(words) + at[t[1]] if len(t) > 1 else -1 - at[t[0]], idx, idf) for t, idx, idf in shared.value]
+        codes, idx, idf = (np.array(c, t) for c, t in zip(zip(*sorted(coded)), (np.int64, np.int64, float))) if coded else [np.zeros(0)] * 3
+        list_of = pa.array(words, pa.string())
+        weight = np.zeros(len(codes))
+        weight[idx.astype(np.int64)] = idf
+        for part, flat, row in _slices(batches):
+            places = _places(flat, list_of)
+            pair_rows, pairs = _pairs(places, row, len(words))
+            some = places >= 0
+            rows, seen = np.r_[row[some], pair_rows], np.r_[-1 - places[some], pairs]
+            spot = np.minimum(np.searchsorted(codes, seen), max(len(codes) - 1, 0))
+            hit = codes[spot] == seen if len(codes) else np.zeros(len(seen), bool)
+            rows, cols, n = _occurring(rows[hit], idx[spot[hit]].astype(np.int64), max(len(weight), 1))
+            if not len(rows):
+                continue
+            w = n * weight[cols]
+            w /= np.sqrt(np.bincount(rows, w * w))[rows]
+            docs, starts = np.unique(rows, return_index=True)
+            offsets = pa.array(np.r_[starts, len(rows)], pa.int32())
+            idxs = pa.ListArray.from_arrays(offsets, pa.array(cols, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(id_).take(pa.array(docs)), idxs, pa.ListArray.from_arrays(offsets, pa.array(w))], [id_, "idx", "val"])
+
+    return counts.select(id_, "words").mapInArrow(weigh, schema)

@@ -90,7 +90,8 @@ w AS (SELECT doc_id, term, tf * idf AS w FROM tc JOIN voc USING (term))"""
 
 @query("tfidf", sql_shaped("SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w", ["doc_id", "term"], ["weight"], with_=f"WITH {_TERMS}"))
 def tfidf(spark, sf):
-    counts = TM.term_counts(load(spark, sf, "documents").select("doc_id", TM.terms(F.col("text")).alias("w")), "doc_id", "w")
+    rows = materialise(load(spark, sf, "documents").select("doc_id", TM.terms(F.col("text")).alias("w")), "words")
+    counts = TM.term_counts(rows, "doc_id", "w")
     vocab = materialise(TM.vocabulary(counts, load(spark, sf, "documents").count(), 500, 3), "vocabulary")
     cells = TM.tfidf(counts, "doc_id", vocab).select("doc_id", F.explode(F.arrays_zip("idx", "val")).alias("c")).select("doc_id", "c.idx", "c.val")
     out = cells.join(F.broadcast(vocab.select("idx", "term")), "idx").withColumn("weight", F.col("val"))
