@@ -58,7 +58,8 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     y = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")).where(F.col("y").isNotNull())
     # narrow rows decide which documents are wanted before any text moves
     wanted = y.join(first_ids(texts, "text", "id"), "id", "left_semi")
-    return texts.join(wanted, "id")
+    # the narrow rows are hashed and the texts stream by: they are never sorted
+    return texts.join(wanted.hint("shuffle_hash"), "id")
 
 
 def order_population(lineitem: DataFrame) -> DataFrame:

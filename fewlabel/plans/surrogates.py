@@ -71,10 +71,11 @@ def text_cells(
     sparse = tfidf(counts, id_, vocab)
     mean = texts.agg(F.avg(y).alias("m")).scalar()
     empty = F.array().cast("array<int>"), F.array().cast("array<double>")
-    rows = texts.select(id_, F.col(y).alias("y"), weights.alias("a"), mean.alias("base")).join(sparse, id_, "left")
-    rows = rows.withColumns({"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1])})
+    rows = texts.select(id_, F.col(y).alias("y"), weights.alias("a"), mean.alias("base"))
     members = pool_stop_scale_split(texts.select(id_), id_, replications, pool, stop, scale, seed)
-    cells = members.join(rows, id_).withColumnRenamed(id_, "id")
+    # the narrow side is hashed and the vectors stream by: they are never sorted
+    cells = members.join(rows, id_).hint("shuffle_hash").join(sparse, id_, "left")
+    cells = cells.withColumns({"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1])}).withColumnRenamed(id_, "id")
     return materialise(cells, "cells"), vocab.count()
 
 

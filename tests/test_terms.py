@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fewlabel.operators import terms as TM
+from fewlabel.plans import populations as POP
 
 
 def plan(df):
@@ -69,3 +70,17 @@ def test_weights_shuffle_nothing(spark):
     counts = TM.term_counts(rows, "id", "w")
     weights = TM.tfidf(counts, "id", TM.vocabulary(counts, 50, 5, 2))
     assert "Exchange" not in plan(weights) and "Exchange" not in plan(counts)
+
+
+def test_texts_are_not_sorted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = POP.labelled_texts(docs, labels)
+        last = plan(texts).split("ShuffledHashJoin")
+        assert len(last) > 1 and "SortMergeJoin" not in last[0]
+        got = texts.orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r["id"], r["text"], r["y"]) for r in got] == [(i, f"text {i // 2}", 0.0) for i in range(0, 30, 2)]
