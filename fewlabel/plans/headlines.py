@@ -129,11 +129,11 @@ def tfidf_surrogate(
     once, in partial matrices per task.
     """
     docs = materialise(rows.select(id_, y, "split", terms(F.col(text)).alias("terms")), "terms")
-    train = docs.where(F.col("split") == "h_scale").select(id_)
+    train = docs.where(F.col("split") == "h_scale")
     counts = term_counts(docs, id_, "terms")
-    vocab = materialise(vocabulary(counts.join(train, id_, "left_semi"), train.count(), max_features, min_df), "vocabulary")
+    vocab = materialise(vocabulary(term_counts(train, id_, "terms"), train.count(), max_features, min_df), "vocabulary")
     p = vocab.count()
-    weights = docs.select(id_, y, "split").join(tfidf(counts, id_, vocab), id_, "left")
+    weights = docs.select(id_, y, "split").hint("shuffle_hash").join(tfidf(counts, id_, vocab), id_, "left")
     empty = F.array().cast("array<int>"), F.array().cast("array<double>")
     weights = weights.withColumns({"idx": F.coalesce("idx", empty[0]), "val": F.coalesce("val", empty[1])})
     stored = materialise(weights, "tfidf")

@@ -84,3 +84,22 @@ def test_texts_are_not_sorted(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [(r["id"], r["text"], r["y"]) for r in got] == [(i, f"text {i // 2}", 0.0) for i in range(0, 30, 2)]
+
+
+def test_surrogate_stores_no_terms_of_documents(spark, monkeypatch):
+    """Stored tables of the pair surrogate have a row per document or word, never one per document and term."""
+    from fewlabel.plans import headlines as H
+
+    stored = {}
+
+    def counted(df, name, keep=TM.materialise):
+        out = keep(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(TM, "materialise", counted)
+    monkeypatch.setattr(H, "materialise", counted)
+    rows = [(i, " ".join(f"w{(i + j) % 40}" for j in range(20)), float(i % 2), "h_scale" if i < 40 else "target") for i in range(60)]
+    pred, info = H.tfidf_surrogate(spark.createDataFrame(rows, "id long, text string, y double, split string"), "id", "text", "y", max_features=30)
+    assert pred.count() == 60 and info["tfidf_n_features"] == 30
+    assert max(stored.values()) <= 60
