@@ -14,7 +14,7 @@ and only columns x penalties numbers reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from ..session import materialise
 
 TOLERANCE = 1e-11  # of the residual against the right-hand side
 DRIVER_NUMBERS = 4_000_000  # columns x penalties that the driver and each task may hold
+BLOCK_NUMBERS = 1 << 18  # of a design, in one stored block
+PACKED = {"idx": np.int32, "val": np.float64, "counts": np.int32, "t": np.float64, "w": np.float64, "g": np.float64}
 
 
 class Sparse:
@@ -138,6 +140,30 @@ def fit_exact_rows(x: Sparse, y: np.ndarray, a: np.ndarray, alphas: Sequence[flo
     return solved(design.sums(), design.turn, alphas, steps)[1:]
 
 
+def pack(batches: Iterable[pa.RecordBatch], columns: int, ones: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (idx, val, t, w, g) as blocks of about ``BLOCK_NUMBERS`` numbers: one stored row each, its fields the arrays' bytes."""
+    for batch in batches:
+        x = Sparse.of(batch.column("idx"), batch.column("val"), columns)
+        x = x.with_ones() if ones else x
+        ends = np.concatenate([[0], np.cumsum(x.counts)])
+        start = 0
+        while start < len(x.counts):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK_NUMBERS, "right")) - 1)
+            rows, held = slice(start, stop), slice(ends[start], ends[stop])
+            fields = {"idx": x.idx[held], "val": x.val[held], "counts": x.counts[rows]}
+            fields |= {c: np.asarray(batch.column(c))[rows] for c in ("t", "w", "g")}
+            yield pa.RecordBatch.from_pydict({c: pa.array([fields[c].astype(kind).tobytes()], pa.binary()) for c, kind in PACKED.items()})
+            start = stop
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[Design]:
+    """The designs of stored blocks, one after the other."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            idx, val, counts, t, w, g = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in PACKED.items())
+            yield Design(Sparse(idx.astype(np.int64), val, counts, width), t, w, g)
+
+
 def sparse_ridge_path(
     rows: DataFrame,
     y: str,
@@ -152,8 +178,9 @@ def sparse_ridge_path(
 
     With ``gain`` (the IF weights a) it is the exact IF-variance surrogate:
     design a (1, x), outcome a y; the centring is dropped from the result, so
-    its first row is the coefficient of the ones. The rows are stored once and
-    read at each step; a step moves columns x penalties numbers per task.
+    its first row is the coefficient of the ones. The rows are stored once, packed
+    to blocks, which each step reads as they are; a step moves columns x
+    penalties numbers per task, and has two tasks per core at most.
     """
     exact, width = gain is not None, columns + (gain is not None)
     if width * max(len(alphas), 3) > DRIVER_NUMBERS:
@@ -161,18 +188,17 @@ def sparse_ridge_path(
     one = F.lit(1.0)
     g = gain.cast("double") if exact else one
     used = rows.select("idx", "val", (F.col(y).cast("double") * g).alias("t"), (weight if weight is not None else one).cast("double").alias("w"), g.alias("g"))
-    table = materialise(used, "design")
+    packed = used.mapInArrow(lambda batches: pack(batches, columns, exact), ", ".join(f"{c} binary" for c in PACKED))
     context = rows.sparkSession.sparkContext
+    table = materialise(packed, "design").coalesce(2 * context.defaultParallelism)
 
     def summed(work: Callable[[Design], np.ndarray]) -> np.ndarray:
         """The sum over all rows of what ``work`` gives, one row per column of its result."""
 
         def run(batches: Iterable[pa.RecordBatch]):
             parts = None
-            for batch in batches:
-                x = Sparse.of(batch.column("idx"), batch.column("val"), columns)
-                t, w, gains = (np.asarray(batch.column(c)) for c in ("t", "w", "g"))
-                part = work(Design(x.with_ones() if exact else x, t, w, gains))
+            for design in unpacked(batches, width):
+                part = work(design)
                 parts = part if parts is None else parts + part
             if parts is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(list(parts), pa.list_(pa.float64()))], ["k", "v"])

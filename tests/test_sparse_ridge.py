@@ -1,6 +1,7 @@
 """Conjugate gradients on sparse rows against dense solves."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,29 @@ def test_table_of_50000_columns(spark):
     assert np.abs(gradient).max() < 1e-7
     with pytest.raises(ValueError, match="driver"):
         SR.sparse_ridge_path(df, "y", 5_000_000, [5.0])
+
+
+@pytest.mark.parametrize("numbers", [1, 7, 1 << 18])
+@pytest.mark.parametrize("ones", [False, True])
+def test_packed_blocks_are_the_rows(monkeypatch, numbers, ones):
+    monkeypatch.setattr(SR, "BLOCK_NUMBERS", numbers)
+    x = sparse_rows(30, 9, 0.3)
+    t, w, g = RNG.normal(size=(3, 30))
+    lists = {"idx": [np.flatnonzero(r).tolist() for r in x], "val": [r[np.flatnonzero(r)].tolist() for r in x]}
+    batch = pa.RecordBatch.from_pydict({"idx": pa.array(lists["idx"], pa.list_(pa.int32())), "val": pa.array(lists["val"], pa.list_(pa.float64())), "t": t, "w": w, "g": g})
+    blocks = list(SR.unpacked(SR.pack([batch], 9, ones), 9 + ones))
+    assert numbers == 1 << 18 or all(len(b.t) == 1 or len(b.x.idx) <= numbers for b in blocks)
+    want = np.column_stack([np.ones(30), x]) if ones else x
+    assert np.allclose(np.vstack([b.x.dot(np.eye(9 + ones)) for b in blocks]), want)
+    for c, v in (("t", t), ("w", w), ("g", g)):
+        assert np.array_equal(np.concatenate([getattr(b, c) for b in blocks]), v)
+
+
+def test_steps_read_blocks(spark, monkeypatch):
+    """The table that every step reads holds blocks, not a row per text."""
+    stored = []
+    monkeypatch.setattr(SR, "materialise", lambda df, name, keep=SR.materialise: stored.append(keep(df, name)) or stored[-1])
+    x, y, a = sparse_rows(200, 20, 0.2), RNG.normal(size=200), RNG.normal(size=200) + 0.5
+    path = SR.sparse_ridge_path(table(spark, x, y, a), "y", 20, [1.0], gain=F.col("a"), tolerance=1e-11)
+    assert np.allclose(path[:, 0], dense_ridge(np.column_stack([a, a[:, None] * x]), a * y, 1.0)[1:], atol=1e-8)
+    assert [s.count() <= 5 for s in stored] == [True]

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,9 +50,7 @@ DOCS = [
 
 
 @pytest.mark.parametrize("max_features,min_df", [(1, 1), (3, 2), (4, 1), (7, 2), (500, 1), (500, 3), (500, 99)])
-@pytest.mark.parametrize("at_once", [1, 1 << 20])
-def test_terms_by_hand(spark, monkeypatch, max_features, min_df, at_once):
-    monkeypatch.setattr(TM, "TOKENS_AT_ONCE", at_once)
+def test_terms_by_hand(spark, max_features, min_df):
     counts = TM.term_counts(spark.createDataFrame(DOCS, "id long, w array<string>").repartition(3), "id", "w")
     vocab = TM.vocabulary(counts, len(DOCS), max_features, min_df)
     rows = vocab.orderBy("idx").collect()
@@ -65,6 +64,19 @@ def test_terms_by_hand(spark, monkeypatch, max_features, min_df, at_once):
     assert got == {k: pytest.approx(v) for k, v in weights.items()}
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 5, 1 << 20])
+def test_batches_are_cut_between_rows(monkeypatch, at_once):
+    monkeypatch.setattr(TM, "TOKENS_AT_ONCE", at_once)
+    words = [["a", "b", "c"], [], None, ["d"], ["e", "f", "g", "h"], [], ["i"]]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "words": pa.array(words, pa.list_(pa.string()))})
+    got = {i: [] for i in range(7)}
+    for part, flat, row in TM._slices([batch]):
+        assert len(flat) <= at_once or sum(len(w or []) > 0 for w in part.column("words").to_pylist()) == 1
+        for w, r in zip(flat.to_pylist(), row):
+            got[part.column("id")[int(r)].as_py()].append(w)
+    assert got == {i: w or [] for i, w in enumerate(words)}
+
+
 def test_weights_shuffle_nothing(spark):
     rows = spark.createDataFrame([(i, ["a", "b", f"w{i % 7}"]) for i in range(50)], "id long, w array<string>")
     counts = TM.term_counts(rows, "id", "w")
