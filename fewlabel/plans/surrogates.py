@@ -1,8 +1,8 @@
 """Surrogate scaling on text and embeddings.
 
-Text surrogates: every (replication, s) fits its s train rows by conjugate
-gradients on sparse rows; the coefficients meet the validation rows in a
-grouped join, and all sets are judged by sums. Embedding surrogates: fitted and
+Text surrogates: all (replication, s) are fitted together by conjugate
+gradients from sums over the stored train rows; the coefficients meet the validation rows
+in a grouped join, and all sets are judged by sums. Embedding surrogates: fitted and
 judged from moment matrices.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators import influence as I
 from ..operators.moments import Moments, collect_moments, gram_vectors, moments_of, unpack
-from ..operators.sparse_ridge import Sparse, capped_square_weights, fit_exact_rows, fit_rows
+from ..operators.quantiles import exact_quantiles_of
+from ..operators.sparse_ridge import Fit, Sparse, sparse_ridge_fits
 from ..operators.splits import pool_stop_scale_split
 from ..operators.surrogate import ifvar_of, mse_of, ridge_path
 from ..operators.terms import term_counts, tfidf, vocabulary
@@ -31,6 +33,7 @@ JUDGED_SCHEMA = (
     "n long, rr double, ar double, aarr double"
 )
 ROWS_AT_ONCE = 4096  # of the validation sets, in one task
+FIT_NUMBERS = 1_000_000  # of coefficients that the driver stores at once
 
 # Sizes of the train pool and of the two validation sets.
 POOL, STOP, SCALE = 5000, 1000, 2000
@@ -84,30 +87,57 @@ def surrogate_fits(
 ) -> DataFrame:
     """Coefficients of every (replication, s, kind of fit, feature, alpha).
 
-    Only train rows are grouped, and a group has s of them: the grid of train
-    sizes, not the table, bounds it.
+    All are solved together over the stored train rows: a task holds one block
+    of them at a time, whatever s is.
     """
-    grid = F.array(*[F.lit(int(s)).cast("long") for s in sorted(s_grid) if s > 0])
-    train = rows.where("role = 'train_pool'").select("replication", "train_rank", "y", "a", "idx", "val")
-    cells = train.withColumn("s", F.explode(F.filter(grid, lambda s: s >= F.col("train_rank"))))
-    names = list(features)
-
-    def fit_cell(key: tuple, table: pa.Table) -> pa.Table:
-        rep, s = (k.as_py() for k in key)
-        x = Sparse.of(table.column("idx"), table.column("val"), n_columns)
-        y, a = np.asarray(table.column("y")), np.array(table.column("a").to_pylist(), float)
-        paths = [("plain", "", fit_rows(x, y, alphas))] if "plain" in kinds else []
+    spark, names = rows.sparkSession, list(features)
+    train = rows.where("role = 'train_pool'").select(F.col("replication").alias("group"), F.col("train_rank").alias("rank"), "y", "a", "idx", "val")
+    first = {r["group"]: r["rank"] for r in train.groupBy("group").agg(F.min("rank").alias("rank")).collect()}
+    cells = [(rep, int(s)) for rep in sorted(first) for s in sorted(set(s_grid)) if s > 0 and s >= first[rep]]
+    squares = {}
+    if "ifvar_weighted" in kinds:
+        for rep, s in cells:
+            mine = (F.col("group") == rep) & (F.col("rank") <= s)
+            squares |= {(rep, s, j): F.when(mine, F.col("a")[j] * F.col("a")[j]) for j in range(len(names))}
+    weights = square_weights(train, squares, clip)
+    wanted = []
+    for rep, s in cells:
+        wanted += [("plain", "", Fit(rep, s))] if "plain" in kinds else []
         for j, name in enumerate(names):
             if "ifvar_weighted" in kinds:
-                paths.append(("ifvar_weighted", name, fit_rows(x, y, alphas, capped_square_weights(a[:, j], clip))))
+                wanted.append(("ifvar_weighted", name, Fit(rep, s, "weighted", j, *weights[rep, s, j])))
             if "ifvar_exact" in kinds:
-                paths.append(("ifvar_exact", name, fit_exact_rows(x, y, a[:, j], alphas)))
-        fields = ["replication", "s", "fit", "feature", "alpha", "place", "intercept", "coef"]
-        out = [(rep, s, kind, name, float(alphas[k]), k, float(b[0, k]), b[1:, k]) for kind, name, b in paths for k in range(len(alphas))]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
-        return pa.table({f: pa.array(list(v), t) for f, v, t in zip(fields, zip(*out), types)})
-
-    return cells.groupBy("replication", "s").applyInArrow(fit_cell, FIT_SCHEMA)
+                wanted.append(("ifvar_exact", name, Fit(rep, s, "exact", j)))
+    fields = ["replication", "s", "fit", "feature", "alpha", "place", "intercept", "coef"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
+    out, held = [], []
+
+    def store() -> None:
+        table = pa.table({f: pa.array(list(v), t) for f, v, t in zip(fields, zip(*held), types)})
+        out.append(materialise(spark.createDataFrame(table, FIT_SCHEMA), "fits"))
+        held.clear()
+
+    solved = sparse_ridge_fits(train, [f for *_, f in wanted], n_columns, alphas) if wanted else ()
+    for (kind, name, f), (_, path) in zip(wanted, solved):
+        held += [(f.group, f.last, kind, name, float(alphas[k]), k, float(path[0, k]), path[1:, k]) for k in range(len(alphas))]
+        if len(held) * (n_columns + 1) > FIT_NUMBERS:
+            store()
+    if held:
+        store()
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], FIT_SCHEMA)
+
+
+def square_weights(train: DataFrame, squares: Mapping[tuple, Column], clip: float | None) -> dict[tuple, tuple[float | None, float]]:
+    """Cap (none, or a positive quantile) and mean of the capped values of each column of squared IF weights."""
+    if not squares:
+        return {}
+    caps = dict.fromkeys(squares)
+    if clip is not None and 0 < clip < 1:
+        found = exact_quantiles_of(train, {str(k): c for k, c in squares.items()}, [clip])
+        caps = {k: q if (q := found[str(k)][0]) is not None and q > 0 else None for k in squares}
+    # least would pass over the nulls of other rows
+    means = train.agg(*[F.avg(c if caps[k] is None else F.when(c > caps[k], caps[k]).otherwise(c)) for k, c in squares.items()]).first()
+    return {k: (caps[k], means[i]) for i, k in enumerate(squares)}
 
 
 def judged_fits(rows: DataFrame, fits: DataFrame, features: Sequence[str], n_columns: int) -> DataFrame:

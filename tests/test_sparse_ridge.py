@@ -114,3 +114,37 @@ def test_steps_read_blocks(spark, monkeypatch):
     path = SR.sparse_ridge_path(table(spark, x, y, a), "y", 20, [1.0], gain=F.col("a"), tolerance=1e-11)
     assert np.allclose(path[:, 0], dense_ridge(np.column_stack([a, a[:, None] * x]), a * y, 1.0)[1:], atol=1e-8)
     assert [s.count() <= 5 for s in stored] == [True]
+
+
+@pytest.mark.parametrize("numbers", [SR.DRIVER_NUMBERS, 48])
+def test_nested_training_sets_over_a_table(spark, monkeypatch, numbers):
+    """Paths of all training sets equal dense solves, by matrices or by steps, and no function is handed a training set."""
+    from pyspark.sql import GroupedData
+
+    from fewlabel.plans import surrogates as SU
+
+    def never(*_):
+        raise AssertionError("a training set goes to one task")
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", never)
+    monkeypatch.setattr(SR, "DRIVER_NUMBERS", numbers)  # 48 hold neither a matrix of 7 columns nor all paths
+    monkeypatch.setattr(SR, "BLOCK_NUMBERS", 40)
+    monkeypatch.setattr(SU, "FIT_NUMBERS", 100)
+    n, p, alphas = 60, 6, [0.1, 10.0]
+    x, y, a = sparse_rows(2 * n, p, 0.3), RNG.normal(size=2 * n), RNG.normal(size=(2 * n, 2)) + 0.5
+    rank = np.concatenate([RNG.permutation(n), RNG.permutation(n)]) + 1
+    rows = [
+        (i // n, "train_pool", int(rank[i]), float(y[i]), a[i].tolist(), np.flatnonzero(x[i]).tolist(), x[i][np.flatnonzero(x[i])].tolist()) for i in range(2 * n)
+    ]
+    schema = "replication long, role string, train_rank long, y double, a array<double>, idx array<int>, val array<double>"
+    df = spark.createDataFrame(rows + [(0, "stop", None, 9.0, [1.0, 1.0], [0], [9.0])], schema).repartition(5)
+    got = SU.surrogate_fits(df, ["f", "h"], p, [0, 20, 60], alphas, 0.9, ["plain", "ifvar_weighted", "ifvar_exact"]).collect()
+    assert len(got) == 2 * 2 * 5 * 2
+    for r in got:
+        some = np.flatnonzero((np.arange(2 * n) // n == r["replication"]) & (rank <= r["s"]))
+        own = a[some, int(r["feature"] == "h")]
+        if r["fit"] == "ifvar_exact":
+            want = dense_ridge(np.column_stack([own, own[:, None] * x[some]]), own * y[some], r["alpha"])[1:]
+        else:
+            want = dense_ridge(x[some], y[some], r["alpha"], SR.capped_square_weights(own, 0.9) if r["fit"] == "ifvar_weighted" else None)
+        assert alphas[r["place"]] == r["alpha"] and np.allclose([r["intercept"], *r["coef"]], want, atol=1e-8)
