@@ -284,3 +284,16 @@ def test_labeller_slopes_equal_differences():
         down = loss()
         model.p[name][at] = old
         assert slopes[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-4)
+
+
+def test_language_model_tables_are_stored_compactly(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from fewlabel.llm import lm_score
+
+    stored = []
+    monkeypatch.setattr(lm_score, "materialise", lambda *args, keep=lm_score.materialise: stored.append(keep(*args)) or stored[-1])
+    docs = spark.createDataFrame([(i, f"plum bark {i % 3} the the oak") for i in range(30)], "doc_id long, text string")
+    assert lm_score.score_documents(docs).count() == 30
+    codecs = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for s in stored for f in s.inputFiles()}
+    assert len(stored) == 3 and codecs == {"ZSTD"}
