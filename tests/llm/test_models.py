@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import os
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -222,6 +224,49 @@ def test_letter_contexts_never_share_counts():
     assert len(want) > 1 << 18 and len(np.unique(keys[2])) >= len({(c, n) for c, n in want if len(c) == 3})
 
 
+def test_a_node_that_pairs_share_is_sent_once():
+    r = np.random.default_rng(5)
+    code = lm_score.huffman([b"w%d" % i for i in range(500)], [int(x) for x in r.integers(1, 3000, 500)], 4, 9)
+    pairs = np.unique(r.integers(1, 4, 900) << 54 | r.integers(0, 3, 900) << 18 | r.integers(0, 502, 900))
+    counts = r.integers(0, 2, len(pairs)) * r.integers(0, 2000, len(pairs))
+    values, kept = lm_score.path_counts(code, pairs, counts)
+    shared = lm_score.shared_levels(code, pairs)
+    data = lm_score.packed_counts(values, kept, shared)
+    back = lm_score.unpacked_counts(data, shared)
+    assert (back[0] == values).all() and (back[1] == kept).all()
+    assert sum(int(fresh.sum()) for _, _, fresh in lm_score.node_rows(shared, kept)) < len(values) / 3
+    ends, context, leaf = np.cumsum(kept), pairs >> 18, pairs & (1 << 18) - 1
+    for i in r.integers(0, len(pairs), 60).tolist():
+        own, full = values[ends[i] - kept[i] : ends[i]].tolist(), []
+        n = code.length[code.symbol[leaf[i]]]
+        for j in range(n + 1):
+            below = [k for k in np.flatnonzero(context == context[i]) if j == 0 or int(code.path[leaf[k]] ^ code.path[leaf[i]]) >> (64 - j) == 0]
+            full.append(int(counts[below].sum()))
+        assert own + [own[-1]] * (n + 1 - len(own)) == full
+
+
+def test_spelling_by_runs_equals_spelling_by_words():
+    r = np.random.default_rng(6)
+    words = [bytes(r.integers(97, 101, r.integers(0, 9)).astype(np.uint8)) for _ in range(300)] + ["é".encode() * 3]
+    keys, bits, first = lm_score.spelled_bits(words)
+    mixer = lm_score.Mixer(*r.integers(0, 9, (2, 400)).astype(np.float32), keys=np.unique(keys)[:399])
+    want = np.add.reduceat(mixer.run(mixer.slots(keys), bits, mixer.weights, 0.0).astype(float), first)
+    spelling = lm_score.Spelling(mixer)
+    assert np.allclose(np.concatenate([spelling.bits(words[:90]), spelling.bits(words[90:])]), want, rtol=1e-6) and not len(spelling.bits([]))
+
+
+def test_what_the_language_model_keeps_on_disk(docs, monkeypatch):
+    stored = []
+    for where in (lm_score, lm_score.session):
+        monkeypatch.setattr(where, "materialise", lambda *args, keep=where.materialise: stored.append(keep(*args)) or stored[-1])
+    assert lm_score.score_documents(docs).count() == docs.count()
+    kept = sum(os.path.getsize(f.removeprefix("file://")) for s in stored for f in s.inputFiles())
+    assert kept < 2.2 * os.path.getsize(f"{SF}/documents.parquet")  # 2.9 times the input when texts were stored again with their answers
+    assert docs.sparkSession.conf.get(lm_score.DROP_SHUFFLED) == "false"
+    code = lm_score.huffman([b"w%d" % i for i in range(20_000)], list(range(30_000, 10_000, -1)), 4, 9)
+    assert len(pickle.dumps(code)) < 2 * len(code.nodes) and pickle.loads(pickle.dumps(code)).path.tolist() == code.path.tolist()
+
+
 def test_base_scores_equal_brute_force(docs):
     def tokens(text):
         return [*re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), None]
