@@ -18,7 +18,8 @@ def select_checkpoint(
     Training stops at the first epoch from min_epochs on with ``patience``
     epochs since the last improvement. With min_delta > 0 the running best is
     that of the improving epochs, which a fold over the short, ordered history
-    of a cell computes.
+    of a cell computes. Epochs without a metric improve only as long as there
+    is no best; a cell without any has no best epoch.
     """
     per = history.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), F.col(metric).cast("double").alias("m")))).alias("h"))
     start = F.struct(
@@ -47,6 +48,6 @@ def select_checkpoint(
         *keys,
         F.col("r.last").alias("epochs_trained"),
         F.col("r.stop").isNotNull().alias("early_stopped"),
-        F.col("r.best_epoch").alias("best_epoch"),
+        F.when(F.col("r.best").isNotNull(), F.col("r.best_epoch")).alias("best_epoch"),
         F.col("r.best").alias("best_metric"),
     )

@@ -619,10 +619,14 @@ def read_cell_metrics(spark, sf):
 def select_checkpoint(spark, sf):
     from ..operators.checkpoints import select_checkpoint as select
 
-    daily = load(spark, sf, "events").groupBy(F.col("user_id").alias("cell"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("metric"))
     from pyspark.sql import Window as W
 
-    history = daily.withColumn("epoch", F.row_number().over(W.partitionBy("cell").orderBy("day")).cast("long"))
+    # equal means may differ in their last bits by the order in which values are added: it is that of the events, whatever the partitions
+    events = load(spark, sf, "events").select(F.col("user_id").alias("cell"), F.to_date("ts").alias("day"), "event_id", "value").where("cell is not null")
+    so_far = W.partitionBy("cell", "day").orderBy("event_id", "value")
+    summed = events.select("cell", "day", F.row_number().over(so_far).alias("n"), F.avg("value").over(so_far.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("mean"))
+    daily = summed.groupBy("cell", "day").agg(F.max_by("mean", "n").alias("metric"))
+    history = daily.withColumn("epoch", F.row_number().over(W.partitionBy("cell").orderBy(F.asc_nulls_last("day"))).cast("long"))
     out = select(history, ["cell"], "epoch", "metric", min_epochs=3, patience=4)
     return shaped(out, ["cell", "epochs_trained", "early_stopped", "best_epoch"], ["best_metric"])
 

@@ -152,6 +152,39 @@ def test_checkpoint_rule(spark):
     assert (full["early_stopped"], full["best_epoch"]) == (False, 8)
 
 
+def _checkpoints(spark, folder, rows):
+    """The query's and its SQL's rows over events (event_id, ts, user_id, value), stored in the order given."""
+    import duckdb
+
+    from fewlabel.queries import ORACLES, QUERIES
+
+    folder.mkdir()
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?)", rows)
+    con.execute(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+    got = QUERIES["select_checkpoint"](spark, str(folder)).collect()
+    return sorted(map(tuple, got), key=str), sorted(con.execute(ORACLES["select_checkpoint"]).fetchall(), key=str)
+
+
+def test_checkpoints_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rows = [(1, "2024-01-01 01:00:00", 1, 0.1), (2, "2024-01-01 02:00:00", 1, 0.2), (3, "2024-01-01 03:00:00", 1, 0.3), (4, "2024-01-02 01:00:00", 1, 0.2)]
+    assert (0.1 + 0.2 + 0.3) / 3 > 0.2 and (0.3 + 0.2 + 0.1) / 3 <= 0.2
+    there, _ = _checkpoints(spark, tmp_path / "there", rows)
+    back, _ = _checkpoints(spark, tmp_path / "back", rows[::-1])
+    assert there == back == [(1, 2, False, 2, 0.2)]
+
+
+def test_checkpoints_of_events_with_nulls_equal_sql(spark, tmp_path):
+    rows = [(1, "2024-01-01 01:00:00", None, 1.0), (2, "2024-01-02 01:00:00", None, 2.0)]  # no user
+    rows += [(3, None, 1, 5.0), (4, "2024-01-01 01:00:00", 1, 7.0), (5, "2024-01-02 01:00:00", 1, 9.0)]  # a day of null is the last
+    rows += [(6, "2024-01-01 01:00:00", 2, None), (7, "2024-01-02 01:00:00", 2, None)]  # no metric at all
+    rows += [(8, "2024-01-01 01:00:00", 3, None), (9, "2024-01-02 01:00:00", 3, 2.0), (10, "2024-01-03 01:00:00", 3, None)]
+    got, want = _checkpoints(spark, tmp_path / "nulls", rows)
+    assert got == want and len(got) == 3
+
+
 def test_wide_bounds_without_a_cap_on_b(spark):
     s = np.arange(100, 1001, 100)
     fit = L.power_law_fit(curve(spark, s, 40000 * s**-2.2 + 7.5), ["method", "replication"], b_upper=None, alpha_bounds=L.WIDE_ALPHA_BOUNDS).first()
