@@ -4,7 +4,9 @@ A design row is z = g * (1?, x): a sparse text vector x, with a column of ones
 in front where the surrogate needs one, times a gain g. With row weights w and
 a free intercept, the normal operator on centred columns is
 v -> sum w (z'v - mean_w(z'v)) z. All penalties of a path are solved side by
-side, so each step reads the rows once.
+side, so each step reads the rows once. Over a table the operator's matrix of
+the widest columns, as many as the driver may hold, is added up first; its
+inverse preconditions these columns, the diagonal all others.
 
 :class:`Design` does this for rows that a task holds; :func:`sparse_ridge_path`
 for a table of any number of rows, and :func:`sparse_ridge_fits` for many nested
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from ..session import materialise
 TOLERANCE = 1e-11  # of the residual against the right-hand side
 DRIVER_NUMBERS = 4_000_000  # columns x penalties that the driver and each task may hold
 BLOCK_NUMBERS = 1 << 18  # of a design, in one stored block
+ROWS_OF_MATRIX = 1024  # of a design, spread out at once
 DENSE = 16  # cells of a block for each number in it, up to which the block is held as a matrix
 RANKED = {"idx": np.int32, "val": np.float64, "counts": np.int32, "rank": np.int64, "y": np.float64, "a": np.float64}
 PACKED = {"idx": np.int32, "val": np.float64, "counts": np.int32, "t": np.float64, "w": np.float64, "g": np.float64}
@@ -40,7 +45,10 @@ class Sparse:
 
     def __init__(self, idx: np.ndarray, val: np.ndarray, counts: np.ndarray, columns: int):
         self.idx, self.val, self.counts, self.columns = idx, val, counts, columns
-        self.row = np.repeat(np.arange(len(counts)), counts)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
 
     @classmethod
     def of(cls, idx: pa.ChunkedArray, val: pa.ChunkedArray, columns: int) -> Sparse:
@@ -72,12 +80,22 @@ class Sparse:
 
     def dot(self, d: np.ndarray) -> np.ndarray:
         """Rows times each column of ``d``."""
-        n = len(self.counts)
-        return np.stack([np.bincount(self.row, self.val * d[self.idx, k], n) for k in range(d.shape[1])], axis=1)
+        out, held = np.zeros((len(self.counts), d.shape[1])), np.flatnonzero(self.counts)
+        starts = (np.cumsum(self.counts) - self.counts)[held]
+        for k in range(d.shape[1] if len(held) else 0):
+            parts = np.ascontiguousarray(d[:, k]).take(self.idx)
+            parts *= self.val
+            out[held, k] = np.add.reduceat(parts, starts)
+        return out
 
     def tdot(self, u: np.ndarray) -> np.ndarray:
         """Transposed rows times each column of ``u``."""
-        return np.stack([np.bincount(self.idx, self.val * u[self.row, k], self.columns) for k in range(u.shape[1])], axis=1)
+        out = np.empty((self.columns, u.shape[1]))
+        for k in range(u.shape[1]):
+            parts = np.repeat(u[:, k], self.counts)
+            parts *= self.val
+            out[:, k] = np.bincount(self.idx, parts, self.columns)
+        return out
 
     def squares(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.idx, self.val * self.val * w[self.row], self.columns)
@@ -100,21 +118,55 @@ class Design:
         u = self.g[:, None] * self.x.dot(v) - mean
         return self.x.tdot((self.w * self.g)[:, None] * u)
 
+    def matrix(self, places: np.ndarray, wide: int) -> np.ndarray:
+        """The sum of w z z' over the ``wide`` columns that have a place (0 on; others -1)."""
+        out, at = np.zeros((wide, wide)), places.take(self.x.idx)
+        held = np.flatnonzero(at >= 0)
+        row, at, parts = self.x.row[held], at[held], self.x.val[held]
+        parts *= (np.sqrt(self.w) * self.g)[row]
+        for start in range(0, len(self.t), ROWS_OF_MATRIX):
+            stop = min(start + ROWS_OF_MATRIX, len(self.t))
+            own = slice(*np.searchsorted(row, [start, stop]))
+            z = np.bincount((row[own] - start) * wide + at[own], parts[own], (stop - start) * wide).reshape(-1, wide)
+            out += z.T @ z
+        return out
+
+
+class Wide:
+    """The operator's matrix of some columns, taken apart once for all penalties."""
+
+    def __init__(self, columns: np.ndarray, matrix: np.ndarray):
+        self.columns = columns
+        self.values, self.vectors = np.linalg.eigh(matrix)
+
+    def eased(self, r: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        return self.vectors @ (self.vectors.T @ r / np.maximum(np.maximum(self.values, 0.0)[:, None] + alpha, 1e-12))
+
 
 def solved(
-    sums: np.ndarray, turn: Callable[[np.ndarray, np.ndarray], np.ndarray], alphas: Sequence[float], steps: int, tolerance: float = TOLERANCE
+    sums: np.ndarray,
+    turn: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    alphas: Sequence[float],
+    steps: int,
+    tolerance: float = TOLERANCE,
+    wide: Wide | None = None,
 ) -> np.ndarray:
     """Coefficients for each penalty (intercept first), one column each; see :func:`solved_together`."""
-    return solved_together(sums[None], lambda v, mean, on: turn(v, mean), alphas, steps, tolerance)
+    return solved_together(sums[None], lambda v, mean, on: turn(v, mean), alphas, steps, tolerance, wide)
 
 
 def solved_together(
-    sums: np.ndarray, turn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], alphas: Sequence[float], steps: int, tolerance: float = TOLERANCE
+    sums: np.ndarray,
+    turn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    alphas: Sequence[float],
+    steps: int,
+    tolerance: float = TOLERANCE,
+    wide: Wide | None = None,
 ) -> np.ndarray:
     """Coefficients of several paths (a row of ``sums`` each), intercept first: one column per path and, inside it, penalty.
 
-    Conjugate gradients preconditioned by the diagonal; a column that has
-    converged no longer takes part (``turn`` is told the places of those that
+    Conjugate gradients preconditioned by the diagonal, and by the matrix of the
+    ``wide`` columns where it is given; a column that has converged no longer takes part (``turn`` is told the places of those that
     do). A path that needs more than ``steps`` stops the job.
     """
     p = (sums.shape[1] - 2) // 3
@@ -128,8 +180,15 @@ def solved_together(
     scale = np.maximum((zz - weight * mean**2)[:, path] + alpha, 1e-12)
     b, r = np.zeros_like(rhs), rhs.copy()
     size = np.linalg.norm(rhs, axis=0)
-    d = s = r / scale
-    energy = (r * s).sum(axis=0)
+
+    def eased(on: np.ndarray) -> np.ndarray:
+        s = r[:, on] / scale[:, on]
+        if wide is not None:
+            s[wide.columns] = wide.eased(r[np.ix_(wide.columns, on)], alpha[on])
+        return s
+
+    d = eased(np.arange(len(path)))
+    energy = (r * d).sum(axis=0)
     on = np.flatnonzero(size > 0)
     for _ in range(steps):
         if not len(on):
@@ -139,7 +198,7 @@ def solved_together(
         step = energy[on] / np.maximum((v * q).sum(axis=0), 1e-300)
         b[:, on] += step * v
         r[:, on] -= step * q
-        s = r[:, on] / scale[:, on]
+        s = eased(on)
         new = (r[:, on] * s).sum(axis=0)
         d[:, on] = s + new / np.maximum(energy[on], 1e-300) * v
         energy[on] = new
@@ -208,7 +267,9 @@ def sparse_ridge_path(
     design a (1, x), outcome a y; the centring is dropped from the result, so
     its first row is the coefficient of the ones. The rows are stored once, packed
     to blocks, which each step reads as they are; a step moves columns x
-    penalties numbers per task, and has two tasks per core at most.
+    penalties numbers per task, and has two tasks per core at most. One pass more
+    adds up the matrix of the columns with the largest sums of squares, whose
+    numbers the driver may hold (2000 columns): they need most of the steps.
     """
     exact, width = gain is not None, columns + (gain is not None)
     if width * max(len(alphas), 3) > DRIVER_NUMBERS:
@@ -220,32 +281,52 @@ def sparse_ridge_path(
     context = rows.sparkSession.sparkContext
     table = materialise(packed, "design").coalesce(2 * context.defaultParallelism)
 
-    def summed(work: Callable[[Design], np.ndarray]) -> np.ndarray:
-        """The sum over all rows of what ``work`` gives, one row per column of its result."""
+    def summed(work: Callable[[Design], np.ndarray], upper: bool = False) -> list[np.ndarray]:
+        """The rows of the sum over all rows of what ``work`` gives, or only what they hold from the diagonal on."""
 
         def run(batches: Iterable[pa.RecordBatch]):
             parts = None
             for design in unpacked(batches, width):
                 part = work(design)
-                parts = part if parts is None else parts + part
+                parts = part if parts is None else np.add(parts, part, out=parts)
             if parts is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(list(parts), pa.list_(pa.float64()))], ["k", "v"])
+                for start in range(0, len(parts), 64):
+                    own = range(start, min(start + 64, len(parts)))
+                    rows = [parts[i, i * upper :] for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["k", "v"])
 
         parts = table.mapInArrow(run, "k int, v array<double>").select("k", array_to_vector("v").alias("v"))
-        total = parts.groupBy("k").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v")).collect()
-        return np.array([r["v"] for r in sorted(total, key=lambda r: r["k"])])
+        total = parts.groupBy("k").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v")).toArrow()
+        rows = total.column("v").combine_chunks()
+        return [rows[i].values.to_numpy() for i in np.argsort(total.column("k").to_numpy()).tolist()]
 
     def turn(v: np.ndarray, mean: np.ndarray) -> np.ndarray:
         shared = context.broadcast((v, mean))
         try:
-            return summed(lambda design: design.turn(*shared.value).T).T
+            return np.array(summed(lambda design: design.turn(*shared.value).T)).T
+        finally:
+            shared.unpersist()
+
+    def widest(sums: np.ndarray) -> Wide:
+        z, _, zz = sums[2:].reshape(3, width)
+        mean, size = z / sums[0], min(width, isqrt(DRIVER_NUMBERS))
+        columns = np.argsort(sums[0] * mean**2 - zz, kind="stable")[:size]
+        places = np.full(width, -1)
+        places[columns] = np.arange(size)
+        shared = context.broadcast(places)
+        try:
+            rows = summed(lambda design: design.matrix(shared.value, size), True)
         finally:
             shared.unpersist()
+        matrix = np.zeros((size, size))
+        for i, row in enumerate(rows):
+            matrix[i, i:] = matrix[i:, i] = row
+        return Wide(columns, matrix - sums[0] * np.outer(mean[columns], mean[columns]))
 
     sums = summed(lambda design: design.sums()[None])
     if not len(sums):
         raise ValueError("a ridge path needs rows of positive weight")
-    path = solved(sums[0], turn, alphas, steps, tolerance)
+    path = solved(sums[0], turn, alphas, steps, tolerance, widest(sums[0]) if sums[0][0] > 0 else None)
     return path[1:] if exact else path
 
 

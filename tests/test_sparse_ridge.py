@@ -116,6 +116,21 @@ def test_steps_read_blocks(spark, monkeypatch):
     assert [s.count() <= 5 for s in stored] == [True]
 
 
+@pytest.mark.parametrize("numbers", [SR.DRIVER_NUMBERS, 400])
+def test_wide_columns_need_few_steps(spark, monkeypatch, numbers):
+    """Correlated wide columns, with which the diagonal alone takes more than 120 steps; all of them, or 20, are in the matrix."""
+    monkeypatch.setattr(SR, "DRIVER_NUMBERS", numbers)
+    n, p, alphas = 300, 100, [1.0, 50.0]
+    x, y, a = sparse_rows(n, p, 0.05), RNG.normal(size=n), RNG.normal(size=n) + 0.5
+    x[:, 40:58] += np.cumsum(RNG.normal(size=(n, 18)), axis=1) * np.logspace(0, 2, 18)
+    df = table(spark, x, y, a)
+    path = SR.sparse_ridge_path(df, "y", p, alphas, gain=F.col("a"), steps=90, tolerance=1e-10)
+    plain = SR.sparse_ridge_path(df, "y", p, alphas, weight=F.col("a") * F.col("a"), steps=90, tolerance=1e-10)
+    for k, alpha in enumerate(alphas):
+        assert np.allclose(path[:, k], dense_ridge(np.column_stack([a, a[:, None] * x]), a * y, alpha)[1:], atol=1e-6)
+        assert np.allclose(plain[:, k], dense_ridge(x, y, alpha, a * a), atol=1e-6)
+
+
 @pytest.mark.parametrize("numbers", [SR.DRIVER_NUMBERS, 48])
 def test_nested_training_sets_over_a_table(spark, monkeypatch, numbers):
     """Paths of all training sets equal dense solves, by matrices or by steps, and no function is handed a training set."""
