@@ -186,6 +186,29 @@ def test_chances_of_the_next_bit_sum_to_one():
     assert np.allclose(2.0**-zero + 2.0**-one, 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("bits", [12, 60])
+def test_distinct_numbers_with_and_without_their_places_in_one(bits):
+    r = np.random.default_rng(21)
+    for keys in (r.integers(0, 1 << 12, 5000), np.zeros(0, np.int64), np.array([3]), np.array([(1 << bits) - 1, 0, (1 << bits) - 1])):
+        found, places = lm_score.distinct(keys, bits)
+        want, at = np.unique(keys, return_inverse=True)
+        assert np.array_equal(found, want) and np.array_equal(places, at)
+
+
+def test_nothing_is_learned_from_the_last_block_of_a_scored_text():
+    r = np.random.default_rng(22)
+    mixer = lm_score.Mixer(r.integers(0, 9, 64).astype(np.float32), r.integers(0, 9, 64).astype(np.float32))
+    slots, bits = r.integers(0, 64, (3, lm_score.BLOCK + 100)), r.integers(0, 2, lm_score.BLOCK + 100).astype(np.uint8)
+    one, two = mixer.weights.copy(), mixer.weights.copy()
+    short = mixer.run(slots[:, : lm_score.BLOCK], bits[: lm_score.BLOCK], one, lm_score.RATE)
+    long = mixer.run(slots, bits, two, lm_score.RATE)
+    assert np.array_equal(one, mixer.weights) and not np.array_equal(two, mixer.weights)
+    assert np.array_equal(short, long[: lm_score.BLOCK])
+    seen = np.zeros((lm_score.GATES * lm_score.STEPS_OF_MAP, 2), np.int64)
+    mixer.run(slots[:, : lm_score.BLOCK], bits[: lm_score.BLOCK], one, lm_score.RATE, seen=seen)
+    assert not np.array_equal(one, mixer.weights) and seen.sum() == lm_score.BLOCK
+
+
 def test_word_contexts_are_counted_one_by_one(spark):
     r = np.random.default_rng(3)
     code = lm_score.huffman([b"w%d" % i for i in range(30)], [int(x) for x in r.integers(1, 90, 30)], 4, 9)
